@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnstone.llm import encoding, packing, repeated_lines, scan_repair, splitting
+from tarnstone.llm import encoding, near_duplicates, packing, repeated_lines, residue, scan_repair, splitting
 from tarnstone.runtime import table
 
 #: The profiles by which chunks and revisions are split.
@@ -46,6 +46,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_repair.found(scan_repair.defects(table(spark, d, "asset_revisions")))
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    items = near_duplicates.current_items(table(spark, d, "assets"), table(spark, d, "asset_revisions"), table(spark, d, "knowledge_chunks"))
+    return near_duplicates.near_duplicates(items)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.pairs(*_near(spark, d)).select("item_kind", "id_a", "id_b")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_texts(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
@@ -64,6 +73,14 @@ def p7_containers_piece(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d, "piece_bpe_32k")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_kinds(spark, d).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(table(spark, d, "documents"))
+
+
 _SITE = "nullif(split_part(ltrim(replace(lower(source_path), '\\', '/'), '/'), '/', 2), '')"
 
 _P2_BASE = f"""
@@ -86,5 +103,5 @@ UNION ALL SELECT DISTINCT 'revision', revision_id FROM asset_revisions WHERE len
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p1_small_pieces, p2_found, p2_lines, p2_texts, p4_found, p6_ids, p7_containers, p7_containers_piece)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_small_pieces, p2_found, p2_lines, p2_texts, p4_found, p5_found, p6_ids, p7_containers, p7_containers_piece, p8_found, p8_kinds)
 }
