@@ -39,7 +39,7 @@ _FOLDS = [("rn", "m"), ("ri", "n"), ("ii", "u"), ("ti", "u"), ("li", "h"), ("vi"
 _FOLD = str.maketrans("+å0$51|i68hqc", "taosslllbbbge")
 _DIGITS = str.maketrans("lI|iOoåSsB", "1111000558")
 _NUMBER = r"[0-9lI|iOoSsB]{1,4}"
-_PAGE_LINE = re.compile(rf"^[\W_]*?(?P<word>[^\W\d_]{{1,7}}\.?\s+)?(?P<no>{_NUMBER})(?P<of>\s*(?:/|[^\W\d_]{{2,3}})\s*{_NUMBER})?(?P<tail>[\W_]*)$")
+_PAGE_LINE = re.compile(rf"^[-–—\[(·•~|\s]*(?P<word>[^\W\d_]{{1,7}}\.?\s+)?(?P<no>{_NUMBER})(?P<of>\s*(?:/|[^\W\d_]{{2,3}})\s*{_NUMBER})?(?P<tail>[\W_]*)$")
 _EDGE_NUMBER = re.compile(rf"^\s*{_NUMBER}\s+(?=\S)|\s+{_NUMBER}\s*$")
 _MARKER = re.compile(r"^\s*<!--\s*page\b\D*(\d+)?.*-->\s*$", re.I)
 _HEADING = re.compile(r"^#{1,6}\s")
@@ -61,10 +61,24 @@ def fold(text: str) -> str:
 _PAGE_FOLDED = {fold(w) for w in PAGE_WORDS}
 
 
+_ROMAN = re.compile(r"^[-–—\[(·•~|\s]*([ivxlc1]{1,14}|[IVXLC]{1,14})[-–—\])·•~|.\s]*$")
+_ROMAN_VALUES = {"i": 1, "1": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+
+
+def _roman(text: str) -> int:
+    """The value of a roman number, smaller digits before larger ones taken off."""
+    values = [_ROMAN_VALUES[c] for c in text.lower()]
+    return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
+
+
 def page_number(line: str) -> tuple[int, int] | None:
     """(number, kind) of a line that may hold just a page number; kind 1: bare, 2: with a full stop, 3: decorated."""
     text = line.strip()
-    if not 0 < len(text) <= 24 or not (m := _PAGE_LINE.match(text)):
+    if not 0 < len(text) <= 24:
+        return None
+    if (m := _ROMAN.match(text)) and not m[1].isdigit():
+        return _roman(m[1]), 1 if text == m[1] else 3
+    if not (m := _PAGE_LINE.match(text)):
         return None
     if m["word"] and fold(m["word"]) not in _PAGE_FOLDED:
         return None
@@ -136,7 +150,7 @@ def line_symbols(text: str, path: str | None) -> list[int]:
     targets = [(x, _grams(x)) for x in (title, site, title + site, site + title) if len(x) > 3]
     for i, x in folded.items():
         near[i] = len(x) > 3 and (any(_similar(x, *t) for t in targets) or (x in often and not lines[i].rstrip().endswith((".", "!", "?", ":"))))
-    quiet = [out[i] in (0, 1) or near[i] or bool(number[i]) for i in range(n)]
+    quiet = [(not plain[i] and out[i] in (0, 1)) or near[i] or bool(number[i]) for i in range(n)]
     for i in range(n):
         if plain[i]:
             kind, fits = 0, False
@@ -158,7 +172,7 @@ def first_model() -> tuple[np.ndarray, np.ndarray]:
     for s in range(8, SYMBOLS):
         kind, fits, near, alone = (s - 8) // 16, (s - 8) // 8 % 2, (s - 8) // 4 % 2, (s - 8) % 4
         if kind:
-            emit[PAGE_NO, s] = {1: 0.3, 2: 0.3, 3: 1.0}[kind] * (1.0 if fits else 0.25) * (0.02, 0.2, 0.2, 1.0)[alone]
+            emit[PAGE_NO, s] = {1: 0.3, 2: 0.3, 3: 1.0}[kind] * (1.0 if fits else 0.25) * (0.005, 0.01, 0.2, 1.0)[alone]
             emit[BODY, s] = {1: 0.01, 2: 0.06, 3: 0.002}[kind] * (1.0, 0.5, 0.5, 0.1)[alone]
         elif near:
             emit[HEADER, s] = (0.05, 0.4, 0.4, 1.0)[alone]
@@ -290,12 +304,11 @@ def _tokens(move: np.ndarray, emit: np.ndarray):
             for rid, text, symbols in zip(b.revision_id, b.markdown, b.symbols):
                 lines, path = text.split("\n"), viterbi(symbols, move, emit)
                 seen = set()
-                body = [i for i, s in enumerate(path) if s == BODY]
+                body = [i for i, s in enumerate(path) if s == BODY or symbols[i] == 4]
                 follow = {}
                 for i, j in zip(body, body[1:]):
                     if all(path[k] in (BREAK, HEADER, PAGE_NO) or symbols[k] == 1 for k in range(i + 1, j)):
-                        if j == i + 1 or any(path[k] in (HEADER, PAGE_NO) or symbols[k] == 1 for k in range(i + 1, j)):
-                            follow[i] = j
+                        follow[i] = j
                 skip: dict[int, int] = {}
                 for i, s in enumerate(path):
                     if s in (HEADER, PAGE_NO):
@@ -306,7 +319,7 @@ def _tokens(move: np.ndarray, emit: np.ndarray):
                     parts = lines[i].split()
                     start = skip.get(i, 0)
                     end = len(parts)
-                    if s == BODY and parts and len(parts[-1]) > 1 and parts[-1][-1] in DIVIDERS and parts[-1][-2].isalpha() and i in follow:
+                    if i in follow and len(parts[-1]) > 1 and parts[-1][-1] in DIVIDERS and parts[-1][-2].isalpha():
                         after = lines[follow[i]].split()
                         if after and after[0][0].isalpha():
                             left, right = parts[-1][:-1].lstrip(_STRIP), after[0].rstrip(_STRIP)
