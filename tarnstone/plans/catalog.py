@@ -1,50 +1,6 @@
-"""The queries of the library's core, each with the SQL that gives the same rows."""
+"""All queries of the library's core."""
 
-from __future__ import annotations
+from tarnstone.plans import documents, evaluation, retrieval, snapshots, store  # noqa: F401  (each registers its queries)
+from tarnstone.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tarnstone.operators import snapshots
-from tarnstone.runtime import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (spark, folder) -> DataFrame under its name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-_BLANK = r"[\t\x0B\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-@query(
-    rf"""
-WITH clean AS (
-  SELECT snapshot_no, asset_id, delivered_at, current_revision_id AS r,
-         regexp_replace(lower(trim(source_hash)), '^sha256:', '') AS h,
-         regexp_replace(regexp_replace(markdown, '{_BLANK}+(\n)', '\1', 'g'), '({_BLANK}|\n)+$', '') AS m
-  FROM asset_snapshots WHERE asset_id IS NOT NULL AND snapshot_no IS NOT NULL),
-state AS (SELECT snapshot_no, asset_id, r, h, m FROM clean
-          QUALIFY row_number() OVER (PARTITION BY snapshot_no, asset_id ORDER BY delivered_at DESC NULLS LAST) = 1),
-numbers AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS following FROM (SELECT DISTINCT snapshot_no FROM state)),
-pairs AS (SELECT coalesce(a.asset_id, b.asset_id) AS asset_id, coalesce(a.following, b.snapshot_no) AS snapshot_no,
-                 CASE WHEN b.asset_id IS NULL THEN 'removed' WHEN a.asset_id IS NULL THEN 'added'
-                      WHEN a.r IS DISTINCT FROM b.r OR a.h IS DISTINCT FROM b.h OR a.m IS DISTINCT FROM b.m THEN 'changed' END AS change_kind
-          FROM (SELECT s.*, n.following FROM state s JOIN numbers n USING (snapshot_no) WHERE n.following IS NOT NULL) a
-          FULL JOIN (SELECT * FROM state WHERE snapshot_no > (SELECT min(snapshot_no) FROM state)) b
-          ON a.asset_id = b.asset_id AND a.following = b.snapshot_no)
-SELECT asset_id, snapshot_no, change_kind FROM pairs WHERE change_kind IS NOT NULL"""
-)
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.snapshot_changes(table(spark, d, "asset_snapshots"))
+__all__ = ["QUERIES", "SQL"]
