@@ -25,7 +25,11 @@ def postings(rows: DataFrame, key: str, fields: dict[str, Column], wanted: DataF
     terms of the row over all fields. wanted (term) keeps the rest out before anything is shuffled."""
     counted = rows.select(key, *(T.terms(F.coalesce(c, F.lit(""))).alias(f) for f, c in fields.items()))
     length = sum((F.size(f) for f in fields), F.lit(0))
-    pairs = F.flatten(F.array(*(F.transform(F.col(f), lambda t, f=f: F.struct(F.lit(f).alias("field"), t.alias("term"))) for f in fields)))
+
+    def tagged(field: str) -> Column:
+        return F.transform(F.col(field), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+
+    pairs = F.flatten(F.array(*map(tagged, fields)))
     each = counted.select(key, length.alias("length"), F.inline(pairs))
     if wanted is not None:
         each = each.join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")

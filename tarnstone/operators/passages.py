@@ -47,14 +47,14 @@ def best_passages(rows: DataFrame, key: str, text: str, query: str) -> DataFrame
     each = base.where((F.col("exact") == 0) & (F.size("terms") > 0)).select(key, "terms", "n", F.posexplode("lines").alias("at", "line"))
     tokens = F.transform(T.words(F.col("line")), T.stem)
     order = Window.partitionBy(key).orderBy("at")
-    each = each.select(key, "terms", "n", "at", tokens.alias("tokens")).withColumn("before", F.lag(F.element_at(F.slice("tokens", F.greatest(F.size("tokens"), F.lit(1)), F.lit(1)), 1)).over(order))
+    each = each.select(key, "terms", "n", "at", tokens.alias("tokens")).withColumn("before", F.lag(F.try_element_at("tokens", F.lit(-1))).over(order))
     pairs = F.when(F.size("terms") > 1, F.transform(F.sequence(F.lit(1), F.size("terms") - 1), lambda i: F.concat_ws("\u0001", F.element_at("terms", i.cast("int")), F.element_at("terms", (i + 1).cast("int"))))).otherwise(F.array().cast("array<string>"))
     inner = F.when(F.size("tokens") > 1, F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.concat_ws("\u0001", F.element_at("tokens", i.cast("int")), F.element_at("tokens", (i + 1).cast("int"))))).otherwise(F.array().cast("array<string>"))
     each = each.select(
         key, "terms", "n", "at",
         F.array_intersect("terms", "tokens").alias("met"),
         F.array_intersect(pairs, inner).alias("inside"),
-        F.when(F.col("before").isNotNull() & (F.size("tokens") > 0), F.array_intersect(pairs, F.array(F.concat_ws("\u0001", "before", F.element_at("tokens", 1))))).otherwise(F.array().cast("array<string>")).alias("across"),
+        F.when(F.col("before").isNotNull() & (F.size("tokens") > 0), F.array_intersect(pairs, F.array(F.concat_ws("\u0001", "before", F.get("tokens", F.lit(0)))))).otherwise(F.array().cast("array<string>")).alias("across"),
     )
     telling = each.where(F.size("met") > 0)
     frequency = telling.select(key, "n", F.explode("met").alias("term")).groupBy(key, "term").agg((1 + F.log((F.first("n") + 1) / (F.count("*") + 1))).alias("weight"))

@@ -26,14 +26,12 @@ def word_features(word: Column) -> Column:
     """An array of (feature, weight) of a word: the word itself, and its n-grams between ^ and $."""
     edged = F.concat(F.lit("^"), word, F.lit("$"))
     own = F.array(F.struct(F.concat(F.lit("w:"), word).alias("feature"), F.lit(WORD_WEIGHT).alias("weight")))
-    grams = [
-        F.transform(
-            F.when(F.length(edged) >= n, F.sequence(F.lit(1), F.length(edged) - n + 1)).otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.struct(F.concat(F.lit(f"c{n}:"), F.substring(edged, i, F.lit(n))).alias("feature"), F.lit(GRAM_WEIGHT).alias("weight")),
-        )
-        for n in GRAMS
-    ]
-    return F.concat(own, *grams)
+
+    def grams(n: int) -> Column:
+        starts = F.when(F.length(edged) >= n, F.sequence(F.lit(1), F.length(edged) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.concat(F.lit(f"c{n}:"), F.substring(edged, i, F.lit(n))).alias("feature"), F.lit(GRAM_WEIGHT).alias("weight")))
+
+    return F.concat(own, *map(grams, GRAMS))
 
 
 def ngram_vectors(rows: DataFrame, key: str, text: Column, bucket: Callable[[Column], Column] = sha_bucket) -> DataFrame:

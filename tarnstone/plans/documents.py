@@ -1,0 +1,120 @@
+"""Queries over texts: chunks of Markdown, packing, reading of parts, judgements on texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnstone.functions import text as T
+from tarnstone.operators import chunking, evidence, heuristics, store
+from tarnstone.plans import fragments as S
+from tarnstone.plans.registry import query
+from tarnstone.runtime import table
+
+_BLANK = "^[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0B\\x1c-\\x1f]*$"
+
+_LINES_SQL = S.REVISIONS + f""",
+numbered AS (SELECT revision_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM (SELECT revision_id, {S.lines('markdown')} AS l FROM revision)),
+classed AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN 'h' WHEN regexp_matches(line, '(?i)^\\s*<!--\\s*page\\s*:\\s*[^>]+?\\s*-->\\s*$') THEN 'm'
+                        WHEN regexp_matches(line, '{_BLANK}') THEN 'b' ELSE 'p' END AS kind FROM numbered),
+looked AS (SELECT *, lag(kind) OVER w AS previous, last_value(CASE WHEN kind <> 'b' THEN kind END IGNORE NULLS) OVER (PARTITION BY revision_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS solid
+           FROM classed WINDOW w AS (PARTITION BY revision_id ORDER BY line_no)),
+counted AS (SELECT *, sum(CASE WHEN kind IN ('h', 'm') OR (kind = 'p' AND (solid IS NULL OR (previous = 'b' AND solid = 'p'))) THEN 1 ELSE 0 END) OVER (PARTITION BY revision_id ORDER BY line_no) AS chunk_no FROM looked),
+piece AS (SELECT revision_id, chunk_no, min(line_no) AS start_line, max(CASE WHEN kind <> 'b' THEN line_no END) AS end_line FROM counted WHERE chunk_no > 0 GROUP BY ALL)"""
+
+
+def revisions_of(spark: SparkSession, d: str) -> DataFrame:
+    return store.revisions_once(table(spark, d, "asset_revisions").select("asset_id", "revision_id", "markdown", "created_at")).select("revision_id", "markdown")
+
+
+@query("WITH " + _LINES_SQL + """ SELECT p.revision_id, CAST(p.chunk_no AS BIGINT) AS chunk_no, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line,
+string_agg(c.line, chr(10) ORDER BY c.line_no) AS text FROM piece p JOIN counted c ON c.revision_id = p.revision_id AND c.line_no BETWEEN start_line AND end_line GROUP BY ALL""")
+def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.markdown_chunks(revisions_of(spark, d), ["revision_id"], "markdown").drop("heading_path")
+
+
+@query()
+def heading_paths(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.markdown_chunks(revisions_of(spark, d), ["revision_id"], "markdown").select("revision_id", "chunk_no", "heading_path")
+
+
+@query()
+def bounded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    chunks = chunking.markdown_chunks(revisions_of(spark, d), ["revision_id"], "markdown")
+    return chunking.bounded_chunks(chunks, ["revision_id"])
+
+
+@query("""WITH RECURSIVE doc AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM doc),
+part AS (SELECT doc_id, no, unnest(range(greatest(1, ceil(length(line) / 1200.0)::INTEGER))) AS k, line FROM line),
+cut AS (SELECT doc_id, no, k, CASE WHEN length(line) > 1200 THEN substr(line, k * 1200 + 1, 1200) ELSE line END AS piece, length(line) > 1200 AS alone,
+               row_number() OVER (PARTITION BY doc_id ORDER BY no, k) AS i FROM part),
+step AS (SELECT doc_id, i, no AS start_line, no AS end_line, piece AS text, alone, 1 AS g FROM cut WHERE i = 1
+  UNION ALL SELECT c.doc_id, c.i, CASE WHEN j THEN s.start_line ELSE c.no END, c.no, CASE WHEN j THEN s.text || chr(10) || c.piece ELSE c.piece END, c.alone, CASE WHEN j THEN s.g ELSE s.g + 1 END
+  FROM (SELECT s.*, c.i AS ci, NOT c.alone AND NOT s.alone AND length(s.text) + 1 + length(c.piece) <= 1200 AS j FROM step s JOIN cut c ON c.doc_id = s.doc_id AND c.i = s.i + 1) s JOIN cut c ON c.doc_id = s.doc_id AND c.i = s.ci),
+last_step AS (SELECT DISTINCT ON (doc_id, g) doc_id, g, start_line, end_line, text FROM step ORDER BY doc_id, g, i DESC)
+SELECT doc_id, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, md5(text) AS digest FROM last_step WHERE NOT regexp_matches(text, '""" + _BLANK + "')")
+def chunk_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of every document packed into pieces of at most 1200 characters."""
+    rows = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text").distinct()
+    pieces = rows.select("doc_id", F.inline(chunking.bounded(F.split("text", "\n"), F.lit(1), 1200)))
+    return pieces.select("doc_id", F.col("start").alias("start_line"), F.col("last").alias("end_line"), F.md5("text").alias("digest"))
+
+
+@query(f"""WITH {S.REVISIONS} SELECT revision_id, CASE WHEN len(l) >= 6 THEN array_to_string(l[3:6], chr(10)) END AS content FROM (SELECT revision_id, {S.lines('markdown')} AS l FROM revision)""")
+def read_line_range(spark: SparkSession, d: str) -> DataFrame:
+    return revisions_of(spark, d).select("revision_id", evidence.line_range(F.col("markdown"), F.lit(3), F.lit(6)).alias("content"))
+
+
+@query(f"""WITH {S.REVISIONS},
+numbered AS (SELECT revision_id, unnest(l) AS line, generate_subscripts(l, 1) AS no, len(l) AS n FROM (SELECT revision_id, {S.lines('markdown')} AS l FROM revision)),
+head AS (SELECT revision_id, no, length(regexp_extract(line, '^(#{{1,6}})\\s', 1)) AS level, {S.fold("trim(rtrim(trim(regexp_extract(line, '^#{1,6}\\s+(.+?)\\s*$', 1)), '#'))")} AS title FROM numbered WHERE regexp_matches(line, '^#{{1,6}}\\s+\\S')),
+own AS (SELECT revision_id, min(no) AS no, arg_min(level, no) AS level FROM head WHERE title = 'governance' GROUP BY revision_id),
+bound AS (SELECT o.revision_id, o.no AS first, coalesce(min(h.no) - 1, any_value(m.n)) AS last FROM own o JOIN (SELECT DISTINCT revision_id, n FROM numbered) m USING (revision_id)
+  LEFT JOIN head h ON h.revision_id = o.revision_id AND h.no > o.no AND h.level <= o.level GROUP BY o.revision_id, o.no)
+SELECT b.revision_id, string_agg(line, chr(10) ORDER BY x.no) AS content FROM bound b JOIN numbered x ON x.revision_id = b.revision_id AND x.no BETWEEN first AND last GROUP BY b.revision_id""")
+def read_section(spark: SparkSession, d: str) -> DataFrame:
+    return revisions_of(spark, d).select("revision_id", evidence.section(F.col("markdown"), F.lit("Governance")).alias("content")).where(F.col("content").isNotNull())
+
+
+@query()
+def read_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """The first 1000 bytes of every document, no character cut."""
+    rows = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    return rows.select("doc_id", T.first_bytes(F.col("text"), 1000).alias("content"), (F.octet_length("text") > 1000).alias("truncated"))
+
+
+@query(f"""WITH {S.ASSETS}, locator AS (SELECT DISTINCT ON (chunk_id) asset_id, revision_id, chunk_id, start_line, end_line, text FROM knowledge_chunks WHERE chunk_id IS NOT NULL)
+SELECT l.asset_id, l.revision_id, l.chunk_id, l.start_line, l.end_line,
+       CASE WHEN a.current_revision_id IS NULL THEN 'NOT_FOUND' WHEN a.current_revision_id <> l.revision_id THEN 'STALE_LOCATOR' ELSE 'OK' END AS status,
+       CASE WHEN a.current_revision_id = l.revision_id THEN sha256(coalesce(l.text, '')) END AS content_hash,
+       CASE WHEN a.current_revision_id = l.revision_id THEN strlen(coalesce(l.text, '')) > 1000000 END AS truncated, a.current_revision_id AS source_revision
+FROM locator l LEFT JOIN current_asset a USING (asset_id)""")
+def read_status(spark: SparkSession, d: str) -> DataFrame:
+    """Locators of all chunks ever made, read against what is current."""
+    chunks = table(spark, d, "knowledge_chunks").where(F.col("chunk_id").isNotNull()).dropDuplicates(["chunk_id"])
+    locators = chunks.select("asset_id", "revision_id", "chunk_id", "start_line", "end_line")
+    return evidence.read_chunks(locators, store.current_assets(table(spark, d, "assets")), chunks, evidence.MAX_BYTES).drop("content")
+
+
+@query(f"""SELECT doc_id, {S.collapse("regexp_replace(text, '([\\p{L}\\p{N}_])-\\s*\\n\\s*([\\p{L}\\p{N}_])', '\\1\\2', 'g')")} AS clean FROM documents WHERE text IS NOT NULL""")
+def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", T.collapse(T.join_divided(F.col("text"))).alias("clean"))
+
+
+@query()
+def clarification_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by whether their title could be searched for by itself."""
+    return table(spark, d, "documents").select("doc_id", heuristics.needs_context(F.col("title")).alias("needs_context"))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(api[_-]?key|token|password|secret|authorization)(\\s*[:=]\\s*)([^\\s,;]+)', '\\1\\2[REDACTED]', 'g'),
+'(?i)\\bBearer\\s+[^\\s,;]+', '[REDACTED]', 'g'), '\\b(?:sk-ant|lin_api)_[A-Za-z0-9_-]{6,}\\b', '[REDACTED]', 'g'), '\\bAKIA[0-9A-Z]{16}\\b', '[REDACTED]', 'g')) AS digest FROM documents WHERE text IS NOT NULL""")
+def secret_redaction(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.md5(T.redact(F.col("text"))).alias("digest"))
+
+
+@query("""SELECT lang, source, count(*) AS n_documents, count(text) AS n_texts, count(DISTINCT md5(text)) AS n_different, coalesce(sum(strlen(text)), 0)::BIGINT AS n_bytes FROM documents GROUP BY lang, source""")
+def document_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("lang", "source", "text")
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("n_documents"), F.count("text").alias("n_texts"), F.countDistinct(F.md5("text")).alias("n_different"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("n_bytes"))

@@ -1,0 +1,154 @@
+"""Queries that score the search against the gold cases."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnstone.functions import text as T
+from tarnstone.operators import evaluation, evidence
+from tarnstone.plans import fragments as S
+from tarnstone.plans.registry import query
+from tarnstone.plans.retrieval import cases_of, chunks_of, lexical_hits
+from tarnstone.runtime import broadcast_if_small
+
+_SOURCES = "WITH " + S.BM25 + """,
+appearance AS (SELECT h.case_id, lower(k.source_name) AS source_name, min(h.rank) AS chunk_rank FROM hit h JOIN chunk k USING (chunk_id) GROUP BY ALL),
+source AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY chunk_rank, source_name) AS INTEGER) AS source_rank FROM appearance)"""
+_RANKS = _SOURCES + """,
+expected AS (SELECT DISTINCT case_id, lower(unnest(expected_sources)) AS source_name FROM gold),
+ranked AS (SELECT e.case_id, CASE WHEN count(*) = count(s.source_rank) THEN max(s.source_rank) END AS expected_rank,
+                  CASE WHEN count(*) = count(s.source_rank) THEN max(s.chunk_rank) END AS expected_chunk_rank
+           FROM expected e LEFT JOIN source s USING (case_id, source_name) GROUP BY e.case_id)"""
+_VERDICTS = _RANKS + """,
+n_hit AS (SELECT case_id, count(*) AS n_hits FROM hit GROUP BY case_id),
+verdict AS (
+  SELECT g.case_id, g.query_style, g.answerable, CAST(len(g.expected_sources) AS INTEGER) AS n_expected, r.expected_rank, coalesce(n.n_hits, 0) AS n_hits,
+         list_filter([CASE WHEN NOT g.answerable AND coalesce(n.n_hits, 0) > 0 THEN 'unexpected hits' END,
+                      CASE WHEN g.answerable AND len(g.expected_sources) > 0 AND r.expected_rank IS NULL THEN 'expected source not found' END,
+                      CASE WHEN r.expected_rank > g.retrieval_max_expected_rank THEN 'expected source ranked too low' END], lambda x: x IS NOT NULL) AS failures
+  FROM gold g LEFT JOIN ranked r USING (case_id) LEFT JOIN n_hit n USING (case_id))"""
+
+
+def sources_of(spark: SparkSession, d: str) -> DataFrame:
+    names = chunks_of(spark, d).select("chunk_id", "source_name")
+    return evidence.first_appearance(lexical_hits(spark, d).join(names, "chunk_id"), "case_id", "source_name", "rank")
+
+
+def verdicts_of(spark: SparkSession, d: str) -> DataFrame:
+    cases = cases_of(spark, d)
+    return evaluation.verdicts(cases, evaluation.expected_ranks(cases, sources_of(spark, d)), lexical_hits(spark, d))
+
+
+@query(_SOURCES + " SELECT case_id, source_name, chunk_rank, source_rank FROM source")
+def source_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return sources_of(spark, d)
+
+
+@query(_RANKS + " SELECT * FROM ranked")
+def expected_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.expected_ranks(cases_of(spark, d), sources_of(spark, d))
+
+
+@query(_VERDICTS + " SELECT *, len(failures) = 0 AS passed FROM verdict")
+def case_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return verdicts_of(spark, d)
+
+
+@query(_VERDICTS + """ SELECT count(*) AS n_cases, round(avg(CAST(len(failures) = 0 AS DOUBLE)), 6) AS pass_rate,
+round(avg(coalesce(CAST(expected_rank <= 1 AS DOUBLE), 0)) FILTER (n_expected > 0), 6) AS hit_at_1, round(avg(coalesce(CAST(expected_rank <= 3 AS DOUBLE), 0)) FILTER (n_expected > 0), 6) AS hit_at_3,
+round(avg(coalesce(1.0 / expected_rank, 0)) FILTER (n_expected > 0), 6) AS mrr FROM verdict""")
+def retrieval_report(spark: SparkSession, d: str) -> DataFrame:
+    rank = F.when(F.col("n_expected") > 0, F.coalesce("expected_rank", F.lit(1 << 30)))
+    share = lambda k: F.round(F.avg((rank <= k).cast("double")), 6)
+    return verdicts_of(spark, d).agg(
+        F.count("*").alias("n_cases"),
+        F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"),
+        share(1).alias("hit_at_1"),
+        share(3).alias("hit_at_3"),
+        F.round(F.avg(F.when(F.col("n_expected") > 0, F.coalesce(1.0 / F.col("expected_rank"), F.lit(0.0)))), 6).alias("mrr"),
+    )
+
+
+@query(_VERDICTS + """ SELECT query_style, count(*) AS n_cases, round(avg(CAST(len(failures) = 0 AS DOUBLE)), 6) AS pass_rate,
+round(avg(coalesce(CAST(expected_rank <= 1 AS DOUBLE), 0)), 6) AS hit_at_1, round(avg(coalesce(1.0 / expected_rank, 0)), 6) AS mrr
+FROM verdict WHERE n_expected > 0 AND query_style IS NOT NULL AND query_style <> '' GROUP BY query_style""")
+def style_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    rows = verdicts_of(spark, d).where((F.col("n_expected") > 0) & F.col("query_style").isNotNull() & (F.col("query_style") != ""))
+    rank = F.col("expected_rank")
+    return rows.groupBy("query_style").agg(F.count("*").alias("n_cases"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"), evaluation.hit_rate(rank, 1).alias("hit_at_1"), evaluation.mean_reciprocal_rank(rank).alias("mrr"))
+
+
+@query(_RANKS + """ SELECT k, round(avg(coalesce(CAST(expected_rank <= k AS DOUBLE), 0)), 6) AS hit_rate FROM ranked, (SELECT unnest([1, 3, 5, 10, 20, 200]) AS k) GROUP BY k""")
+def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
+    ranks = evaluation.expected_ranks(cases_of(spark, d), sources_of(spark, d))
+    steps = ranks.select("expected_rank", F.explode(F.array(*map(F.lit, (1, 3, 5, 10, 20, 200)))).alias("k"))
+    return steps.groupBy("k").agg(evaluation.hit_rate(F.col("expected_rank"), F.col("k")).alias("hit_rate"))
+
+
+def _clean(x: str) -> str:
+    return S.collapse(S.fold(f"regexp_replace({x}, '([\\p{{L}}\\p{{N}}_])-\\s*\\n\\s*([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"))
+
+
+_EVIDENCE = "WITH " + S.BM25 + f""",
+wanted AS (SELECT case_id, unnest(range(len(required_evidence_phrases))) AS phrase_no, unnest(required_evidence_phrases) AS phrase FROM gold),
+first_rank AS (SELECT w.case_id, phrase_no, min(CASE WHEN contains({_clean("coalesce(k.text, '')")}, {S.collapse(S.fold('phrase'))}) THEN h.rank END) AS first
+  FROM wanted w LEFT JOIN hit h USING (case_id) LEFT JOIN chunk k USING (chunk_id) GROUP BY ALL),
+evidence AS (SELECT case_id, CASE WHEN count(*) = count(first) THEN max(first) END AS evidence_rank FROM first_rank GROUP BY case_id)"""
+
+
+def evidence_of(spark: SparkSession, d: str) -> DataFrame:
+    texts = chunks_of(spark, d).select("chunk_id", "text")
+    return evaluation.evidence_ranks(cases_of(spark, d), lexical_hits(spark, d).join(texts, "chunk_id"))
+
+
+@query(_EVIDENCE + " SELECT case_id, evidence_rank FROM evidence")
+def evidence_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return evidence_of(spark, d)
+
+
+@query(_EVIDENCE + """ SELECT count(*) AS n_cases, round(avg(CAST(evidence_rank IS NOT NULL AS DOUBLE)), 6) AS location_rate,
+round(avg(coalesce(CAST(evidence_rank <= 3 AS DOUBLE), 0)), 6) AS hit_at_3, round(avg(coalesce(1.0 / evidence_rank, 0)), 6) AS mrr FROM evidence""")
+def evidence_report(spark: SparkSession, d: str) -> DataFrame:
+    rank = F.col("evidence_rank")
+    return evidence_of(spark, d).agg(F.count("*").alias("n_cases"), F.round(F.avg(rank.isNotNull().cast("double")), 6).alias("location_rate"), evaluation.hit_rate(rank, 3).alias("hit_at_3"), evaluation.mean_reciprocal_rank(rank).alias("mrr"))
+
+
+@query(f"""WITH {S.CASES}, padded AS (SELECT case_id, query_anchor_groups AS g, ' ' || array_to_string({S.words('query')}, ' ') || ' ' AS p FROM gold)
+SELECT case_id, round(CASE WHEN len(g) > 0 THEN len(list_filter(g, lambda x: len(list_filter(x, lambda a: contains(p, ' ' || array_to_string({S.words('a')}, ' ') || ' '))) > 0)) / len(g) ELSE 0.0 END, 6) AS coverage FROM padded""")
+def anchor_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return cases_of(spark, d).select("case_id", evaluation.anchor_coverage(F.col("query_anchor_groups"), F.col("query")).alias("coverage"))
+
+
+@query("WITH " + S.BM25 + f""", best AS (SELECT case_id, chunk_id FROM hit WHERE rank = 1),
+checked AS (SELECT b.case_id, g.question, list_distinct(list_filter(regexp_extract_all(lower(g.question), '[a-z0-9]{{3,}}'), lambda t: NOT list_contains(['about', 'after', 'also', 'and', 'are', 'does', 'from', 'how', 'into', 'that', 'the', 'their', 'these', 'this', 'what', 'when', 'which', 'with', 'would', 'data', 'document', 'standard', 'actuarial', 'services'], t))) AS q,
+  list_distinct(regexp_extract_all(lower(coalesce(k.text, '')), '[a-z0-9]{{3,}}')) AS t FROM best b JOIN gold g USING (case_id) JOIN chunk k USING (chunk_id))
+SELECT case_id, len(q) >= 2 AND len(list_intersect(q, t)) >= CASE WHEN len(q) <= 3 THEN 2 ELSE 3 END AS supported FROM checked""")
+def evidence_support(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the best chunk of a case plainly bears on its question."""
+    from tarnstone.operators.heuristics import supports
+
+    best = lexical_hits(spark, d, 1).join(chunks_of(spark, d).select("chunk_id", "text"), "chunk_id")
+    met = best.join(broadcast_if_small(cases_of(spark, d).select("case_id", "question")), "case_id")
+    return met.select("case_id", supports(F.col("question"), F.coalesce("text", F.lit(""))).alias("supported"))
+
+
+@query()
+def best_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The passage of the best chunk of each case."""
+    from tarnstone.operators.passages import best_passages as passages
+
+    best = lexical_hits(spark, d, 1).join(chunks_of(spark, d).select("chunk_id", "text"), "chunk_id")
+    met = best.join(broadcast_if_small(cases_of(spark, d).select("case_id", "query")), "case_id").where(F.col("text").isNotNull())
+    return passages(met, "case_id", "text", "query")
+
+
+@query()
+def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The cases whose required phrases all stand in the first ten hits, whatever the white space."""
+    hits = lexical_hits(spark, d, 10).join(chunks_of(spark, d).select("chunk_id", "text"), "chunk_id")
+    wanted = cases_of(spark, d).select("case_id", F.posexplode("required_phrases").alias("no", "phrase"))
+    met = wanted.join(hits.select("case_id", "text"), "case_id", "left")
+    holds = F.coalesce(F.regexp_like(T.join_divided(F.col("text")), T.loose_phrase(F.col("phrase"))), F.lit(False))
+    each = met.groupBy("case_id", "no").agg(F.max(holds).alias("holds"))
+    return each.groupBy("case_id").agg(F.min("holds").alias("all_phrases"), F.count("*").alias("n_phrases"))

@@ -1,0 +1,223 @@
+"""Queries that search: literal, lexical, by vectors, and fused; all gold cases in one plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnstone.functions import ids
+from tarnstone.functions import text as T
+from tarnstone.operators import evaluation, evidence, fusion, lexical, store, vectors
+from tarnstone.plans import fragments as S
+from tarnstone.plans.registry import query
+from tarnstone.runtime import broadcast_if_small, materialize, table
+
+TOP = 200
+
+
+def chunks_of(spark: SparkSession, d: str) -> DataFrame:
+    return store.current_chunks(table(spark, d, "assets"), table(spark, d, "knowledge_chunks"))
+
+
+def cases_of(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.gold_cases(table(spark, d, "gold_cases"))
+
+
+def lexical_hits(spark: SparkSession, d: str, limit: int = TOP) -> DataFrame:
+    """(case_id, chunk_id, score, rank): the best chunks of each gold case by BM25."""
+    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
+    scores = lexical.bm25(chunks_of(spark, d), "chunk_id", lexical.chunk_fields(), lexical.CHUNK_WEIGHTS, terms, "case_id")
+    return lexical.top(scores, "case_id", "chunk_id", limit)
+
+
+@query(f"""WITH {S.CHUNKS},
+found AS (SELECT chunk_id, {S.lines('text')} AS l, list_position(list_transform({S.lines('text')}, lambda x: contains({S.fold('x')}, 'settlement patterns')), true) AS line_no FROM chunk WHERE contains({S.fold('text')}, 'settlement patterns'))
+SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no, left(l[line_no], 240) AS preview FROM found WHERE line_no > 0""")
+def literal_search(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.literal_hits(chunks_of(spark, d), "chunk_id", F.col("text"), "Settlement patterns")
+
+
+@query(f"""WITH {S.CHUNKS},
+found AS (SELECT chunk_id, {S.lines('text')} AS l, list_position(list_transform({S.lines('text')}, lambda x: contains(x, 'Neither the')), true) AS line_no FROM chunk WHERE contains(text, 'Neither the'))
+SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no, left(l[line_no], 240) AS preview FROM found WHERE line_no > 0""")
+def literal_search_case(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.literal_hits(chunks_of(spark, d), "chunk_id", F.col("text"), "Neither the", case_sensitive=True)
+
+
+@query(S.BM25.split(",\npart AS")[0].replace("\n  WHERE term IN (SELECT term FROM question_term)", "") .replace("WITH", "") and "WITH " + S.BM25.split(",\npart AS")[0] + " SELECT field, term, df FROM frequency")
+def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
+    return lexical.document_frequency(lexical.postings(chunks_of(spark, d), "chunk_id", lexical.chunk_fields(), terms))
+
+
+@query("WITH " + S.BM25.split(",\neach_term AS")[0] + " SELECT n, round(average, 6) AS average FROM statistics")
+def lexical_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.corpus_statistics(chunks_of(spark, d), lexical.chunk_fields()).select("n", F.round("average", 6).alias("average"))
+
+
+@query("WITH " + S.BM25 + " SELECT case_id, chunk_id, score, rank FROM hit WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return lexical_hits(spark, d, 10)
+
+
+@query("WITH " + S.BM25 + """, scoped AS (
+  SELECT s.case_id, s.chunk_id, s.score FROM score s JOIN chunk k USING (chunk_id) JOIN current_asset a ON a.asset_id = k.asset_id
+  WHERE starts_with(trim(replace(lower(a.source_path), chr(92), '/'), '/'), 'library/dorford-board-0000/'))
+SELECT case_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scoped QUALIFY rank <= 10""")
+def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """The scope narrows the hits, not the statistics."""
+    chunks = chunks_of(spark, d)
+    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
+    scores = lexical.bm25(chunks, "chunk_id", lexical.chunk_fields(), lexical.CHUNK_WEIGHTS, terms, "case_id")
+    inside = store.current_assets(table(spark, d, "assets")).where(evidence.in_path_scope(F.col("source_path"), "library/dorford-board-0000")).select("asset_id")
+    kept = chunks.select("chunk_id", "asset_id").join(inside, "asset_id", "left_semi").select("chunk_id")
+    return lexical.top(scores.join(kept, "chunk_id", "left_semi"), "case_id", "chunk_id", 10)
+
+
+@query("WITH " + S.BM25.replace("), 'heading'", "), 'heading'").replace("5.0 AS weight", "1.0 AS weight").replace("'heading', 3.0", "'heading', 1.0") + " SELECT case_id, chunk_id, score, rank FROM hit WHERE rank <= 5")
+def bm25_equal_weights(spark: SparkSession, d: str) -> DataFrame:
+    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
+    scores = lexical.bm25(chunks_of(spark, d), "chunk_id", lexical.chunk_fields(), dict.fromkeys(lexical.CHUNK_WEIGHTS, 1.0), terms, "case_id")
+    return lexical.top(scores, "case_id", "chunk_id", 5)
+
+
+@query(f"""WITH {S.CURRENT},
+{S.CASES},
+question_word AS (SELECT DISTINCT case_id, unnest({S.words('query')}) AS word FROM gold),
+question_term AS (SELECT case_id, word, unnest({S.terms('word')}) AS term FROM question_word),
+sized AS (SELECT revision_id, {S.terms("coalesce(source_name, '')")} AS t1, {S.terms("coalesce(markdown, '')")} AS t2 FROM current_revision),
+statistics AS (SELECT count(*) AS n, avg(len(t1) + len(t2)) AS average FROM sized),
+each_term AS (SELECT revision_id, len(t1) + len(t2) AS length, 'source_name' AS field, 5.0 AS weight, unnest(t1) AS term FROM sized
+  UNION ALL SELECT revision_id, len(t1) + len(t2), 'markdown', 1.0, unnest(t2) FROM sized),
+posting AS (SELECT revision_id, field, weight, term, count(*) AS tf, any_value(length) AS length FROM each_term WHERE term IN (SELECT term FROM question_term) GROUP BY ALL),
+frequency AS (SELECT field, term, count(*) AS df FROM posting GROUP BY ALL),
+part AS (SELECT revision_id, p.term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
+         * (tf * weight) * 2.2 / (tf * weight + 1.2 * (0.25 + 0.75 * length / average)) AS value
+  FROM posting p JOIN frequency f ON p.field = f.field AND p.term = f.term, statistics),
+row_part AS (SELECT revision_id, term, sum(value) AS value FROM part GROUP BY ALL),
+score AS (SELECT case_id, revision_id, round(sum(value), 6) AS score FROM row_part JOIN question_term USING (term) GROUP BY ALL)
+SELECT case_id, revision_id, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, revision_id) AS INTEGER) AS rank FROM score QUALIFY rank <= 5""")
+def asset_search(spark: SparkSession, d: str) -> DataFrame:
+    rows = store.current_revisions(table(spark, d, "assets"), table(spark, d, "asset_revisions").select("asset_id", "revision_id", "source_name", "markdown", "created_at"))
+    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
+    scores = lexical.bm25(rows, "revision_id", {"source_name": F.col("source_name"), "markdown": F.col("markdown")}, lexical.ASSET_WEIGHTS, terms, "case_id")
+    return lexical.top(scores, "case_id", "revision_id", 5)
+
+
+@query(f"""WITH {S.CHUNKS}, word AS (SELECT unnest(['settl', 'catastrophe', 'xyzzy']) AS w),
+scored AS (SELECT chunk_id, sum(CAST(contains(lower(coalesce(source_name, '')), w) OR contains(lower(array_to_string(coalesce(heading_path, []), ' ')), w) OR contains(lower(coalesce(text, '')), w) AS INTEGER))::INTEGER AS score FROM chunk, word GROUP BY chunk_id)
+SELECT chunk_id, score FROM scored WHERE score > 0""")
+def substring_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by the number of words of a query that they hold anywhere, also inside words."""
+    fields = [F.lower(F.coalesce(c, F.lit(""))) for c in lexical.chunk_fields().values()]
+    score = sum((F.when(fields[0].contains(w) | fields[1].contains(w) | fields[2].contains(w), 1).otherwise(0) for w in ("settl", "catastrophe", "xyzzy")), F.lit(0))
+    return chunks_of(spark, d).select("chunk_id", score.cast("int").alias("score")).where(F.col("score") > 0)
+
+
+_NAMES = """name AS (SELECT DISTINCT source_name FROM assets WHERE source_name IS NOT NULL)"""
+_FEATURES = """
+edged AS (SELECT word, '^' || word || '$' AS e FROM (SELECT DISTINCT word FROM counted)),
+feature AS (SELECT word, 'w:' || word AS f, 2.0 AS weight FROM edged
+  UNION ALL SELECT word, 'c' || n || ':' || substr(e, i, n), 0.5 FROM (SELECT word, e, n, unnest(range(1, length(e) - n + 2)) AS i FROM edged, (SELECT unnest([2, 3, 4]) AS n))),
+bucket AS (SELECT word, CAST(('0x' || substr(sha256(f), 1, 12))::BIGINT % 2048 AS INTEGER) AS idx, sum(weight) AS weight FROM feature GROUP BY ALL),
+raw AS (SELECT k, idx, sum(n * weight) AS val FROM counted JOIN bucket USING (word) GROUP BY ALL),
+vec AS (SELECT k, idx, val / sqrt(sum(val * val) OVER (PARTITION BY k)) AS val FROM raw)"""
+
+
+@query(f"""WITH {S.CASES}, counted AS (SELECT k, word, count(*) AS n FROM (SELECT case_id AS k, unnest({S.words('query')}) AS word FROM gold) GROUP BY ALL),
+{_FEATURES} SELECT k AS case_id, idx, round(val, 9) AS val FROM vec""")
+def ngram_query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.ngram_vectors(cases_of(spark, d), "case_id", F.col("query")).withColumn("val", F.round("val", 9))
+
+
+_SEMANTIC_SQL = f"""{S.CHUNKS},
+{S.CASES},
+counted AS (SELECT k, word, count(*) AS n FROM (
+  SELECT case_id AS k, unnest({S.words('query')}) AS word FROM gold
+  UNION ALL SELECT chunk_id, unnest({S.words("concat_ws(chr(10), array_to_string(heading_path, chr(10)), coalesce(text, ''))")}) FROM chunk) GROUP BY ALL),
+{_FEATURES.strip()},
+alike AS (SELECT q.k AS case_id, c.k AS chunk_id, round(sum(q.val * c.val), 6) AS score
+  FROM vec q JOIN gold g ON q.k = g.case_id JOIN vec c ON q.idx = c.idx JOIN chunk h ON c.k = h.chunk_id GROUP BY ALL HAVING round(sum(q.val * c.val), 6) >= 0.12),
+semantic AS (SELECT case_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM alike QUALIFY rank <= 200)"""
+
+
+def semantic_hits(spark: SparkSession, d: str, limit: int = TOP) -> DataFrame:
+    """(case_id, chunk_id, score, rank): the best chunks of each gold case by n-gram cosine."""
+    text = F.concat_ws("\n", F.array_join("heading_path", "\n"), F.coalesce("text", F.lit("")))
+    chunks = materialize(vectors.ngram_vectors(chunks_of(spark, d), "chunk_id", text), "chunk-vectors")
+    asked = materialize(vectors.ngram_vectors(cases_of(spark, d), "case_id", F.col("query")), "query-vectors")
+    return lexical.top(vectors.sparse_cosine(asked, "case_id", chunks, "chunk_id"), "case_id", "chunk_id", limit)
+
+
+@query("WITH " + _SEMANTIC_SQL + " SELECT case_id, chunk_id, score, rank FROM semantic WHERE rank <= 10")
+def ngram_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return semantic_hits(spark, d, 10)
+
+
+def hybrid_hits(spark: SparkSession, d: str, weight: float = fusion.SEMANTIC_WEIGHT, limit: int = TOP) -> DataFrame:
+    return fusion.reciprocal_rank_fusion(lexical_hits(spark, d, limit), semantic_hits(spark, d, limit), "case_id", "chunk_id", weight)
+
+
+_HYBRID_SQL = "WITH " + S.BM25 + ",\n" + _SEMANTIC_SQL.split(f"{S.CASES},\n", 1)[1] + """,
+fused AS (SELECT case_id, chunk_id, round(sum(part), 9) AS score FROM (
+  SELECT case_id, chunk_id, 0.65 / (60 + rank) AS part FROM hit UNION ALL SELECT case_id, chunk_id, 0.35 / (60 + rank) FROM semantic) GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fused)"""
+
+
+@query(_HYBRID_SQL + " SELECT case_id, chunk_id, score, rank FROM ranked WHERE rank <= 20")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid_hits(spark, d).where(F.col("rank") <= 20)
+
+
+@query(_HYBRID_SQL + " SELECT case_id, chunk_id, rank FROM ranked WHERE rank BETWEEN 21 AND 40")
+def hybrid_page_2(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid_hits(spark, d).where(F.col("rank").between(21, 40)).select("case_id", "chunk_id", "rank")
+
+
+@query("WITH " + S.BM25 + " SELECT case_id, chunk_id, round(1.0 / (60 + rank), 9) AS score FROM hit WHERE rank <= 20")
+def fusion_lexical_only(spark: SparkSession, d: str) -> DataFrame:
+    hits = lexical_hits(spark, d, 20)
+    return fusion.reciprocal_rank_fusion(hits, hits, "case_id", "chunk_id", 0.0).select("case_id", "chunk_id", "score")
+
+
+@query(_HYBRID_SQL + f""", shown AS (SELECT r.case_id, r.chunk_id, r.rank FROM ranked r JOIN gold g USING (case_id) JOIN chunk k USING (chunk_id)
+  WHERE contains(concat_ws(' ', k.source_name, array_to_string(coalesce(k.heading_path, []), ' '), k.text), g.query))
+SELECT case_id, chunk_id, rank FROM shown""")
+def hybrid_case_sensitive(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid hits that hold the query as it is written."""
+    whole = F.concat_ws(" ", "source_name", F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " "), "text")
+    texts = chunks_of(spark, d).select("chunk_id", whole.alias("whole"))
+    met = hybrid_hits(spark, d).join(texts, "chunk_id").join(broadcast_if_small(cases_of(spark, d).select("case_id", "query")), "case_id")
+    return met.where(F.contains("whole", F.col("query"))).select("case_id", "chunk_id", "rank")
+
+
+@query("WITH " + S.BM25 + """ SELECT h.case_id, sha256(concat_ws(chr(2), h.case_id, string_agg(k.asset_id || chr(1) || k.revision_id, chr(2) ORDER BY h.rank))) AS snapshot_id, count(*) AS n_hits
+FROM hit h JOIN chunk k USING (chunk_id) GROUP BY h.case_id""")
+def snapshot_id(spark: SparkSession, d: str) -> DataFrame:
+    where = chunks_of(spark, d).select("chunk_id", "asset_id", "revision_id")
+    return evidence.snapshot_ids(lexical_hits(spark, d).join(where, "chunk_id"), "case_id", "rank", "asset_id", "revision_id")
+
+
+@query("WITH " + S.BM25 + """ SELECT h.case_id, h.rank, '{"provider":"assets","resource_id":"' || k.asset_id || '","revision":"' || k.revision_id || '","selector":{"end":' || k.end_line || ',"id":"' || k.chunk_id || '","start":' || k.start_line || ',"type":"chunk"},"version":1}' AS locator,
+left(k.text, 240) AS preview, printf('%s:%08d:%s', lower(k.source_name), k.start_line, k.chunk_id) AS ordering_key
+FROM hit h JOIN chunk k USING (chunk_id) WHERE h.rank <= 3""")
+def locator_hits(spark: SparkSession, d: str) -> DataFrame:
+    met = lexical_hits(spark, d, 3).join(chunks_of(spark, d), "chunk_id")
+    locator = ids.locator("assets", F.col("asset_id"), F.col("revision_id"), F.col("chunk_id"), F.col("start_line"), F.col("end_line"))
+    key = F.format_string("%s:%08d:%s", F.lower("source_name"), "start_line", "chunk_id")
+    return met.select("case_id", "rank", locator.alias("locator"), F.left("text", F.lit(240)).alias("preview"), key.alias("ordering_key"))
+
+
+@query("""WITH asked AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
+scored AS (SELECT a.vec_id AS query, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score
+  FROM asked a, embeddings b WHERE a.vec_id <> b.vec_id)
+SELECT query, vec_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 10""")
+def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return vectors.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 10)
+
+
+@query()
+def digest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat_ws("\n", F.array_join("heading_path", "\n"), F.coalesce("text", F.lit("")))
+    return vectors.digest_vectors(chunks_of(spark, d), "chunk_id", text)
