@@ -10,7 +10,7 @@ from tarnstone.operators import evaluation, evidence
 from tarnstone.plans import fragments as S
 from tarnstone.plans.registry import query
 from tarnstone.plans.retrieval import cases_of, chunks_of, lexical_hits
-from tarnstone.runtime import broadcast_if_small
+from tarnstone.runtime import broadcast_if_small, materialize
 
 _SOURCES = "WITH " + S.BM25 + """,
 appearance AS (SELECT h.case_id, lower(k.source_name) AS source_name, min(h.rank) AS chunk_rank FROM hit h JOIN chunk k USING (chunk_id) GROUP BY ALL),
@@ -30,14 +30,14 @@ verdict AS (
   FROM gold g LEFT JOIN ranked r USING (case_id) LEFT JOIN n_hit n USING (case_id))"""
 
 
-def sources_of(spark: SparkSession, d: str) -> DataFrame:
+def sources_of(spark: SparkSession, d: str, hits: DataFrame | None = None) -> DataFrame:
     names = chunks_of(spark, d).select("chunk_id", "source_name")
-    return evidence.first_appearance(lexical_hits(spark, d).join(names, "chunk_id"), "case_id", "source_name", "rank")
+    return evidence.first_appearance((hits or lexical_hits(spark, d)).join(names, "chunk_id"), "case_id", "source_name", "rank")
 
 
 def verdicts_of(spark: SparkSession, d: str) -> DataFrame:
-    cases = cases_of(spark, d)
-    return evaluation.verdicts(cases, evaluation.expected_ranks(cases, sources_of(spark, d)), lexical_hits(spark, d))
+    cases, hits = cases_of(spark, d), materialize(lexical_hits(spark, d), "hits")
+    return evaluation.verdicts(cases, evaluation.expected_ranks(cases, sources_of(spark, d, hits)), hits)
 
 
 @query(_SOURCES + " SELECT case_id, source_name, chunk_rank, source_rank FROM source")
@@ -140,7 +140,7 @@ def best_passages(spark: SparkSession, d: str) -> DataFrame:
 
     best = lexical_hits(spark, d, 1).join(chunks_of(spark, d).select("chunk_id", "text"), "chunk_id")
     met = best.join(broadcast_if_small(cases_of(spark, d).select("case_id", "query")), "case_id").where(F.col("text").isNotNull())
-    return passages(met, "case_id", "text", "query")
+    return passages(materialize(met.select("case_id", "text", "query"), "best"), "case_id", "text", "query")
 
 
 @query()
