@@ -16,8 +16,8 @@ from tarnstone.runtime import broadcast_if_small, materialize
 #: Words of a shingle, least words of a text, least similarity of a pair.
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 50, 0.5
 #: A text goes to one shard for each band of rows minima: a pair at similarity s shares no shard with
-#: probability (1 - s ** ROWS) ** BANDS, 0.8 percent at 0.5 and 0.01 percent at 0.6.
-BANDS, ROWS = 75, 4
+#: probability (1 - s ** ROWS) ** BANDS, 0.16 percent at 0.5 and less than 0.001 percent at 0.6.
+BANDS, ROWS = 100, 4
 #: Bits of a fingerprint (one of each of as many minima), and the radius of the search. Two texts of
 #: similarity s differ in (1 - s) / 2 of the bits: at 0.5 in 48, with a standard deviation of 6.
 BITS, RADIUS = 192, 70
@@ -266,3 +266,45 @@ def pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     equal = left.join(right, ["item_kind", "class_id"]).where((F.col("x") < F.col("y")) & ~F.col("asset_x").eqNullSafe(F.col("asset_y"))).select("item_kind", "x", "y", F.lit(1.0).alias("similarity"))
     both = between.unionByName(equal)
     return both.select("item_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(item_kind, class_id, group_id): the connected components of the links, each known by its
+    least class. Large and small stars in turn: every node is tied to the least of its neighbours,
+    in a number of rounds that grows with the logarithm of the longest chain. No node's neighbours
+    are ever gathered; only minima are."""
+    key = ["item_kind", "u"]
+    edges = materialize(links.select("item_kind", F.greatest("class_a", "class_b").alias("u"), F.least("class_a", "class_b").alias("v")).where("u <> v").distinct(), "edges")
+
+    def star(edges: DataFrame, both: bool) -> DataFrame:
+        around = edges.unionByName(edges.select("item_kind", F.col("v").alias("u"), F.col("u").alias("v"))) if both else edges
+        least = around.groupBy(*key).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        met = around.join(least, key)
+        tied = met.where(F.col("v") > F.col("u")) if both else met
+        out = tied.select("item_kind", F.col("v").alias("u"), F.col("m").alias("v"))
+        if not both:
+            out = out.unionByName(least.select("item_kind", "u", F.col("m").alias("v")))
+        return out.where(F.col("u") != F.col("v")).distinct()
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("item_kind", "u", "v"))).first())
+
+    before = state(edges)
+    while True:
+        edges = materialize(star(star(edges, True), False), "edges")
+        after = state(edges)
+        if after == before:
+            break
+        before = after
+    nodes = links.select("item_kind", F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
+    joined = nodes.join(edges.select("item_kind", F.col("u").alias("class_id"), F.col("v").alias("group_id")), ["item_kind", "class_id"], "left")
+    return joined.select("item_kind", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))
+
+
+def groups(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(item_kind, item_id, class_id, group_id, n_links): every item, its class of equal texts, its
+    group and the number of classes that its own is linked to; an item alone is its own group."""
+    degree = links.select("item_kind", F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("item_kind", "class_id").agg(F.count("*").alias("n_links"))
+    of_class = components(links).join(degree, ["item_kind", "class_id"])
+    met = members.join(of_class, ["item_kind", "class_id"], "left")
+    return met.select("item_kind", "item_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -46,6 +46,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_repair.found(scan_repair.defects(table(spark, d, "asset_revisions")))
 
 
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    revisions = table(spark, d, "asset_revisions")
+    return scan_repair.paragraphs(revisions, scan_repair.defects(revisions))
+
+
+def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repaired_chunks(table(spark, d, "knowledge_chunks"), scan_repair.defects(table(spark, d, "asset_revisions")))
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = near_duplicates.current_items(table(spark, d, "assets"), table(spark, d, "asset_revisions"), table(spark, d, "knowledge_chunks"))
     return near_duplicates.near_duplicates(items)
@@ -55,6 +64,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.pairs(*_near(spark, d)).select("item_kind", "id_a", "id_b")
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(*_near(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_texts(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
@@ -103,5 +116,5 @@ UNION ALL SELECT DISTINCT 'revision', revision_id FROM asset_revisions WHERE len
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p1_small_pieces, p2_found, p2_lines, p2_texts, p4_found, p5_found, p6_ids, p7_containers, p7_containers_piece, p8_found, p8_kinds)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_small_pieces, p2_found, p2_lines, p2_texts, p4_found, p4_paragraphs, p4_chunks, p5_found, p5_groups, p6_ids, p7_containers, p7_containers_piece, p8_found, p8_kinds)
 }

@@ -393,3 +393,83 @@ def defects(revisions: DataFrame) -> DataFrame:
 def found(all_defects: DataFrame) -> DataFrame:
     """(revision_id, line_no, defect), one row for each line and kind."""
     return all_defects.select("revision_id", "line_no", "defect").distinct()
+
+
+def repaired(lines: list[str], first: int, faults: list) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of the paragraphs of lines, the first with the number first.
+
+    faults: (line_no, defect, next_line, word, right). Running headers, page numbers and page
+    markers go, divided words are joined, misread words replaced; a paragraph that a page end cut
+    goes on behind it. Headings, table rows and list items keep lines of their own."""
+    dropped, joined, words_ = set(), {}, {}
+    for line, defect, after, word, right in faults:
+        if defect in ("header", "page_no"):
+            dropped.add(line)
+        elif defect == "hyphen":
+            joined[line] = after
+        else:
+            words_.setdefault(line, []).append((word, right))
+    out: list[list] = []
+    gap = furniture = False
+    last_no = first + len(lines) - 1
+    for no, line in enumerate(lines, first):
+        text = line.strip()
+        if no in dropped or _MARKER.match(line):
+            furniture = True
+            continue
+        if not text:
+            gap = True
+            continue
+        for word, right in words_.get(no, ()):
+            text = text.replace(word, right)
+        alone = bool(_HEADING.match(text)) or text[0] == "|" or bool(_LIST.match(text))
+        previous = out[-1] if out else None
+        flows = previous and not alone and not previous[3] and (not gap or (furniture and previous[2][-1] not in ".!?:"))
+        if previous and joined.get(previous[1]) == no and not alone:
+            previous[1:3] = no, previous[2][:-1] + text
+        elif flows or (previous and not gap and not alone and _LIST.match(previous[2])):
+            previous[1:3] = no, previous[2] + " " + text
+        else:
+            out.append([no, no, text, alone])
+        gap = furniture = False
+    return [(a, min(b, last_no), t) for a, b, t, _ in out]
+
+
+def _by_revision(all_defects: DataFrame) -> DataFrame:
+    fault = F.struct("line_no", "defect", "next_line", "word", "right")
+    return all_defects.groupBy("revision_id").agg(F.array_sort(F.collect_list(fault)).alias("faults"))  # bounded by the lines of one text
+
+
+def paragraphs(revisions: DataFrame, all_defects: DataFrame) -> DataFrame:
+    """(revision_id, paragraph_no, first_line, last_line, text): the revisions with defects as
+    continuous paragraphs without them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for rid, text, faults in zip(b.revision_id, b.markdown, b.faults):
+                parts = repaired(text.split("\n"), 1, [tuple(f.values()) for f in faults])
+                rows += [(rid, k, *p) for k, p in enumerate(parts, 1)]
+            yield pd.DataFrame(rows, columns=["revision_id", "paragraph_no", "first_line", "last_line", "text"])
+
+    texts = revisions.where(F.col("markdown").isNotNull()).select("revision_id", "markdown")
+    met = texts.join(broadcast_if_small(_by_revision(all_defects)), "revision_id").dropDuplicates(["revision_id"])
+    return met.mapInPandas(run, "revision_id string, paragraph_no int, first_line int, last_line int, text string")
+
+
+def repaired_chunks(chunks: DataFrame, all_defects: DataFrame) -> DataFrame:
+    """(chunk_id, n_defects, text): the chunks of revisions with defects, in continuous paragraphs
+    with a blank line between, each chunk once. A word divided between two chunks stays divided."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for chunk, text, start, faults in zip(b.chunk_id, b.text, b.start_line, b.faults):
+                lines = text.split("\n")
+                own = [tuple(f.values()) for f in faults if start <= f["line_no"] < start + len(lines)]
+                rows.append((chunk, len(own), "\n\n".join(t for _, _, t in repaired(lines, start, own))))
+            yield pd.DataFrame(rows, columns=["chunk_id", "n_defects", "text"])
+
+    texts = chunks.where(F.col("text").isNotNull() & F.col("chunk_id").isNotNull()).select("chunk_id", "revision_id", "start_line", "text")
+    met = texts.join(broadcast_if_small(_by_revision(all_defects)), "revision_id").dropDuplicates(["chunk_id"])
+    return met.mapInPandas(run, "chunk_id string, n_defects int, text string")
