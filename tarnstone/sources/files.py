@@ -22,7 +22,8 @@ READERS = {".html": "html-text-v1", ".htm": "html-text-v1", ".docx": "docx-xml-v
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, suffix, modificationTime, length, content) of all files under folder, those in
-    or under names that begin with a dot left out."""
+    or under names that begin with a dot left out. Spark plans no read of an empty file, so those
+    don't come out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/")
     inner = F.regexp_replace("path", "^file:", "")
@@ -77,7 +78,6 @@ def document_text(suffix: str, content: bytes) -> str:
         return "\n\n".join(" ".join(_xml_texts(archive.read(slides[k]))) for k in sorted(slides))
 
 
-@F.pandas_udf("struct<text:string,error:string>")
 def _documents(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
     rows = []
     for s, c in zip(suffix, content):
@@ -97,7 +97,8 @@ def extract(files: DataFrame) -> DataFrame:
     go through Arrow. A file of another kind, or one that can't be read, has an error and nulls."""
     plain = F.col("suffix").isin(TEXT)
     known = F.col("suffix").isin(list(READERS))
-    parsed = files.withColumn("parsed", F.when(known & ~plain, _documents("suffix", F.when(known & ~plain, F.col("content")).otherwise(F.lit(b"")))))
+    read = F.pandas_udf(_documents, "struct<text:string,error:string>")
+    parsed = files.withColumn("parsed", F.when(known & ~plain, read("suffix", F.when(known & ~plain, F.col("content")).otherwise(F.lit(b"")))))
     text = F.when(plain, F.make_valid_utf8(F.col("content").cast("string"))).otherwise(F.col("parsed.text"))
     error = F.when(~known, F.concat(F.lit("UNSUPPORTED: "), F.col("suffix"))).otherwise(F.col("parsed.error"))
     version = F.lit(None).cast("string")

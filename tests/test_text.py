@@ -1,0 +1,64 @@
+"""Text functions against plain Python."""
+
+import fnmatch
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tarnstone.functions import ids
+from tarnstone.functions import text as T
+
+
+def column(spark, values, f):
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x string")
+    return [r.y for r in rows.select("i", f(F.col("x")).alias("y")).orderBy("i").collect()]
+
+
+def test_lines_as_splitlines(spark):
+    random.seed(2)
+    texts = ["", "a", "a\n", "\n", "a\r\nb", "a\rb\x0bc\x1cd\u2028e\x85f", "\n\n"] + ["".join(random.choices("ab\n\r\u2029", k=8)) for _ in range(100)]
+    assert column(spark, texts, T.lines) == [t.splitlines() for t in texts]
+
+
+def test_first_bytes_cuts_no_character(spark):
+    texts = ["", "abc", "äöü", "日本語", "a😀b", "ab\u0301c"]
+    for n in range(1, 12):
+        assert column(spark, texts, lambda c: T.first_bytes(c, n)) == [t.encode()[:n].decode("utf-8", "ignore") for t in texts]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(alphabet="ab*?[]!.-/", max_size=8), st.text(alphabet="ab.-/", max_size=8))
+def test_glob_as_fnmatch(pattern, name):
+    import re
+
+    if "[" in pattern:  # broken ranges differ
+        return
+    assert bool(re.match(T.glob_pattern(pattern), name)) == fnmatch.fnmatchcase(name, pattern)
+
+
+def test_phrases(spark):
+    cases = [("a b", "xa  b", False), ("a b", "x a\nb.", True), ("Loss ratio", "the loss  ra tio is", True), ("", "x", True), ("3.5", "13.5", False), ("3.5", "(3.5)", True)]
+    rows = spark.createDataFrame(cases, "p string, t string, ok boolean")
+    assert all(r.ok == r.got for r in rows.select("ok", F.regexp_like("t", T.loose_phrase(F.col("p"))).alias("got")).collect())
+
+
+def test_terms_stems_and_secrets(spark):
+    assert column(spark, ["Café naïve_x 12"], T.terms) == [["cafe", "naive", "x", "12"]]
+    assert column(spark, ["Straße_1 b"], T.words) == [["strasse_1", "b"]]
+    assert column(spark, ["policies", "annual", "policy", "losses", "gas", "is"], T.stem) == ["polici", "annu", "polici", "losse", "gas", "is"]
+    assert column(spark, ["token: abc, x", "Bearer abc.def"], T.redact) == ["token: [REDACTED], x", "[REDACTED]"]
+    assert column(spark, ["under-\n  writing", "a - b"], T.join_divided) == ["underwriting", "a - b"]
+
+
+def test_identities(spark):
+    import hashlib
+    import json
+
+    got = column(spark, ['a"b\\ü\n'], ids.json_string)[0]
+    assert json.loads(got) == 'a"b\\ü\n'
+    row = spark.range(1).select(ids.chunk_id(F.lit("a"), F.lit("r"), F.lit(1), F.lit(2), F.lit("t")).alias("x"), ids.asset_id(F.lit("C:\\Dir\\A.md")).alias("y"), ids.cursor(F.lit("s"), F.lit("q"), F.lit(5)).alias("z")).first()
+    assert row.x == "chunk-" + hashlib.sha256(b"a\0r\0" + b"1\0" + b"2\0t").hexdigest()
+    assert row.y == "src-" + hashlib.sha256(b"c:/dir/a.md").hexdigest()
+    assert "=" not in row.z and "+" not in row.z
