@@ -188,29 +188,37 @@ def first_model() -> tuple[np.ndarray, np.ndarray]:
     return np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True))
 
 
-def viterbi(symbols: list[int], move: np.ndarray, emit: np.ndarray) -> list[int]:
-    """The most likely labels of the lines."""
-    if not len(symbols):
-        return []
-    table = emit[:, np.asarray(symbols)].T.tolist()
-    moves = move.T.tolist()
-    score = [e + (0.0 if k in (BODY, STRUCTURE) else -3.0) for k, e in enumerate(table[0])]
-    back = []
-    for row in table[1:]:
-        step, new = [], []
-        for to in range(5):
-            into = moves[to]
-            best, at = max((score[k] + into[k], k) for k in range(5))
-            step.append(at)
-            new.append(best + row[to])
-        back.append(step)
-        score = new
-    at = max(range(5), key=score.__getitem__)
-    path = [at]
-    for step in reversed(back):
-        at = step[at]
-        path.append(at)
-    return path[::-1]
+def viterbi(texts: list, move: np.ndarray, emit: np.ndarray) -> list[np.ndarray]:
+    """The most likely labels of the lines of each text; texts of like length go side by side."""
+    start = np.where(np.isin(np.arange(5), (BODY, STRUCTURE)), 0.0, -3.0)
+    paths: list = [None] * len(texts)
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    for at in range(0, len(order), 128):
+        part = order[at : at + 128]
+        sizes = np.array([len(texts[i]) for i in part])
+        longest = int(sizes.max())
+        symbols = np.zeros((len(part), max(longest, 1)), np.int64)
+        for k, i in enumerate(part):
+            symbols[k, : sizes[k]] = texts[i]
+        score = start + emit[:, symbols[:, 0]].T
+        back = np.zeros((longest, len(part), 5), np.int8)
+        last = np.zeros((len(part), 5))
+        last[sizes == 1] = score[sizes == 1]
+        for t in range(1, longest):
+            into = score[:, :, None] + move[None]
+            best = into.argmax(1)
+            back[t] = best
+            score = np.take_along_axis(into, best[:, None], 1)[:, 0] + emit[:, symbols[:, t]].T
+            ended = sizes == t + 1
+            last[ended] = score[ended]
+        for k, i in enumerate(part):
+            path = np.empty(sizes[k], np.int64)
+            state = int(last[k].argmax())
+            for t in range(sizes[k] - 1, -1, -1):
+                path[t] = state
+                state = back[t, k, state]
+            paths[i] = path
+    return paths
 
 
 def scanned_lines(revisions: DataFrame) -> DataFrame:
@@ -235,11 +243,10 @@ def fit(lines: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]
         def counts(batches: Iterator[pd.DataFrame], move=move, emit=emit) -> Iterator[pd.DataFrame]:
             seen: Counter = Counter()
             for b in batches:
-                for symbols in b.symbols:
-                    path = viterbi(symbols, move, emit)
-                    seen.update((0, s, x) for s, x in zip(path, symbols))
-                    seen.update((1, s, t) for s, t in zip(path, path[1:]))
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "a", "b", "n"])
+                for symbols, path in zip(b.symbols, viterbi(list(b.symbols), move, emit)):
+                    seen.update((path * 1000 + symbols).tolist())
+                    seen.update((10_000 + path[:-1] * 1000 + path[1:]).tolist())
+            yield pd.DataFrame([(k // 10_000, k // 1000 % 10, k % 1000, n) for k, n in seen.items()], columns=["kind", "a", "b", "n"])
 
         total = lines.select("symbols").mapInPandas(counts, "kind int, a int, b int, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
         move, emit = np.exp(first[0]) * PRIOR_LINES, np.exp(first[1]) * PRIOR_LINES
@@ -292,7 +299,7 @@ def corrections(word: str) -> list[str]:
     return sorted((once | twice) - {word})
 
 
-_TOKENS = "revision_id string, kind string, line_no int, next_line int, split_at int, word string, other string"
+_TOKENS = "revision_id string, kind string, line_no int, next_line int, split_at int, word string, other string, words array<string>"
 
 
 def _tokens(move: np.ndarray, emit: np.ndarray):
@@ -301,9 +308,8 @@ def _tokens(move: np.ndarray, emit: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for rid, text, symbols in zip(b.revision_id, b.markdown, b.symbols):
-                lines, path = text.split("\n"), viterbi(symbols, move, emit)
-                seen = set()
+            for rid, text, symbols, path in zip(b.revision_id, b.markdown, b.symbols, viterbi(list(b.symbols), move, emit)):
+                lines, path = text.split("\n"), path.tolist()
                 body = [i for i, s in enumerate(path) if s == BODY or symbols[i] == 4]
                 follow = {}
                 for i, j in zip(body, body[1:]):
@@ -312,7 +318,7 @@ def _tokens(move: np.ndarray, emit: np.ndarray):
                 skip: dict[int, int] = {}
                 for i, s in enumerate(path):
                     if s in (HEADER, PAGE_NO):
-                        rows.append((rid, STATES[s], i + 1, 0, 0, "", ""))
+                        rows.append((rid, STATES[s], i + 1, 0, 0, "", "", None))
                         continue
                     if symbols[i] in (0, 1):
                         continue
@@ -323,14 +329,12 @@ def _tokens(move: np.ndarray, emit: np.ndarray):
                         after = lines[follow[i]].split()
                         if after and after[0][0].isalpha():
                             left, right = parts[-1][:-1].lstrip(_STRIP), after[0].rstrip(_STRIP)
-                            rows.append((rid, "hyphen", i + 1, follow[i] + 1, len(left), left + right, "" if parts[-1][-1] != "-" else left + "-" + right))
+                            rows.append((rid, "hyphen", i + 1, follow[i] + 1, len(left), left + right, "" if parts[-1][-1] != "-" else left + "-" + right, None))
                             end, skip[follow[i]] = end - 1, 1
-                    for w in parts[start:end]:
-                        w = w.strip(_STRIP)
-                        if w and _countable(w) and (i, w) not in seen:
-                            seen.add((i, w))
-                            rows.append((rid, "word", i + 1, 0, 0, w, ""))
-            yield pd.DataFrame(rows, columns=["revision_id", "kind", "line_no", "next_line", "split_at", "word", "other"])
+                    own = {w for x in parts[start:end] if (w := x.strip(_STRIP)) and _countable(w)}
+                    if own:
+                        rows.append((rid, "words", i + 1, 0, 0, "", "", sorted(own)))
+            yield pd.DataFrame(rows, columns=["revision_id", "kind", "line_no", "next_line", "split_at", "word", "other", "words"])
 
     return run
 
@@ -378,7 +382,7 @@ def defects(revisions: DataFrame) -> DataFrame:
     inside = F.when(F.col("other") == "", False).otherwise(F.col("n_hyphened") > F.col("n_joined") * 1) | ((F.col("other") != "") & (F.col("n_joined") == 0) & (F.col("n_hyphened") == 0) & capital)
     hyphens = divided.where(~inside).select("revision_id", "line_no", F.lit("hyphen").alias("defect"), "next_line", "word", F.lit("").alias("right"))
 
-    single = tokens.where(F.col("kind") == "word").select("revision_id", "line_no", "word")
+    single = tokens.where(F.col("kind") == "words").select("revision_id", "line_no", F.explode("words").alias("word"))
     joined = divided.select("revision_id", "line_no", "next_line", "split_at", F.when(inside, F.col("other")).otherwise(F.col("word")).alias("word"))
     wrong = materialize(misread_words(counts, single.select("word").unionByName(joined.select("word"))), "misread")
     wrong = broadcast_if_small(wrong)
