@@ -22,20 +22,24 @@ _PAGE = re.compile(r"^\s*<!--\s*page\b", re.I)
 
 
 def _line_cuts(text: str) -> list[tuple[int, int]]:
-    """(position, strength) of each start of a line but the first."""
-    cuts, at, blank = [], 0, False
+    """(position, strength) of each start of a line but the first. What follows a heading is tied to
+    it like a word, so that no heading ends a piece where its text fits."""
+    cuts, at, blank, headed = [], 0, False, False
     for line in text.split("\n"):
-        if at and line.strip():
-            if _HEADING.match(line):
+        solid = bool(line.strip())
+        heading = solid and bool(_HEADING.match(line))
+        if at:
+            if headed and not heading:
+                strength = 1
+            elif heading:
                 strength = 6
-            elif _PAGE.match(line):
+            elif solid and _PAGE.match(line):
                 strength = 5
             else:
-                strength = 4 if blank else 3
+                strength = 4 if solid and blank else 3
             cuts.append((at, strength))
-        elif at:
-            cuts.append((at, 3))
-        blank = not line.strip()
+        headed = heading or (headed and not solid)
+        blank = not solid
         at += len(line) + 1
     return [c for c in cuts if c[0] < len(text)]
 
