@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnstone.runtime import spread
+
 #: White space that counts for nothing at the end of a line or of a text; the line feed is apart.
-BLANKS = r"\t\x0B\f\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANKS = "\t\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def normal_text(text: Column) -> Column:
-    """text with CRLF as LF, without blanks at line ends and at its end."""
-    lines = F.regexp_replace(text, rf"[{BLANKS}]++(?=\n)", "")
-    return F.regexp_replace(lines, rf"[{BLANKS}\n]++\z", "")
+    """text with CRLF as LF, without blanks at line ends and at its end. Only ends are looked at."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit(BLANKS)))
+    return F.rtrim(F.array_join(lines, "\n"), F.lit(BLANKS + "\n"))
 
 
 def normal_hash(digest: Column) -> Column:
@@ -86,6 +88,7 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
     latest delivery holds, null equals only null, a row without asset_id or snapshot_no is no
     record, and an empty table gives no events. delivered_at null is earlier than any time."""
     digest = row_hash(F.col("current_revision_id"), normal_hash(F.col("source_hash")), normal_text(F.col("markdown")))
+    rows = spread(rows.select("snapshot_no", "delivered_at", "asset_id", "current_revision_id", "source_hash", "markdown"))
     states = latest_states(rows, "asset_id", "snapshot_no", "delivered_at", digest)
     numbers = snapshot_numbers(rows, "snapshot_no")
     return change_events(validity_intervals(states, numbers, "asset_id", "snapshot_no"), numbers, "asset_id", "snapshot_no")

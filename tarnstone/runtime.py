@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it in spark.checkpoint.dir.
 
-    Where the setting is unset (tests, a single machine) a temporary folder is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    Where that is unset, a single machine (tests) gets a temporary folder, and a cluster the
+    warehouse, which its executors share too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tarnstone_dir", None)
     if not folder:
-        folder = getattr(spark, "_tarnstone_dir", None)
-        if folder is None:
+        if spark.sparkContext.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="spark-tarnstone-")
-            spark._tarnstone_dir = folder
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_between"
+        spark._tarnstone_dir = folder
     return folder
 
 
@@ -47,3 +49,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     The count stops as soon as the bound is passed, so that a large side costs no full pass;
     beyond the bound the join shuffles, and adaptive execution splits its skewed partitions."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if a small file gives it fewer; else as it is.
+
+    For stages that work hard on each row. Data in many files or row groups has the partitions it
+    needs already and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
