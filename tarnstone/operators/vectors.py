@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnstone.functions import text as T
-from tarnstone.runtime import broadcast_if_small
+from tarnstone.runtime import broadcast_if_small, materialize
 
 #: Coordinates of a vector, weights of a word and of one of its n-grams, least similarity of a hit.
 DIMENSIONS, WORD_WEIGHT, GRAM_WEIGHT, FLOOR = 2048, 2.0, 0.5, 0.12
@@ -52,39 +52,111 @@ def sparse_cosine(queries: DataFrame, query: str, rows: DataFrame, key: str, flo
     return met.groupBy(query, key).agg(F.round(F.sum(F.col("val") * F.col("of_query")), 6).alias("score")).where(F.col("score") >= floor)
 
 
-def digest_vectors(rows: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, idx, val, norm): the same features under a keyless 64-bit BLAKE2b digest, one array a
-    row. Spark has no such function, so the texts go through Arrow; a worker hashes each word once."""
+def _word_encoder(digest: str, dimensions: int) -> Callable[[str | None], np.ndarray]:
+    """A function from texts to dense vectors of length 1 (zero without words); it keeps the
+    coordinates of the words it has met."""
+    import hashlib
+    import re
+
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bucket(feature: str) -> int:
+        data = feature.encode()
+        if digest == "sha":
+            return int(hashlib.sha256(data).hexdigest()[:12], 16) % dimensions
+        return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little") % dimensions
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-        import re
+    def of_word(word: str) -> tuple[np.ndarray, np.ndarray]:
+        edged = f"^{word}$"
+        features = [(f"w:{word}", WORD_WEIGHT)] + [(f"c{n}:{edged[i : i + n]}", GRAM_WEIGHT) for n in GRAMS for i in range(len(edged) - n + 1)]
+        if len(known) > 200_000:
+            known.clear()
+        known[word] = np.array([bucket(f) for f, _ in features]), np.array([w for _, w in features])
+        return known[word]
 
-        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    def encode(text: str | None) -> np.ndarray:
+        parts = [known.get(w) or of_word(w) for w in re.findall(r"\w+", (text or "").lower().replace("ß", "ss"))]
+        if not parts:
+            return np.zeros(dimensions)
+        v = np.bincount(np.concatenate([i for i, _ in parts]), np.concatenate([w for _, w in parts]), dimensions)
+        return v / np.sqrt((v * v).sum())
 
-        def of_word(word: str) -> tuple[np.ndarray, np.ndarray]:
-            edged = f"^{word}$"
-            features = [(f"w:{word}", WORD_WEIGHT)] + [(f"c{n}:{edged[i : i + n]}", GRAM_WEIGHT) for n in GRAMS for i in range(len(edged) - n + 1)]
-            idx = [int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little") % dimensions for f, _ in features]
-            if len(known) > 200_000:
-                known.clear()
-            known[word] = np.array(idx), np.array([w for _, w in features])
-            return known[word]
+    return encode
+
+
+def digest_vectors(rows: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, idx, val, norm): the same features under a keyless 64-bit BLAKE2b digest, one array a
+    row. Spark has no such function, so the texts go through Arrow; a worker hashes each word once."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = _word_encoder("blake2b", dimensions)
         for b in batches:
             out = []
             for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                v = np.zeros(dimensions)
-                for w in re.findall(r"\w+", (t or "").casefold()):
-                    idx, weight = known.get(w) or of_word(w)
-                    np.add.at(v, idx, weight)
+                v = encode(t)
                 at = np.flatnonzero(v)
-                norm = float(np.sqrt((v * v).sum()))
-                out.append((k, at.astype(np.int32), v[at] / norm if norm else v[at], 1.0 if norm else 0.0))
+                out.append((k, at.astype(np.int32), v[at], 1.0 if len(at) else 0.0))
             yield pd.DataFrame(out, columns=[key, "idx", "val", "norm"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, text.alias("text")).mapInPandas(encode, f"{key} {kind}, idx array<int>, val array<double>, norm double")
+    return rows.select(key, text.alias("text")).mapInPandas(run, f"{key} {kind}, idx array<int>, val array<double>, norm double")
+
+
+def ngram_blocks(rows: DataFrame, size: int = 256, dimensions: int = DIMENSIONS) -> DataFrame:
+    """rows (key, text) as blocks (keys, vectors) of at most size vectors of length 1, whose
+    coordinates are those of ngram_vectors."""
+    kind = dict(rows.dtypes)["key"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = _word_encoder("sha", dimensions)
+        for b in batches:
+            for at in range(0, len(b), size):
+                part = b.iloc[at : at + size]
+                x = np.array([encode(t) for t in part.text])
+                yield pd.DataFrame({"keys": [part.key.to_numpy()], "vectors": [x.tobytes()]})
+
+    return rows.select("key", "text").mapInPandas(run, f"keys array<{kind}>, vectors binary")
+
+
+def dense_blocks(rows: DataFrame, size: int = 1024) -> DataFrame:
+    """rows (key, vector) as blocks (keys, vectors) of at most size vectors of length 1; null vectors
+    are left out."""
+    kind = dict(rows.dtypes)["key"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), size):
+                part = b.iloc[at : at + size]
+                x = np.array(part.vector.tolist(), np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                yield pd.DataFrame({"keys": [part.key.to_numpy()], "vectors": [x.tobytes()]})
+
+    return rows.where(F.col("vector").isNotNull()).select("key", "vector").mapInPandas(run, f"keys array<{kind}>, vectors binary")
+
+
+def search_blocks(rows: DataFrame, queries: DataFrame, limit: int, floor: float = -1.0, same: bool = True) -> DataFrame:
+    """(query, key, score, rank): for each query the limit nearest rows by cosine from floor on.
+
+    The blocks of a stated query set meet the blocks of the rows, one matrix product a pair, and of
+    each product only limit rows a query go on. Up to 32 blocks of queries are broadcast; of more,
+    the pairs of blocks are spread over the cluster. same: whether a row may answer its own key."""
+    from tarnstone.operators.lexical import top
+
+    kind, of_query = (dict(x.dtypes)["keys"].removeprefix("array<").removesuffix(">") for x in (rows, queries))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for keys, vectors, names, asked in zip(b["keys"], b.vectors, b.names, b.asked):
+                x, q = np.frombuffer(vectors).reshape(len(keys), -1), np.frombuffer(asked).reshape(len(names), -1)
+                score, keys = np.round(q @ x.T, 6), np.asarray(keys)
+                for name, line in zip(names, score):
+                    at = np.flatnonzero(line >= floor) if same else np.flatnonzero((line >= floor) & (keys != name))
+                    at = at[np.lexsort((keys[at], -line[at]))][:limit]
+                    yield pd.DataFrame({"query": name, "key": keys[at], "score": line[at]})
+
+    asked = queries.select(F.col("keys").alias("names"), F.col("vectors").alias("asked"))
+    met = rows.crossJoin(broadcast_if_small(materialize(asked, "query-blocks"), 32))  # a stated query set, in blocks
+    return top(met.mapInPandas(run, f"query {of_query}, key {kind}, score double"), "query", "key", limit)
 
 
 def dense_cosine(a: Column, b: Column) -> Column:
@@ -97,33 +169,8 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norm > 0, dot(a, b) / norm).otherwise(0.0))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, limit: int, block: int = 256) -> DataFrame:
-    """(query, key, score, rank): for each row of queries the limit nearest other rows by cosine.
-
-    The queries are a stated set that is sent to the rows in blocks of at most block; a task keeps
-    limit rows for each query, by matrix products over its batches, and only those are shuffled."""
-    from tarnstone.operators.lexical import top
-
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("v"))
-    number = F.pmod(F.xxhash64("query"), F.lit(max(1, asked.count() // block))).cast("int")
-    kind = dict(rows.dtypes)[key]
-    blocks = asked.groupBy(number.alias("block")).agg(F.collect_list(F.struct("query", "v")).alias("asked"))  # about block rows each
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for asked_, part in b.groupby("block"):
-                block_rows = part.asked.iloc[0]
-                q = np.array([r["v"] for r in block_rows], np.float64)
-                names = [r["query"] for r in block_rows]
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                x = np.array(part[vector].tolist(), np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = np.round(x @ q.T, 6)
-                keys = part[key].to_numpy()
-                for j, name in enumerate(names):
-                    order = np.lexsort((keys, -score[:, j]))
-                    order = order[keys[order] != name][: limit]
-                    yield pd.DataFrame({"query": name, key: keys[order], "score": score[order, j]})
-
-    met = rows.where(F.col(vector).isNotNull()).select(key, vector).join(broadcast_if_small(blocks, 1000))
-    return top(met.mapInPandas(search, f"query {kind}, {key} {kind}, score double"), "query", key, limit)
+def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, limit: int) -> DataFrame:
+    """(query, key, score, rank): for each row of queries the limit nearest other rows by cosine."""
+    pair = [F.col(key).alias("key"), F.col(vector).alias("vector")]
+    found = search_blocks(dense_blocks(rows.select(*pair)), dense_blocks(queries.select(*pair)), limit, same=False)
+    return found.withColumnRenamed("key", key)

@@ -10,13 +10,13 @@ from tarnstone.functions import text as T
 from tarnstone.operators import evaluation, evidence, fusion, lexical, store, vectors
 from tarnstone.plans import fragments as S
 from tarnstone.plans.registry import query
-from tarnstone.runtime import broadcast_if_small, materialize, table
+from tarnstone.runtime import broadcast_if_small, materialize, spread, table
 
 TOP = 200
 
 
 def chunks_of(spark: SparkSession, d: str) -> DataFrame:
-    return store.current_chunks(table(spark, d, "assets"), table(spark, d, "knowledge_chunks"))
+    return store.current_chunks(table(spark, d, "assets"), spread(table(spark, d, "knowledge_chunks")))
 
 
 def cases_of(spark: SparkSession, d: str) -> DataFrame:
@@ -144,9 +144,10 @@ semantic AS (SELECT case_id, chunk_id, score, CAST(row_number() OVER (PARTITION
 def semantic_hits(spark: SparkSession, d: str, limit: int = TOP) -> DataFrame:
     """(case_id, chunk_id, score, rank): the best chunks of each gold case by n-gram cosine."""
     text = F.concat_ws("\n", F.array_join("heading_path", "\n"), F.coalesce("text", F.lit("")))
-    chunks = materialize(vectors.ngram_vectors(chunks_of(spark, d), "chunk_id", text), "chunk-vectors")
-    asked = materialize(vectors.ngram_vectors(cases_of(spark, d), "case_id", F.col("query")), "query-vectors")
-    return lexical.top(vectors.sparse_cosine(asked, "case_id", chunks, "chunk_id"), "case_id", "chunk_id", limit)
+    chunks = chunks_of(spark, d).select(F.col("chunk_id").alias("key"), text.alias("text"))
+    asked = cases_of(spark, d).select(F.col("case_id").alias("key"), F.col("query").alias("text"))
+    hits = vectors.search_blocks(vectors.ngram_blocks(chunks), vectors.ngram_blocks(asked), limit, vectors.FLOOR)
+    return hits.withColumnsRenamed({"query": "case_id", "key": "chunk_id"})
 
 
 @query("WITH " + _SEMANTIC_SQL + " SELECT case_id, chunk_id, score, rank FROM semantic WHERE rank <= 10")

@@ -76,7 +76,7 @@ def test_nearest_against_brute_force(spark):
     x = rng.normal(size=(120, 8))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id bigint, v array<double>").repartition(5)
     got = {}
-    for r in vectors.nearest(rows, rows.where("id % 10 = 0"), "id", "v", 4, block=3).orderBy("query", "rank").collect():
+    for r in vectors.nearest(rows, rows.where("id % 10 = 0"), "id", "v", 4).orderBy("query", "rank").collect():
         got.setdefault(r.query, []).append(r.id)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     for q, found in got.items():
