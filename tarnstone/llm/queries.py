@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnstone.llm import encoding, near_duplicates, packing, repeated_lines, residue, scan_repair, splitting
-from tarnstone.runtime import table
+from tarnstone.runtime import spread, table
 
 #: The profiles by which chunks and revisions are split.
 SPLIT_PROFILES = {"chunk": "chunk-bound", "revision": "revision-read"}
@@ -69,12 +69,12 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.encode_texts(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
+    return encoding.encode_texts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", "byte_bpe_50k")
 
 
 def _packed(spark: SparkSession, d: str, tokenizer: str) -> DataFrame:
     profiles = table(spark, d, "size_profiles").where((F.col("purpose") == "pack") & (F.col("tokenizer") == tokenizer)).orderBy("profile_id").collect()  # one row a profile
-    sizes = encoding.count_tokens(table(spark, d, "documents"), "doc_id", "text", tokenizer)
+    sizes = encoding.count_tokens(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", tokenizer)
     return packing.pack_profiles(sizes.withColumnRenamed("doc_id", "item_id"), {p.profile_id: p.capacity for p in profiles}).withColumnRenamed("item_id", "doc_id")
 
 
@@ -91,7 +91,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_documents(table(spark, d, "documents"))
+    return residue.residue_documents(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 _SITE = "nullif(split_part(ltrim(replace(lower(source_path), '\\', '/'), '/'), '/', 2), '')"
