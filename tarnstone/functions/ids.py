@@ -49,4 +49,4 @@ def evidence_id(locator_json: Column, digest: Column) -> Column:
 def cursor(snapshot: Column, query_key: Column, offset: Column) -> Column:
     """An opaque place in a result list: URL-safe base64 of JSON, without padding."""
     body = F.to_json(F.struct(offset.cast("int").alias("offset"), query_key.alias("query_key"), snapshot.alias("snapshot_id")))
-    return F.translate(F.rtrim(F.base64(F.encode(body, "UTF-8")), F.lit("=")), "+/", "-_")
+    return F.translate(F.rtrim(F.base64(F.encode(body, "UTF-8")), F.lit("=")), "+/\r\n", "-_")  # base64 breaks lines

@@ -118,3 +118,9 @@ def secret_redaction(spark: SparkSession, d: str) -> DataFrame:
 def document_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("lang", "source", "text")
     return rows.groupBy("lang", "source").agg(F.count("*").alias("n_documents"), F.count("text").alias("n_texts"), F.countDistinct(F.md5("text")).alias("n_different"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("n_bytes"))
+
+
+@query("WITH " + _LINES_SQL + """ SELECT p.revision_id, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM piece p JOIN counted c ON c.revision_id = p.revision_id AND c.line_no = p.start_line WHERE c.kind = 'm'""")
+def page_marker_chunks(spark: SparkSession, d: str) -> DataFrame:
+    chunks = chunking.markdown_chunks(revisions_of(spark, d), ["revision_id"], "markdown")
+    return chunks.where(T.is_page_marker(F.get(F.split("text", "\n"), F.lit(0)))).select("revision_id", "start_line", "end_line")

@@ -152,3 +152,25 @@ def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
     holds = F.coalesce(F.regexp_like(T.join_divided(F.col("text")), T.loose_phrase(F.col("phrase"))), F.lit(False))
     each = met.groupBy("case_id", "no").agg(F.max(holds).alias("holds"))
     return each.groupBy("case_id").agg(F.min("holds").alias("all_phrases"), F.count("*").alias("n_phrases"))
+
+
+@query("WITH " + S.BM25 + f""",
+claim AS (SELECT case_id, unnest(range(len(required_claims))) AS claim_no, unnest(required_claims) AS c FROM gold),
+wanted AS (SELECT case_id, claim_no, unnest(c.evidence_phrases) AS phrase FROM claim),
+met AS (SELECT w.case_id, w.claim_no, max(CAST(contains({_clean("coalesce(k.text, '')")}, {S.collapse(S.fold('phrase'))}) AS INTEGER)) AS met
+  FROM wanted w LEFT JOIN hit h ON h.case_id = w.case_id AND h.rank <= 20 LEFT JOIN chunk k USING (chunk_id) GROUP BY ALL)
+SELECT case_id, count(*) AS n_claims, min(met) = 1 AS satisfied FROM met GROUP BY case_id""")
+def claim_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Cases with claims, by whether the first 20 hits hold some phrase of each claim."""
+    claims = cases_of(spark, d).select("case_id", F.posexplode("required_claims").alias("claim_no", "c")).select("case_id", "claim_no", F.explode("c.evidence_phrases").alias("phrase"))
+    hits = lexical_hits(spark, d, 20).join(chunks_of(spark, d).select("chunk_id", "text"), "chunk_id").select("case_id", "text")
+    holds = F.contains(T.collapse(T.casefold(T.join_divided(F.coalesce("text", F.lit(""))))), T.collapse(T.casefold(F.col("phrase"))))
+    each = claims.join(hits, "case_id", "left").groupBy("case_id", "claim_no").agg(F.max(holds).alias("met"))
+    return each.groupBy("case_id").agg(F.count("*").alias("n_claims"), F.min("met").alias("satisfied"))
+
+
+@query("WITH " + S.BM25 + """ SELECT h.case_id, CAST(count(*) AS BIGINT) AS n_read, CAST(sum(strlen(coalesce(k.text, ''))) AS BIGINT) AS evidence_bytes FROM hit h JOIN chunk k USING (chunk_id) WHERE h.rank <= 5 GROUP BY h.case_id""")
+def evidence_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes that reading the first five hits of each case takes."""
+    read = lexical_hits(spark, d, 5).join(chunks_of(spark, d).select("chunk_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")), "chunk_id")
+    return read.groupBy("case_id").agg(F.count("*").alias("n_read"), F.sum("n").cast("bigint").alias("evidence_bytes"))

@@ -222,3 +222,28 @@ def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 def digest_vectors(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws("\n", F.array_join("heading_path", "\n"), F.coalesce("text", F.lit("")))
     return vectors.digest_vectors(chunks_of(spark, d), "chunk_id", text)
+
+
+@query("WITH " + S.BM25.split(",\nfrequency AS")[0] + " SELECT chunk_id, field, term, tf, CAST(length AS INTEGER) AS length FROM posting")
+def term_postings(spark: SparkSession, d: str) -> DataFrame:
+    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
+    return lexical.postings(chunks_of(spark, d), "chunk_id", lexical.chunk_fields(), terms)
+
+
+@query("WITH " + _SEMANTIC_SQL + " SELECT case_id, chunk_id, round(1.0 / (60 + rank), 9) AS score FROM semantic WHERE rank <= 20")
+def fusion_semantic_only(spark: SparkSession, d: str) -> DataFrame:
+    hits = semantic_hits(spark, d, 20)
+    return fusion.reciprocal_rank_fusion(hits, hits, "case_id", "chunk_id", 1.0).select("case_id", "chunk_id", "score")
+
+
+@query("WITH " + S.BM25 + """, listed AS (SELECT h.case_id, 'search::' || h.case_id AS query_key, sha256(concat_ws(chr(2), h.case_id, string_agg(k.asset_id || chr(1) || k.revision_id, chr(2) ORDER BY h.rank))) AS snapshot_id, count(*) AS n
+  FROM hit h JOIN chunk k USING (chunk_id) GROUP BY h.case_id)
+SELECT case_id, o AS page_offset, replace(replace(rtrim(to_base64(encode('{"offset":' || o || ',"query_key":"' || query_key || '","snapshot_id":"' || snapshot_id || '"}')), '='), '+', '-'), '/', '_') AS cursor
+FROM (SELECT *, unnest(range(20, n, 20))::INTEGER AS o FROM listed)""")
+def page_cursors(spark: SparkSession, d: str) -> DataFrame:
+    """The cursors of the pages of 20 of each case's hits, bound to the whole list of hits."""
+    where = chunks_of(spark, d).select("chunk_id", "asset_id", "revision_id")
+    listed = evidence.snapshot_ids(lexical_hits(spark, d).join(where, "chunk_id"), "case_id", "rank", "asset_id", "revision_id").where(F.col("n_hits") > 20)
+    pages = listed.select("case_id", "snapshot_id", F.explode(F.sequence(F.lit(20), (F.col("n_hits") - 1).cast("int"), F.lit(20))).alias("page_offset"))
+    key = F.concat(F.lit("search::"), F.col("case_id"))
+    return pages.select("case_id", "page_offset", ids.cursor(F.col("snapshot_id"), key, F.col("page_offset")).alias("cursor"))

@@ -168,3 +168,33 @@ def heading_outline(spark: SparkSession, d: str) -> DataFrame:
     rows = store.current_revisions(table(spark, d, "assets"), table(spark, d, "asset_revisions").select("asset_id", "revision_id", "markdown", "created_at"))
     numbered = F.transform(T.lines(F.col("markdown")), lambda x, i: F.when(T.heading_level(x).isNotNull(), i + 1))
     return rows.select("revision_id", F.filter(numbered, lambda x: x.isNotNull()).alias("heading_lines"))
+
+
+@query("""SELECT asset_id, count(DISTINCT revision_id) AS n_revisions FROM asset_revisions WHERE asset_id IS NOT NULL AND revision_id IS NOT NULL GROUP BY asset_id""")
+def unchanged_reingest(spark: SparkSession, d: str) -> DataFrame:
+    """All revisions put a second time: none is added."""
+    revisions, assets = table(spark, d, "asset_revisions").select("asset_id", "revision_id", "created_at"), table(spark, d, "assets")
+    _, after = store.put(assets, revisions, assets, revisions)
+    return after.groupBy("asset_id").agg(F.count("*").alias("n_revisions"))
+
+
+@query(f"WITH {S.ASSETS} SELECT asset_id, source_name FROM current_asset WHERE asset_id = 'Paper-001.MD' OR lower(source_name) = 'paper-001.md' OR lower(source_path) = 'paper-001.md'")
+def list_asset_scope(spark: SparkSession, d: str) -> DataFrame:
+    rows = store.current_assets(table(spark, d, "assets"))
+    return rows.where(evidence.in_asset_scope(F.col("asset_id"), F.col("source_name"), F.col("source_path"), "Paper-001.MD")).select("asset_id", "source_name")
+
+
+@query(f"""WITH {S.CURRENT} SELECT r.asset_id, r.revision_id, CAST(strlen(r.markdown) AS BIGINT) AS size_bytes, sha256(r.markdown) AS content_hash, r.parser_name,
+list_sort(list(DISTINCT h.revision_id)) AS revisions FROM current_revision r JOIN revision h USING (asset_id) GROUP BY ALL""")
+def stat_assets(spark: SparkSession, d: str) -> DataFrame:
+    revisions = table(spark, d, "asset_revisions").select("asset_id", "revision_id", "markdown", "parser_name", "created_at")
+    current = store.current_revisions(table(spark, d, "assets"), revisions)
+    stat = current.select("asset_id", "revision_id", F.octet_length("markdown").cast("bigint").alias("size_bytes"), ids.content_hash(F.col("markdown")).alias("content_hash"), "parser_name")
+    history = revisions.where(F.col("revision_id").isNotNull()).groupBy("asset_id").agg(F.array_sort(F.collect_set("revision_id")).alias("revisions"))
+    return stat.join(history, "asset_id")
+
+
+@query(f"""WITH {S.CHUNKS} SELECT chunk_id, asset_id, revision_id, start_line, end_line, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS content_hash FROM chunk""")
+def stat_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = store.current_chunks(table(spark, d, "assets"), table(spark, d, "knowledge_chunks"))
+    return rows.select("chunk_id", "asset_id", "revision_id", "start_line", "end_line", F.octet_length("text").cast("bigint").alias("size_bytes"), ids.content_hash(F.col("text")).alias("content_hash"))
