@@ -83,7 +83,8 @@ def page_number(line: str) -> tuple[int, int] | None:
     if m["word"] and fold(m["word"]) not in _PAGE_FOLDED:
         return None
     digits = m["no"].translate(_DIGITS)
-    if not digits.isdigit() or not any(c.isdigit() for c in text):
+    read_as_letters = len(m["no"]) > 1 and set(m["no"]) <= set("lIO|")
+    if not digits.isdigit() or not (read_as_letters or any(c.isdigit() for c in text)):
         return None
     decorated = m["word"] or m["of"] or text[0] in "-–—[(·•~|" and not text[0].isalnum()
     if m["tail"].strip(" .-–—])·•~|"):
