@@ -1,4 +1,4 @@
-"""Template residue, filler and error-page text: trusted segments, spread over near-duplicates by SimHash."""
+"""Template residue, filler and error-page text: trusted segments, spread over near-duplicates by SimHash and shingles."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from tarnstone.runtime import broadcast_if_small, materialize
 
 #: Words of a shingle and least similarity of the texts of two near-duplicate segments.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Most different bits of two SimHashes; with one block more, two such hashes agree in a block.
+#: Most different bits of two SimHashes; with one block more, two such hashes agree in a block. Most
+#: similar segments of sentence length differ in more: what the SimHashes lose, SimHasher.keys finds.
 RADIUS, BLOCKS = 3, 4
 #: The word that stands for an unfilled place in a normal text.
 PLACE = "⟦⟧"
@@ -149,11 +151,12 @@ def segments(text: str) -> list[str]:
 
 
 class SimHasher:
-    """64-bit SimHashes of lists of words; the bits of each word are kept."""
+    """64-bit SimHashes and shingle keys of lists of words; the bits and the hash of each word are kept."""
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
         self.signs = np.empty((4096, 64), np.int8)
+        self.words = np.empty(4096, np.uint64)
 
     def _number(self, word: str) -> int:
         import xxhash
@@ -161,59 +164,110 @@ class SimHasher:
         n = self.index[word] = len(self.index)
         if n == len(self.signs):
             self.signs = np.concatenate([self.signs, np.empty_like(self.signs)])
-        bits = np.frombuffer(xxhash.xxh64_digest(word), np.uint8)
-        self.signs[n] = np.unpackbits(bits).astype(np.int8) * 2 - 1
+            self.words = np.concatenate([self.words, np.empty_like(self.words)])
+        digest = xxhash.xxh64_digest(word)
+        self.signs[n] = np.unpackbits(np.frombuffer(digest, np.uint8)).astype(np.int8) * 2 - 1
+        self.words[n] = int.from_bytes(digest)
         return n
 
-    def hashes(self, lists: list[list[str]]) -> np.ndarray:
-        if not lists:
-            return np.zeros(0, np.int64)
+    def numbers(self, lists: list[list[str]]) -> np.ndarray:
+        """The numbers of the words of all lists; they hold until the next call."""
         if len(self.index) > 300_000:
             self.__init__()
         index = self.index
-        numbers = np.array([index[w] if w in index else self._number(w) for words in lists for w in words], np.int64)
+        return np.array([index[w] if w in index else self._number(w) for words in lists for w in words], np.int64)
+
+    def hashes(self, lists: list[list[str]], numbers: np.ndarray | None = None) -> np.ndarray:
+        if not lists:
+            return np.zeros(0, np.int64)
+        numbers = self.numbers(lists) if numbers is None else numbers
         starts = np.cumsum([0, *map(len, lists[:-1])])
         sums = np.add.reduceat(self.signs[numbers], starts, axis=0, dtype=np.int32)
         return np.packbits(sums > 0, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
 
-
-_SEGMENT = "doc_id bigint, segment_id bigint, simhash bigint, residue string, normal string"
+    def keys(self, lists: list[list[str]], numbers: np.ndarray | None = None) -> pa.ListArray:
+        """For each list the keys, below 0, of its shingles with the least hashes: of m different ones
+        m - ceil(SIMILARITY * m) + 1, so that lists at SIMILARITY or more always share a key.
+
+        Such lists have ceil(SIMILARITY * m) shingles in common for the m of either, so the least
+        common one is among these in both."""
+        numbers = self.numbers(lists) if numbers is None else numbers
+        places = len(numbers) - SHINGLE + 1
+        if places <= 0:
+            return pa.ListArray.from_arrays(pa.array([0] * (len(lists) + 1), pa.int32()), pa.array([], pa.int32()))
+        words = self.words[numbers]
+        h = words[:places].copy()
+        with np.errstate(over="ignore"):
+            for k in range(1, SHINGLE):
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[k : places + k]
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(31)
+        sizes = np.array([len(x) for x in lists])
+        of = np.repeat(np.arange(len(lists)), sizes)[:places]
+        inside = np.arange(places) + SHINGLE <= np.cumsum(sizes)[of]
+        bits = np.uint64(len(lists).bit_length())  # the number of the list goes above the hash
+        ordered = np.unique((of[inside].astype(np.uint64) << (np.uint64(64) - bits)) | (h[inside] >> bits))
+        of = (ordered >> (np.uint64(64) - bits)).astype(np.int64)
+        m = np.bincount(of, minlength=len(lists))
+        kept = np.where(m > 0, m - np.ceil(SIMILARITY * m - 1e-9).astype(np.int64) + 1, 0)
+        chosen = ordered[np.arange(len(ordered)) - (np.cumsum(m) - m)[of] < kept[of]]
+        values = -1 - ((chosen << bits) >> np.uint64(33)).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(values, pa.int32()))
+
+
+_SEGMENT = "doc_id bigint, segment_id bigint, simhash bigint, residue string, normal string, keys array<int>"
 
 
 def document_segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, segment_id, simhash, residue, normal): the segments of each text, each once a text.
+    """(doc_id, segment_id, simhash, residue, normal, keys): the segments of each text, each once a text.
 
     residue is the kind of a trusted residue segment. Segments under SHINGLE words that are none
     are left out: no other segment can be similar to them without being equal."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hasher = SimHasher()
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                rows, lists = [], []
-                for doc, text in zip(batch.doc_id[at : at + 200], batch.text[at : at + 200]):
+            for at in range(0, batch.num_rows, 200):
+                docs, ids, kinds, normals, lists = [], [], [], [], []
+                part = batch.slice(at, 200)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     parts = dict.fromkeys(segments(text))
                     whole = "\n".join(parts)
                     filler = any(x in whole for x in _FILLER)
                     for normal in parts:
                         residue = kind_of(normal, filler)
                         if residue or normal.count(" ") >= SHINGLE - 1:
-                            rows.append((doc, xxhash.xxh64_intdigest(normal) - (1 << 63), residue, normal))
+                            docs.append(doc)
+                            ids.append(xxhash.xxh64_intdigest(normal) - (1 << 63))
+                            kinds.append(residue)
+                            normals.append(normal)
                             lists.append(normal.split(" "))
-                frame = pd.DataFrame(rows, columns=["doc_id", "segment_id", "residue", "normal"])
-                frame.insert(2, "simhash", hasher.hashes(lists))
-                yield frame
+                numbers = hasher.numbers(lists)
+                columns = [pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(hasher.hashes(lists, numbers)), pa.array(kinds, pa.string()), pa.array(normals, pa.string()), hasher.keys(lists, numbers)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "segment_id", "simhash", "residue", "normal", "keys"])
+
+    return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, _SEGMENT)
+
+
+def with_keys(segments_: DataFrame) -> DataFrame:
+    """segments_ (segment_id, simhash, residue, normal) with the shingle keys of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SimHasher()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, hasher.keys([x.split(" ") for x in b.column(3).to_pylist()])], names=[*b.schema.names, "keys"])
 
-    return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, _SEGMENT)
+    return segments_.select("segment_id", "simhash", "residue", "normal").mapInArrow(run, "segment_id bigint, simhash bigint, residue string, normal string, keys array<int>")
 
 
 def _blocks(side: DataFrame) -> DataFrame:
-    """A row for each block of bits of the SimHash: the tables of the search."""
+    """(segment_id, simhash, block): a row for each block of bits of the SimHash, the tables of the
+    search, and for each shingle key, which is below 0. No texts, since long ones have many keys."""
     width = 64 // BLOCKS
-    keys = F.array(*(F.lit(i << width) + F.shiftrightunsigned("simhash", 64 - width * (i + 1)).bitwiseAND((1 << width) - 1) for i in range(BLOCKS)))
-    return side.withColumn("block", F.explode(keys))
+    keys = F.array(*((F.lit(i << width) + F.shiftrightunsigned("simhash", 64 - width * (i + 1)).bitwiseAND((1 << width) - 1)).cast("int") for i in range(BLOCKS)))
+    return side.select("segment_id", "simhash", F.explode(F.concat(keys, "keys")).alias("block"))
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,30 +280,36 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x, y in zip(b.normal, b.normal_from):
             a, c = grams(x), grams(y)
             keep.append(len(a & c) >= SIMILARITY * len(a | c))
-        yield b.loc[keep, ["segment_id", "simhash", "residue", "normal"]]
+        yield b.loc[keep, ["segment_id", "simhash", "residue", "normal", "keys"]]
 
 
 def spread(segments_: DataFrame) -> DataFrame:
     """(segment_id, residue): the trusted segments and all in their connected components.
 
-    Links join segments whose SimHashes differ in at most RADIUS bits and whose shingles have a
-    similarity of SIMILARITY or more. Labels go out from the trusted segments, a link further in
-    each round, until no segment is new; components without a trusted segment need no work. Of an
-    unfilled place the sentence around it is no residue, so from there no label goes out."""
-    distinct = segments_.select("segment_id", "simhash", "residue", "normal")
+    Links join segments whose shingles have a similarity of SIMILARITY or more. Their SimHashes
+    differ in at most RADIUS bits, or else they share a shingle key: no such link is lost. Labels go
+    out from the trusted segments, a link further in each round, until no segment is new; components
+    without a trusted segment need no work. Of an unfilled place the sentence around it is no
+    residue, so from there no label goes out. Keys are made here if segments_ has none."""
+    columns = ["segment_id", "simhash", "residue", "normal", "keys"]
+    distinct = (segments_ if "keys" in segments_.columns else materialize(with_keys(segments_), "residue-keys")).select(*columns)
     front = materialize(distinct.where(F.col("residue").isNotNull()).dropDuplicates(["segment_id"]), "residue-seeds")
     rest = distinct.where(F.col("residue").isNull()).drop("residue")
     tables = _blocks(rest)
     labelled = front.select("segment_id", "residue")
     front = front.where(F.col("residue") != "place")
     while True:
-        asked = _blocks(front.where(F.size(F.split("normal", " ")) >= SHINGLE)).select("block", F.col("simhash").alias("simhash_from"), "residue", F.col("normal").alias("normal_from"))
-        near = tables.join(broadcast_if_small(asked), "block").where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash_from"))) <= RADIUS)
-        reached = near.mapInPandas(_similar, "segment_id bigint, simhash bigint, residue string, normal string")
-        new = materialize(reached.join(broadcast_if_small(labelled.select("segment_id")), "segment_id", "left_anti").groupBy("segment_id").agg(F.min("residue").alias("residue"), F.first("simhash").alias("simhash"), F.first("normal").alias("normal")), "residue-reached")
+        front = front.where(F.size(F.split("normal", " ")) >= SHINGLE)
+        asked = _blocks(front).select("block", F.col("simhash").alias("simhash_from"), F.col("segment_id").alias("id_from"))
+        close = tables.join(broadcast_if_small(asked), "block").where((F.col("block") < 0) | (F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash_from"))) <= RADIUS))
+        pairs = materialize(close.select("segment_id", "id_from").distinct().join(broadcast_if_small(labelled.select("segment_id")), "segment_id", "left_anti"), "residue-pairs")
+        met = rest.join(broadcast_if_small(pairs), "segment_id").dropDuplicates(["segment_id", "id_from"])
+        source = front.select(F.col("segment_id").alias("id_from"), "residue", F.col("normal").alias("normal_from"))
+        reached = met.join(broadcast_if_small(source), "id_from").mapInPandas(_similar, "segment_id bigint, simhash bigint, residue string, normal string, keys array<int>")
+        new = materialize(reached.groupBy("segment_id").agg(F.min("residue").alias("residue"), *(F.first(c).alias(c) for c in ("simhash", "normal", "keys"))), "residue-reached")
         if new.isEmpty():
             return labelled
-        front = new.select("segment_id", "simhash", "residue", "normal")
+        front = new.select(*columns)
         labelled = labelled.unionByName(new.select("segment_id", "residue"))
 
 

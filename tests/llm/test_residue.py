@@ -50,3 +50,48 @@ def test_documents(spark):
     segments = spark.createDataFrame(chain, "doc_id bigint, segment_id bigint, simhash bigint, residue string, normal string")
     if (chain[0][2] ^ chain[1][2]).bit_count() <= residue.RADIUS:
         assert {r.segment_id for r in residue.spread(segments).collect()} == {1, 2}
+
+
+def test_spread_against_all_pairs(spark):
+    """Sentences with one or a few words replaced, put in or taken out: all that are similar get the label."""
+    import random
+
+    random.seed(20)
+    words = [f"w{i}" for i in range(3000)]
+
+    def grams(text):
+        w = text.split(" ")
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    seeds = [" ".join(random.choices(words, k=k)) for k in (8, 10, 12, 15, 20, 25, 30, 40, 60, 90, 200) for _ in range(6)]
+    others = []
+    for seed in seeds:
+        for _ in range(12):
+            w = seed.split(" ")
+            for _ in range(random.choice((1, 1, 1, 2, 3))):
+                at = random.choice((0, len(w) - 1, random.randrange(len(w))))
+                w[at : at + random.randint(0, 1)] = random.choices(words, k=random.randint(0, 1))
+            others.append(" ".join(w))
+    others = sorted(set(others) - set(seeds))
+    texts, hasher = seeds + others, residue.SimHasher()
+    hashes = hasher.hashes([t.split(" ") for t in texts]).tolist()
+    rows = [(i, i, h, "message" if i < len(seeds) else None, t) for i, (t, h) in enumerate(zip(texts, hashes))]
+    # all pairs, a link further in each round
+    sets, want = [grams(t) for t in texts], set(range(len(seeds)))
+    front = want
+    while front:
+        front = {j for j in range(len(texts)) if j not in want for i in front if len(sets[i] & sets[j]) >= residue.SIMILARITY * len(sets[i] | sets[j])}
+        want |= front
+    assert len(want) > len(seeds) + 200
+    frame = spark.createDataFrame(rows, "doc_id bigint, segment_id bigint, simhash bigint, residue string, normal string")
+    assert {r.segment_id for r in residue.spread(frame).collect()} == want
+
+
+def test_keys_of_documents(spark):
+    """A message with one word more, too far off for the SimHashes, makes its document residue."""
+    message = "you do not have permission to view the papers of the reserve committee for the years before the merger of both funds"
+    longer = message.replace("you do", "here you do")
+    a, b = residue.SimHasher().hashes([message.split(" "), longer.split(" ")]).tolist()
+    assert (a ^ b).bit_count() > residue.RADIUS and residue.kind_of(longer) is None
+    frame = spark.createDataFrame([(1, message + "."), (2, longer + "."), (3, "The board met in May and said nothing of the reserve.")], "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.residue_documents(frame).collect()} == {1, 2}
