@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnstone.runtime import broadcast_if_small, materialize
@@ -23,8 +23,9 @@ BANDS, ROWS = 100, 4
 BITS, RADIUS = 192, 70
 #: Most fingerprints of one tree; a larger shard is cut into blocks that are searched pair by pair.
 BLOCK = 4000
-#: Classes of equal texts up to this size are written out in pairs; of a larger one each member is
-#: paired with the representative, and only that with other texts. Membership is in groups().
+#: Classes of equal texts up to this size are written out in pairs; of a larger one each member, and
+#: each text similar to it, is paired with one representative of another asset. Membership is in
+#: groups(), the links between classes in the links themselves.
 EXPANDED = 200
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -249,22 +250,50 @@ def near_duplicates(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(links, "links"), materialize(members, "members")
 
 
+def _different(a: str, b: str) -> Column:
+    return ~F.col(a).eqNullSafe(F.col(b))
+
+
+def representatives(members: DataFrame) -> DataFrame:
+    """(item_kind, class_id, n, first, asset_first, second, asset_second): of each class of more than
+    EXPANDED members the least member, and the least of the other assets, null if there is none."""
+    key = ["item_kind", "class_id"]
+    large = members.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("item_id", F.col("asset_id"))).alias("x")).where(F.col("n") > EXPANDED)
+    large = materialize(large.select(*key, "n", F.col("x.item_id").alias("first"), F.col("x.asset_id").alias("asset_first")), "large-classes")
+    others = members.join(broadcast_if_small(large), key).where(_different("asset_id", "asset_first")).groupBy(*key).agg(F.min(F.struct("item_id", "asset_id")).alias("y"))
+    return large.join(broadcast_if_small(others), key, "left").select(*key, "n", "first", "asset_first", F.col("y.item_id").alias("second"), F.col("y.asset_id").alias("asset_second"))
+
+
 def pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """(item_kind, id_a, id_b, similarity): the pairs of items of different assets.
 
-    Classes of more than EXPANDED equal texts count with their representative, to which their
-    members are paired."""
-    size = members.groupBy("item_kind", "class_id").agg(F.count("*").alias("n"), F.min("item_id").alias("first")).where(F.col("n") > 1)
-    sized = members.join(size, ["item_kind", "class_id"], "left")
-    shown = sized.where(F.col("n").isNull() | (F.col("n") <= EXPANDED) | (F.col("item_id") == F.col("first")))
-    a = shown.select("item_kind", F.col("class_id").alias("class_a"), F.col("item_id").alias("x"), F.col("asset_id").alias("asset_x"))
-    b = shown.select("item_kind", F.col("class_id").alias("class_b"), F.col("item_id").alias("y"), F.col("asset_id").alias("asset_y"))
-    between = links.join(a, ["item_kind", "class_a"]).join(b, ["item_kind", "class_b"]).where(~F.col("asset_x").eqNullSafe(F.col("asset_y"))).select("item_kind", "x", "y", "similarity")
-    several = sized.where(F.col("n") > 1)
-    left = several.where((F.col("n") <= EXPANDED) | (F.col("item_id") == F.col("first"))).select("item_kind", "class_id", F.col("item_id").alias("x"), F.col("asset_id").alias("asset_x"))
-    right = several.select("item_kind", "class_id", F.col("item_id").alias("y"), F.col("asset_id").alias("asset_y"))
-    equal = left.join(right, ["item_kind", "class_id"]).where((F.col("x") < F.col("y")) & ~F.col("asset_x").eqNullSafe(F.col("asset_y"))).select("item_kind", "x", "y", F.lit(1.0).alias("similarity"))
-    both = between.unionByName(equal)
+    Classes of more than EXPANDED equal texts count with two representatives of different assets:
+    each member, and each item of a linked class, is paired with the first, or if that is of its own
+    asset with the second. So no item and no link between classes is lost that has different assets."""
+    key = ["item_kind", "class_id"]
+    large = materialize(representatives(members), "representatives")
+    small = members.join(broadcast_if_small(large.select(*key)), key, "left_anti")
+    null = F.lit(None).cast("string")
+    shown = small.select(*key, F.col("item_id").alias("first"), F.col("asset_id").alias("asset_first"), null.alias("second"), null.alias("asset_second")).unionByName(large.drop("n"))
+    sides = [shown.select("item_kind", F.col("class_id").alias(f"class_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("first", "asset_first", "second", "asset_second"))) for s in "ab"]
+    met = links.join(sides[0], ["item_kind", "class_a"]).join(sides[1], ["item_kind", "class_b"])
+
+    def pair(a: str, b: str) -> Column:
+        return F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+
+    chosen = (
+        F.when(_different("asset_first_a", "asset_first_b"), pair("first_a", "first_b"))
+        .when(F.col("second_b").isNotNull() & _different("asset_first_a", "asset_second_b"), pair("first_a", "second_b"))
+        .when(F.col("second_a").isNotNull() & _different("asset_second_a", "asset_first_b"), pair("second_a", "first_b"))
+    )
+    between = met.select("item_kind", chosen.alias("p"), "similarity").where(F.col("p").isNotNull()).select("item_kind", "p.x", "p.y", "similarity")
+    several = small.join(members.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), key, "left_semi")
+    left = several.select(*key, F.col("item_id").alias("x"), F.col("asset_id").alias("asset_x"))
+    right = several.select(*key, F.col("item_id").alias("y"), F.col("asset_id").alias("asset_y"))
+    equal = left.join(right, key).where((F.col("x") < F.col("y")) & _different("asset_x", "asset_y")).select("item_kind", "x", "y")
+    other = F.when(_different("asset_id", "asset_first"), F.col("first")).otherwise(F.col("second"))
+    of_large = members.join(broadcast_if_small(large), key).select("item_kind", F.col("item_id").alias("x"), other.alias("y")).where(F.col("y") != F.col("x"))
+    both = between.unionByName(equal.unionByName(of_large).withColumn("similarity", F.lit(1.0)))
     return both.select("item_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").distinct()
 
 

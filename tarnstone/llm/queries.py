@@ -68,6 +68,12 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(*_near(spark, d))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links between classes of equal texts, whatever assets their members are of; p5_groups has the members."""
+    links = _near(spark, d)[0]
+    return links.select("item_kind", "class_a", "class_b", F.round("similarity", 6).alias("similarity"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_texts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", "byte_bpe_50k")
 
@@ -116,5 +122,5 @@ UNION ALL SELECT DISTINCT 'revision', revision_id FROM asset_revisions WHERE len
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p1_small_pieces, p2_found, p2_lines, p2_texts, p4_found, p4_paragraphs, p4_chunks, p5_found, p5_groups, p6_ids, p7_containers, p7_containers_piece, p8_found, p8_kinds)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_small_pieces, p2_found, p2_lines, p2_texts, p4_found, p4_paragraphs, p4_chunks, p5_found, p5_groups, p5_links, p6_ids, p7_containers, p7_containers_piece, p8_found, p8_kinds)
 }

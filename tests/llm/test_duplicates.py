@@ -98,3 +98,16 @@ def test_components(spark):
         got.setdefault(r.group_id, set()).add(r.class_id)
     assert got == {1: {1, 2, 3, 4, 5}, 10: {10, 11}, 20: {20, 25, 30, 40}, 100: set(range(100, 130))}
     assert nd.components(frame.limit(0)).count() == 0
+
+
+def test_large_classes_keep_their_links(spark, monkeypatch):
+    """Classes larger than EXPANDED whose least members, and partners, lie in one shared asset."""
+    monkeypatch.setattr(nd, "EXPANDED", 2)
+    members = [("c", 1, "a1", "hot"), ("c", 1, "a2", "hot"), ("c", 1, "a3", "p"), ("c", 1, "a4", "q")]
+    members += [("c", 2, "b1", "hot"), ("c", 2, "b2", "r"), ("c", 2, "b3", "s")]
+    members += [("c", 3, "c1", "hot"), ("c", 4, "d1", "hot"), ("c", 4, "d2", "hot"), ("c", 4, "d3", "hot"), ("c", 5, "e1", "t")]
+    members = spark.createDataFrame(members, "item_kind string, class_id bigint, item_id string, asset_id string")
+    links = spark.createDataFrame([("c", 1, 3, 0.9), ("c", 1, 2, 0.8), ("c", 4, 1, 0.7), ("c", 3, 4, 0.6), ("c", 4, 5, 0.5)], "item_kind string, class_a bigint, class_b bigint, similarity double")
+    got = {(r.id_a, r.id_b): r.similarity for r in nd.pairs(links, members).collect()}
+    equal = {("a1", "a3"): 1.0, ("a2", "a3"): 1.0, ("a1", "a4"): 1.0, ("b1", "b2"): 1.0, ("b1", "b3"): 1.0}
+    assert got == equal | {("a3", "c1"): 0.9, ("a1", "b2"): 0.8, ("a3", "d1"): 0.7, ("d1", "e1"): 0.5}
