@@ -104,7 +104,7 @@ def kind_of(normal: str, filler: bool = True) -> str | None:
     if PLACE in normal:
         return "place"
     words = normal.split(" ")
-    if len(words) <= 24 and _begins_message(words[0]) and _MESSAGES.fullmatch(normal):
+    if _begins_message(words[0]) and _MESSAGES.fullmatch(normal):
         return "message"
     if len(words) >= 3:
         first = words[0]

@@ -95,3 +95,11 @@ def test_keys_of_documents(spark):
     assert (a ^ b).bit_count() > residue.RADIUS and residue.kind_of(longer) is None
     frame = spark.createDataFrame([(1, message + "."), (2, longer + "."), (3, "The board met in May and said nothing of the reserve.")], "doc_id bigint, text string")
     assert {r.doc_id for r in residue.residue_documents(frame).collect()} == {1, 2}
+
+
+def test_long_messages():
+    """A message with an open end is one however long its line is."""
+    paths = " ".join(f"/srv/papers/volume{i}/reserve/table{i}" for i in range(20))
+    assert kinds(f"Warning: Undefined index {paths} on line 12") == {"message"}
+    assert kinds("Please enable JavaScript to read the papers of the library " + "and the notes of the reserve committee " * 5) == {"message"}
+    assert not kinds("The board asked why please enable JavaScript to read the papers was shown " + "and the notes of the reserve committee " * 5)
