@@ -230,6 +230,20 @@ def term_postings(spark: SparkSession, d: str) -> DataFrame:
     return lexical.postings(chunks_of(spark, d), "chunk_id", lexical.chunk_fields(), terms)
 
 
+_INDEX_SQL = "WITH " + S.BM25.split(",\nfrequency AS")[0].replace("\n  WHERE term IN (SELECT term FROM question_term)", "")
+
+
+@query(_INDEX_SQL + " SELECT chunk_id, field, term, tf, CAST(length AS INTEGER) AS length FROM posting")
+def inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    """The postings of all terms; term_postings has those of the questions' terms."""
+    return lexical.postings(chunks_of(spark, d), "chunk_id", lexical.chunk_fields())
+
+
+@query(_INDEX_SQL + " SELECT field, term, count(*) AS df FROM posting GROUP BY ALL")
+def inverted_index_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.document_frequency(lexical.postings(chunks_of(spark, d), "chunk_id", lexical.chunk_fields()))
+
+
 @query("WITH " + _SEMANTIC_SQL + " SELECT case_id, chunk_id, round(1.0 / (60 + rank), 9) AS score FROM semantic WHERE rank <= 20")
 def fusion_semantic_only(spark: SparkSession, d: str) -> DataFrame:
     hits = semantic_hits(spark, d, 20)

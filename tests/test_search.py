@@ -124,3 +124,18 @@ def test_best_passage(spark):
     rows = spark.createDataFrame([("a", text, "What is the loss ratio?"), ("b", text, "Nothing here"), ("c", text, "zebra"), ("d", text, "is it")], "id string, t string, q string")
     got = {r.id: (r.first_line, r.last_line) for r in passages.best_passages(rows, "id", "t", "q").collect()}
     assert got == {"a": (1, 3), "b": (3, 3), "c": (1, 1), "d": (1, 1)}
+
+
+def test_inverted_index_has_all_terms(spark):
+    """The whole index agrees with the part for the questions' terms, and has the other terms too."""
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    run = lambda name: {tuple(r) for r in entry.queries()[name](spark, d).collect()}
+    part, whole = run("term_postings"), run("inverted_index")
+    asked = {r[2] for r in part}
+    assert {r for r in whole if r[2] in asked} == part and len({r[2] for r in whole} - asked) > len(asked)
+    counts = {}
+    for _, field, term, _, _ in whole:
+        counts[field, term] = counts.get((field, term), 0) + 1
+    assert {(f, t): n for f, t, n in run("inverted_index_frequency")} == counts
