@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tarnstone.runtime import materialize
 
 #: Number of length buckets.
-BUCKETS = 32
-#: Salts that the ranking of the items of one length is spread over.
-SALTS = 64
+BUCKETS = 64
+#: Items of one length that one task ranks, about; a length with more is spread over as many salts.
+RANKED = 250_000
 
 _FILLED = "item_id bigint, part_no int, from_token bigint, n_tokens bigint, bucket int, container_id bigint"
 
@@ -61,70 +61,92 @@ def length_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
 
 def plan_containers(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets: int = BUCKETS) -> pd.DataFrame:
     """Runs of equal fillings: length, first_rank (of the items of that length), bucket,
-    first_container, per_container.
+    first_container, per_container, before (items of the first container that come before the run).
 
-    Buckets come from the longest down. Inside a bucket the items, longest first, fill token-budget
-    batches; room that the batches of longer buckets left is filled first, the smallest room that
-    fits before larger. Batches with the same room stand together in one run, so the work and the
-    plan grow with the number of lengths, at most capacity, not with the number of items."""
+    Buckets come from the longest down. The items of a bucket, longest first, form token-budget
+    batches: as many a batch as fit at the bucket's bound, so that none has to be measured. What
+    a batch leaves is a rest, which only shorter buckets may fill: their items go into rests first,
+    the smallest that fits before larger, and what finds none forms the bucket's own batches. So
+    the bounds decide which items meet in a batch and what is a rest.
+
+    Rests of the same size stand together in one run, so the work and the plan grow with the number
+    of lengths, at most capacity, not with the number of items."""
     bounds = np.array(length_buckets(lengths, counts, buckets))
-    rooms: dict[int, list[tuple[int, int]]] = {}  # room -> runs of containers (first, number)
-    order: list[int] = []  # the rooms that occur, ascending
+    rests: dict[int, list[tuple[int, int]]] = {}  # size -> runs of containers (first, number)
+    order: list[int] = []  # the sizes that occur, ascending
     plan, used = [], 0
 
     def leave(room: int, first: int, number: int) -> None:
         if number <= 0 or room <= 0:
             return
-        if room not in rooms:
-            rooms[room] = []
+        if room not in rests:
+            rests[room] = []
             insort(order, room)
-        rooms[room].append((first, number))
+        rests[room].append((first, number))
 
+    of_bucket: dict[int, list[tuple[int, int]]] = {}
     for length, count in sorted(zip(lengths.tolist(), counts.tolist()), reverse=True):
-        if length == 0:
-            plan.append((0, 0, 0, 0, 1 << 62))  # takes no room: all with container 0
-            used = max(used, 1)
-            continue
-        bucket, rank = int(np.searchsorted(bounds, length)), 0
-        while rank < count:
-            at = bisect_left(order, length)
-            if at < len(order):
+        of_bucket.setdefault(int(np.searchsorted(bounds, length)), []).append((length, count))
+    for bucket in sorted(of_bucket, reverse=True):
+        own, later = [], []  # (length, first_rank, count) for batches; rests that this bucket's own items leave
+        for length, count in of_bucket[bucket]:
+            if length == 0:
+                plan.append((0, 0, bucket, 0, 1 << 62, 0))  # takes no room: all with container 0
+                used = max(used, 1)
+                continue
+            rank = 0
+            while rank < count and (at := bisect_left(order, length)) < len(order):
                 room = order[at]
-                first, number = rooms[room].pop()
-                if not rooms[room]:
-                    del rooms[room], order[at]
-            else:
-                room, first = capacity, used
-                number = -(-(count - rank) // (capacity // length))
-                used += number
-            each = room // length
-            full = min(number, (count - rank) // each)
-            if full:
-                plan.append((length, rank, bucket, first, each))
-                leave(room - each * length, first, full)
-                rank += full * each
-            if full < number:
-                some = count - rank
-                if some:  # fewer than each are left: they share one container
-                    plan.append((length, rank, bucket, first + full, each))
+                first, number = rests[room].pop()
+                if not rests[room]:
+                    del rests[room], order[at]
+                each = room // length
+                full, some = min(number, (count - rank) // each), 0
+                if full:
+                    plan.append((length, rank, bucket, first, each, 0))
+                    leave(room - each * length, first, full)
+                    rank += full * each
+                if full < number and rank < count:  # fewer than each are left: they share one container
+                    some = count - rank
+                    plan.append((length, rank, bucket, first + full, each, 0))
                     leave(room - some * length, first + full, 1)
-                    rank = count
-                    full += 1
+                    rank, full = count, full + 1
                 leave(room, first + full, number - full)
-    return pd.DataFrame(plan, columns=["length", "first_rank", "bucket", "first_container", "per_container"])
+            if rank < count:
+                own.append((length, rank, count - rank))
+        each = capacity // int(bounds[bucket]) if own else 1
+        place, filled = 0, 0  # items batched so far, tokens in the open batch
+        for length, rank, count in own:
+            before = place % each
+            plan.append((length, rank, bucket, used + place // each, each, before))
+            head = min(count, each - before) if before else 0
+            filled += head * length
+            if before and before + head == each:
+                later.append((capacity - filled, used + place // each, 1))
+                filled = 0
+            full = (count - head) // each
+            later.append((capacity - each * length, used + (place + head) // each, full))
+            filled += (count - head - full * each) * length
+            place += count
+        if place % each:
+            later.append((capacity - filled, used + place // each, 1))
+        used += -(-place // each)
+        for rest in later:
+            leave(*rest)
+    return pd.DataFrame(plan, columns=["length", "first_rank", "bucket", "first_container", "per_container", "before"])
 
 
 def _assign(plan: pd.DataFrame):
     """A mapInPandas function from (item_id, part_no, from_token, n_tokens, rank) to containers."""
     plan = plan.sort_values(["length", "first_rank"])
     keys = (plan.length.to_numpy(np.int64) << 40) + plan.first_rank.to_numpy(np.int64)
-    first, start, each, bucket = (plan[c].to_numpy(np.int64) for c in ("first_rank", "first_container", "per_container", "bucket"))
+    first, start, each, bucket, before = (plan[c].to_numpy(np.int64) for c in ("first_rank", "first_container", "per_container", "bucket", "before"))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rank = b["rank"].to_numpy(np.int64)
             at = np.searchsorted(keys, (b.n_tokens.to_numpy(np.int64) << 40) + rank, side="right") - 1
-            container = start[at] + (rank - first[at]) // each[at]
+            container = start[at] + (before[at] + rank - first[at]) // each[at]
             yield pd.DataFrame({"item_id": b.item_id, "part_no": b.part_no, "from_token": b.from_token, "n_tokens": b.n_tokens, "bucket": bucket[at].astype(np.int32), "container_id": container})
 
     return assign
@@ -139,8 +161,8 @@ def pack(sizes: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
     Repeated rows of an item count once; an item_id of null is dropped; no items give no rows.
 
     The driver plans on the histogram of the sizes, at most capacity + 1 rows however many items
-    there are; ranks within a size come from two levels of counts, so that a size which a third of
-    all items have is still spread over tasks."""
+    there are, and one more for each RANKED items; ranks within a size come from two levels of
+    counts, so that a size which a third of all items have is still spread over tasks."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
     n = F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0))
@@ -148,23 +170,26 @@ def pack(sizes: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int")
     parts = once.select("item_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("part_no"))
     size = F.least(F.col("n") - F.col("part_no") * F.lit(capacity).cast("bigint"), F.lit(capacity).cast("bigint"))
-    parts = parts.select("item_id", "part_no", (F.col("part_no") * F.lit(capacity).cast("bigint")).alias("from_token"), size.alias("n_tokens"), F.pmod(F.xxhash64("item_id", "part_no"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = parts.select("item_id", "part_no", (F.col("part_no") * F.lit(capacity).cast("bigint")).alias("from_token"), size.alias("n_tokens"))
     parts = materialize(parts, "packing")
-    counted = parts.groupBy("n_tokens", "salt").count().collect()  # at most (capacity + 1) * SALTS rows
+    salts = F.ceil(F.count("*") / RANKED).cast("int").alias("salts")
+    parts = parts.join(F.broadcast(parts.groupBy("n_tokens").agg(salts)), "n_tokens")  # at most capacity + 1 rows
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("item_id", "part_no"), F.col("salts").cast("bigint")).cast("int")).drop("salts")
+    counted = parts.groupBy("n_tokens", "salt").count().collect()  # at most capacity + 1 rows and one for each RANKED items
     if not counted:
         return sizes.sparkSession.createDataFrame([], _FILLED)
     table = pd.DataFrame([tuple(r) for r in counted], columns=["n", "salt", "c"]).sort_values(["n", "salt"])
     table["offset"] = table.groupby("n").c.cumsum() - table.c
     histogram = table.groupby("n").c.sum()
     plan = plan_containers(histogram.index.to_numpy(np.int64), histogram.to_numpy(np.int64), capacity, buckets)
-    offsets = np.zeros((capacity + 1) * SALTS, np.int64)
-    offsets[table.n.to_numpy() * SALTS + table.salt.to_numpy()] = table.offset.to_numpy()
+    wide = int(table.salt.max()) + 1
+    places, offsets = table.n.to_numpy(np.int64) * wide + table.salt.to_numpy(np.int64), table.offset.to_numpy(np.int64)  # ascending
     assign = _assign(plan)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def ranked() -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["rank"] = b["within"].to_numpy(np.int64) + offsets[b.n_tokens.to_numpy(np.int64) * SALTS + b.salt.to_numpy(np.int64)]
+                b["rank"] = b["within"].to_numpy(np.int64) + offsets[np.searchsorted(places, b.n_tokens.to_numpy(np.int64) * wide + b.salt.to_numpy(np.int64))]
                 yield b
 
         yield from assign(ranked())

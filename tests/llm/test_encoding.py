@@ -63,7 +63,7 @@ def test_containers(spark):
     sizes = [(i, random.choice((0, 1, 3, 7, 8, 20, 45))) for i in range(400)] + [(i, 7) for i in range(1000, 1300)] + [(5000, None), (0, 0), (None, 3)]
     sizes[0] = (0, 0)
     frame = spark.createDataFrame(sizes, "item_id bigint, n_tokens bigint").repartition(6)
-    got = packing.pack(frame, 20, 4).collect()
+    got = packing.pack(frame, 20, 7).collect()  # a bucket for each length: then batches and rests are as good as best fit
     load, parts = {}, {}
     for r in got:
         load[r.container_id] = load.get(r.container_id, 0) + r.n_tokens
@@ -83,3 +83,34 @@ def test_containers(spark):
             rooms[fit] -= n
     assert len(load) <= len(rooms)
     assert packing.pack(frame.limit(0), 20).count() == 0
+
+
+def test_buckets_decide():
+    """The bounds make the batches: other bounds, other containers; better ones leave less room."""
+    import pandas as pd
+
+    rng = np.random.default_rng(21)
+    lengths, counts = np.unique(np.clip(rng.lognormal(5.5, 1.2, 5000), 1, 1000).astype(np.int64), return_counts=True)
+    items = pd.DataFrame({"item_id": np.arange(counts.sum()), "part_no": 0, "from_token": 0, "n_tokens": np.repeat(lengths, counts), "rank": np.concatenate([np.arange(c) for c in counts])})
+    room, placed = {}, {}
+    for buckets in (1, 4, 64):
+        bounds = packing.length_buckets(lengths, counts, buckets)
+        got = pd.concat(packing._assign(packing.plan_containers(lengths, counts, 1000, buckets))(iter([items])))
+        load = got.groupby("container_id").n_tokens.sum()
+        room[buckets], placed[buckets] = 1 - load.mean() / 1000, got.container_id.to_numpy()
+        assert len(got) == len(items) and load.max() <= 1000 and sorted(load.index) == list(range(len(load)))
+        # of its longest bucket a container holds a batch at the bucket's bound, or items in the rest of a longer one
+        longest = got[got.bucket == got.groupby("container_id").bucket.transform("max")].groupby("container_id").agg(bucket=("bucket", "first"), n=("n_tokens", "size"))
+        assert (longest.n <= 1000 // np.array(bounds)[longest.bucket]).all()
+    assert room[64] < 0.01 < 0.03 < room[4] < room[1]
+    assert (placed[4] != placed[64]).any()
+
+
+def test_ranks_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 50)
+    frame = spark.createDataFrame([(i, 3 if i % 3 else 8) for i in range(600)], "item_id bigint, n_tokens bigint")
+    load, seen = {}, set()
+    for r in packing.pack(frame, 20).collect():
+        load[r.container_id] = load.get(r.container_id, 0) + r.n_tokens
+        seen.add(r.item_id)
+    assert len(seen) == 600 and max(load.values()) <= 20 and len(load) <= 142
