@@ -102,7 +102,7 @@ def test_buckets_decide():
         # of its longest bucket a container holds a batch at the bucket's bound, or items in the rest of a longer one
         longest = got[got.bucket == got.groupby("container_id").bucket.transform("max")].groupby("container_id").agg(bucket=("bucket", "first"), n=("n_tokens", "size"))
         assert (longest.n <= 1000 // np.array(bounds)[longest.bucket]).all()
-    assert room[64] < 0.01 < 0.03 < room[4] < room[1]
+    assert room[64] < 0.01 and 2 * room[64] < room[4] < room[1] and room[1] > 0.4
     assert (placed[4] != placed[64]).any()
 
 
