@@ -34,8 +34,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines in two assets of their site or more, with what is held against what."""
     lines = repeated_lines.repeated_lines(table(spark, d, "knowledge_chunks"), table(spark, d, "assets"))[1]
-    return lines.select("source", F.hex("line_key").alias("line_key"), "n_assets", F.round("expected", 6).alias("expected"), F.round("llr", 6).alias("llr"))
+    return lines.select("source", F.hex("line_key").alias("line_key"), "n_assets", "n_source", "n_outside", "n_others", F.round("llr", 4).alias("llr"))
+
+
+def p2_excess(spark: SparkSession, d: str) -> DataFrame:
+    """The decision on each of these lines: in excess in its site, in six assets or more by chance, or neither."""
+    lines = repeated_lines.repeated_lines(table(spark, d, "knowledge_chunks"), table(spark, d, "assets"))[1]
+    decision = F.when(F.col("excess") & (F.col("n_assets") >= repeated_lines.MIN_ASSETS), "repeated").when(F.col("excess"), "excess, few assets").when(F.col("n_assets") >= repeated_lines.MIN_ASSETS, "commonplace").otherwise("ordinary")
+    return lines.select("source", F.hex("line_key").alias("line_key"), "n_assets", F.round("llr", 4).alias("llr"), decision.alias("decision"))
 
 
 def p2_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +127,20 @@ SQL = {
 SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_id FROM knowledge_chunks WHERE length(text) > 4000
 UNION ALL SELECT DISTINCT 'revision', revision_id FROM asset_revisions WHERE length(markdown) > 20000""",
     "p2_found": _P2_BASE + "SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM counted JOIN repeated USING (source, norm)",
+    "p2_lines": _P2_BASE + """,
+line AS (SELECT source, norm, count(DISTINCT asset_id) AS k FROM counted GROUP BY ALL),
+size AS (SELECT source, count(DISTINCT asset_id) AS n FROM counted GROUP BY ALL),
+used AS (SELECT l.*, s.n, sum(CASE WHEN k < 6 THEN k ELSE 0 END) OVER w AS low, sum(CASE WHEN k >= 6 THEN s.n ELSE 0 END) OVER w AS taken, (SELECT sum(n) FROM size) AS total
+         FROM line l JOIN size s USING (source) WINDOW w AS (PARTITION BY norm)),
+held AS (SELECT source, norm, k, n, low - CASE WHEN k < 6 THEN k ELSE 0 END AS k2, total - taken - CASE WHEN k < 6 THEN n ELSE 0 END AS n2, total FROM used WHERE k >= 2),
+test AS (SELECT source, norm, k::DOUBLE AS k1, n::DOUBLE AS n1, (CASE WHEN n2 > 0 THEN k2 ELSE 1 END)::DOUBLE AS k2, (CASE WHEN n2 > 0 THEN n2 WHEN total > n THEN total - n ELSE n END)::DOUBLE AS n2 FROM held),
+share AS (SELECT *, (k1 + k2) / (n1 + n2) AS p FROM test)
+SELECT source, upper(md5(norm)) AS line_key, k1::BIGINT AS n_assets, n1::BIGINT AS n_source, k2::BIGINT AS n_outside, n2::BIGINT AS n_others,
+  round(CASE WHEN k1 * n2 > k2 * n1 THEN greatest(0, 2 * (k1 * ln(k1 / (n1 * p)) + CASE WHEN n1 > k1 THEN (n1 - k1) * ln((n1 - k1) / (n1 * (1 - p))) ELSE 0 END
+    + CASE WHEN k2 > 0 THEN k2 * ln(k2 / (n2 * p)) ELSE 0 END + CASE WHEN n2 > k2 THEN (n2 - k2) * ln((n2 - k2) / (n2 * (1 - p))) ELSE 0 END)) ELSE 0 END, 4) AS llr
+FROM share""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p1_small_pieces, p2_found, p2_lines, p2_texts, p4_found, p4_paragraphs, p4_chunks, p5_found, p5_groups, p5_links, p6_ids, p7_containers, p7_containers_piece, p8_found, p8_kinds)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_small_pieces, p2_found, p2_lines, p2_excess, p2_texts, p4_found, p4_paragraphs, p4_chunks, p5_found, p5_groups, p5_links, p6_ids, p7_containers, p7_containers_piece, p8_found, p8_kinds)
 }
