@@ -18,10 +18,12 @@ from tarnstone.runtime import broadcast_if_small, materialize
 STATES = ["body", "header", "page_no", "break", "structure"]
 BODY, HEADER, PAGE_NO, BREAK, STRUCTURE = range(5)
 
+#: Lines of a run of text that may be a page end with its furniture; longer runs are mostly body.
+SHORT_RUN = 4
 #: Rounds in which the model is fitted anew to the lines of all scanned texts.
 ROUNDS = 2
 #: Weight of the first model against the counts, in lines.
-PRIOR_LINES = 200.0
+PRIOR_LINES = 50.0
 
 # What the recognition of characters confuses, as it reads them, and what stood there.
 MISREAD = {
@@ -44,9 +46,14 @@ _EDGE_NUMBER = re.compile(rf"^\s*{_NUMBER}\s+(?=\S)|\s+{_NUMBER}\s*$")
 _MARKER = re.compile(r"^\s*<!--\s*page\b\D*(\d+)?.*-->\s*$", re.I)
 _HEADING = re.compile(r"^#{1,6}\s")
 _LIST = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+\S")
-_WRAPPED = re.compile(r"[^\s.:!?|]\n(?=[a-zà-öø-ÿ])")
-#: The same for the JVM: a line, not at the end of a sentence, that goes on in lower case.
-_WRAPPED_JVM = r"[^\s.:!?|]\n\p{Ll}"
+#: Signs of scanning, any of which makes a text one whose lines are labelled, for the JVM: a line that
+#: doesn't end a sentence and goes on in lower case or in a script without case; a page marker; a
+#: divided word.
+SIGNS = [
+    r"[^\s.:;!?|。！？：；]\n[\p{Ll}\p{Lo}]", r"(?mi)^\s*<!--\s*page\b", rf"\p{{L}}[{DIVIDERS}]\n",
+]
+#: A line with nothing but what may be a page number; two such lines are a sign too.
+_NUMBER_LINE = r"(?m)^[ \t]*[-–—\[(·•~|]*[ \t]*(?:\p{L}{1,7}\.?[ \t]+)?[0-9lI|iOoSsBvxcVXLC]{1,14}(?:[ \t]*(?:/|\p{L}{2,3})[ \t]*[0-9lI|iOoSsB]{1,4})?[ \t.\-–—\])·•~|]*$"
 _STRIP = ".,;:()[]{}\"'»«“”„‚‘’*_—–!?…#`<>¿¡%"
 
 
@@ -61,12 +68,16 @@ def fold(text: str) -> str:
 _PAGE_FOLDED = {fold(w) for w in PAGE_WORDS}
 
 
-_ROMAN = re.compile(r"^[-–—\[(·•~|\s]*([ivxlc1]{1,14}|[IVXLC]{1,14})[-–—\])·•~|.\s]*$")
+_ROMAN = re.compile(r"^[-–—\[(·•~|\s]*([ivxlc1]{1,14}|[IVXLC1]{1,14})[-–—\])·•~|.\s]*$")
+_ROMAN_FORM = re.compile(r"c*(?:xc|xl|l?x*)(?:ix|iv|v?i{0,3})")  # also of old style, forty as xxxx
 _ROMAN_VALUES = {"i": 1, "1": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
-def _roman(text: str) -> int:
-    """The value of a roman number, smaller digits before larger ones taken off."""
+def _roman(text: str) -> int | None:
+    """The value of a roman number, smaller digits before larger ones taken off; None for letters
+    that are no such number."""
+    if not _ROMAN_FORM.fullmatch(text.lower().replace("1", "i")):
+        return None
     values = [_ROMAN_VALUES[c] for c in text.lower()]
     return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
 
@@ -74,10 +85,8 @@ def _roman(text: str) -> int:
 def page_number(line: str) -> tuple[int, int] | None:
     """(number, kind) of a line that may hold just a page number; kind 1: bare, 2: with a full stop, 3: decorated."""
     text = line.strip()
-    if not 0 < len(text) <= 24:
-        return None
-    if (m := _ROMAN.match(text)) and not m[1].isdigit():
-        return _roman(m[1]), 1 if text == m[1] else 3
+    if (m := _ROMAN.match(text)) and not m[1].isdigit() and (value := _roman(m[1])):
+        return value, 1 if text == m[1] else 3
     if not (m := _PAGE_LINE.match(text)):
         return None
     if m["word"] and fold(m["word"]) not in _PAGE_FOLDED:
@@ -107,11 +116,11 @@ def _similar(a: str, b: str, grams: set[str]) -> bool:
 
 
 def line_symbols(text: str, path: str | None) -> list[int]:
-    """The layout features of each line as one number, the observations of the model.
+    """The layout features of each line by itself as one number, the observations of the model.
 
-    0 blank, 1 page marker, 2 heading, 3 table, 4 list; else 8 + kind of page number (4) * 16 +
-    fits the sequence of pages * 8 + like the title, the site or other lines at page ends * 4 +
-    begins after a blank, marker or furniture * 2 + ends before one."""
+    0 blank, 1 page marker, 2 heading, 3 table, 4 list; else 8 + kind of page number (4) * 8 +
+    fits the sequence of pages * 4 + like the title, the site or another line * 2 + in a run of
+    more than SHORT_RUN lines. What stands before and after a line is left to the model."""
     lines = text.split("\n")
     title = next((fold(x.lstrip("#")) for x in lines if _HEADING.match(x)), "")
     parts = (path or "").replace("\\", "/").strip("/").split("/")
@@ -138,55 +147,49 @@ def line_symbols(text: str, path: str | None) -> list[int]:
             plain[i] = True
     found = {p[0] for p in number if p} | {m for m in marked}
     count = Counter(p[0] for p in number if p) + Counter(marked)
-    near, blocks, i = [False] * n, [], 0
+    long, i = [False] * n, 0
     while i < n:  # runs of plain lines and page markers
         j = i
         while j < n and (plain[j] or out[j] == 1):
             j += 1
-        if j > i:
-            blocks.append((i, j))
+        if j - i > SHORT_RUN:
+            long[i:j] = [True] * (j - i)
         i = max(j, i + 1)
-    folded = {i: fold(_EDGE_NUMBER.sub("", lines[i])) for a, b in blocks if b - a <= 4 for i in range(a, b) if plain[i] and not number[i] and len(lines[i].strip()) < 110}
-    often = {x for x, k in Counter(folded.values()).items() if k > 1 and len(x) > 5}
+    folded = {i: fold(_EDGE_NUMBER.sub("", lines[i])) for i in range(n) if plain[i] and not number[i]}
+    often = {x for x, k in Counter(folded.values()).items() if k > 1 and len(x) > 3}
     targets = [(x, _grams(x)) for x in (title, site, title + site, site + title) if len(x) > 3]
-    for i, x in folded.items():
-        near[i] = len(x) > 3 and (any(_similar(x, *t) for t in targets) or (x in often and not lines[i].rstrip().endswith((".", "!", "?", ":"))))
-    quiet = [(not plain[i] and out[i] in (0, 1)) or near[i] or bool(number[i]) for i in range(n)]
     for i in range(n):
         if plain[i]:
-            kind, fits = 0, False
+            kind = fits = near = 0
             if number[i]:
                 no, kind = number[i]
                 fits = bool({no - 1, no + 1} & found) or count[no] > 1
-            out[i] = 8 + kind * 16 + fits * 8 + near[i] * 4 + (i == 0 or quiet[i - 1]) * 2 + (i == n - 1 or quiet[i + 1])
+            elif len(x := folded[i]) > 3:
+                near = any(_similar(x, *t) for t in targets) or (x in often and not lines[i].rstrip().endswith((".", "!", "?", ":")))
+            out[i] = 8 + kind * 8 + fits * 4 + near * 2 + long[i]
     return out
 
 
-SYMBOLS = 8 + 4 * 16
+SYMBOLS = 8 + 4 * 8
 
 
 def first_model() -> tuple[np.ndarray, np.ndarray]:
-    """(transitions, emissions), logarithms: what is known of the layout before the lines are seen."""
+    """(transitions, emissions), logarithms, before the lines are seen: what each label looks like;
+    of what follows what nothing is known, that is learnt from the lines."""
     emit = np.full((5, SYMBOLS), 1e-4)
     emit[BREAK, 0] = 1
     emit[STRUCTURE, 1:5] = 0.25
     for s in range(8, SYMBOLS):
-        kind, fits, near, alone = (s - 8) // 16, (s - 8) // 8 % 2, (s - 8) // 4 % 2, (s - 8) % 4
+        kind, fits, near, long = (s - 8) // 8, (s - 8) // 4 % 2, (s - 8) // 2 % 2, (s - 8) % 2
         if kind:
-            emit[PAGE_NO, s] = {1: 0.3, 2: 0.3, 3: 1.0}[kind] * (1.0 if fits else 0.25) * (0.005, 0.01, 0.2, 1.0)[alone]
-            emit[BODY, s] = {1: 0.01, 2: 0.06, 3: 0.002}[kind] * (1.0, 0.5, 0.5, 0.1)[alone]
+            emit[PAGE_NO, s] = {1: 0.3, 2: 0.1, 3: 1.0}[kind] * (1.0 if fits else 0.1) * (0.5 if long else 1.0)
+            emit[BODY, s] = {1: 0.003, 2: 0.02, 3: 0.001}[kind]
         elif near:
-            emit[HEADER, s] = (0.05, 0.4, 0.4, 1.0)[alone]
-            emit[BODY, s] = 0.01
+            emit[HEADER, s] = 0.002 if long else 1.0
+            emit[BODY, s] = 0.03
         else:
             emit[BODY, s] = 1
-    move = np.full((5, 5), 0.02)
-    move[BODY, BODY], move[BODY, BREAK] = 0.8, 0.2
-    move[BREAK] = [0.5, 0.1, 0.1, 0.05, 0.25]
-    move[HEADER] = [0.03, 0.02, 0.3, 0.6, 0.05]
-    move[PAGE_NO] = [0.03, 0.3, 0.01, 0.5, 0.16]
-    move[STRUCTURE] = [0.1, 0.1, 0.1, 0.4, 0.3]
-    return np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True))
+    return np.log(np.full((5, 5), 0.2)), np.log(emit / emit.sum(1, keepdims=True))
 
 
 def viterbi(texts: list, move: np.ndarray, emit: np.ndarray) -> list[np.ndarray]:
@@ -223,15 +226,17 @@ def viterbi(texts: list, move: np.ndarray, emit: np.ndarray) -> list[np.ndarray]
 
 
 def scanned_lines(revisions: DataFrame) -> DataFrame:
-    """(revision_id, markdown, symbols): each text with wrapped lines once, with the features of its lines."""
+    """(revision_id, markdown, symbols): each text with a sign of scanning once, with the features
+    of its lines. A text without any has neither page furniture nor wrapped lines."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[[len(_WRAPPED.findall(t)) * 30 > t.count("\n") for t in b.markdown]]
             yield pd.DataFrame({"revision_id": b.revision_id, "markdown": b.markdown, "symbols": [line_symbols(t, p) for t, p in zip(b.markdown, b.source_path)]})
 
-    wrapped = revisions.where(F.col("revision_id").isNotNull() & F.col("markdown").rlike(_WRAPPED_JVM))
-    once = wrapped.select("revision_id", "source_path", "markdown").dropDuplicates(["revision_id"])
+    sign = F.regexp_count("markdown", F.lit(_NUMBER_LINE)) >= 2
+    for pattern in SIGNS:
+        sign = sign | F.col("markdown").rlike(pattern)
+    once = revisions.where(F.col("revision_id").isNotNull() & sign).select("revision_id", "source_path", "markdown").dropDuplicates(["revision_id"])
     return once.mapInPandas(features, "revision_id string, markdown string, symbols array<int>")
 
 
@@ -271,7 +276,7 @@ _WORDLIKE = re.compile(r"^[^\W_+$|ﬁﬂ]*(?:[+$|ﬁﬂ]?[^\W_]+)*[+$|ﬁﬂ]?$"
 
 
 def _countable(w: str) -> bool:
-    return len(w) <= 40 and bool(_LETTERED.search(w))
+    return bool(_LETTERED.search(w))
 
 
 def word_counts(revisions: DataFrame) -> DataFrame:
@@ -293,9 +298,10 @@ def word_counts(revisions: DataFrame) -> DataFrame:
 
 
 def corrections(word: str) -> list[str]:
-    """The words that could have been read as word, with one or two confusions undone."""
+    """The words that could have been read as word, with one confusion undone, or two of which one
+    left a digit or sign; a word with more than four of those isn't made right by two."""
     once = {word[:i] + right + word[i + len(read) :] for read, rights in MISREAD.items() for i in range(len(word)) if word.startswith(read, i) for right in rights}
-    odd = {w for w in once if _ODD.search(w)} if _ODD.search(word) else set()
+    odd = {w for w in once if _ODD.search(w)} if 0 < len(_ODD.findall(word)) <= 4 else set()
     twice = {w[:i] + right + w[i + len(read) :] for w in odd for read, rights in MISREAD.items() if _ODD.search(read) for i in range(len(w)) if w.startswith(read, i) for right in rights}
     return sorted((once | twice) - {word})
 
@@ -345,7 +351,8 @@ def misread_words(counts: DataFrame, seen: DataFrame) -> DataFrame:
 
     A word with a digit or sign inside its letters is misread if a correction is a known word or
     more frequent than it; a word of letters only if a correction is at least ten times as frequent.
-    Both counts grow with the corpus, their ratio doesn't."""
+    Both counts grow with the corpus, their ratio doesn't. Words of one or two letters have as many
+    right words within one confusion, so only those with a digit or sign are looked at."""
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -356,7 +363,7 @@ def misread_words(counts: DataFrame, seen: DataFrame) -> DataFrame:
     proposed = rare.mapInPandas(propose, "word string, n bigint, right string")
     known = proposed.join(counts.select(F.col("word").alias("right"), F.col("n").alias("n_right")), "right")
     odd = F.col("word").rlike(r"[0-9+$|åÅﬁﬂ]")
-    enough = F.when(odd, F.col("n_right") >= F.col("n")).otherwise((F.col("n_right") >= 10 * F.col("n")) & (F.col("n_right") >= 5))
+    enough = F.when(odd, F.col("n_right") >= F.col("n")).otherwise(F.col("n_right") >= 10 * F.col("n"))
     return known.where(enough).groupBy("word").agg(F.max_by("right", F.struct("n_right", "right")).alias("right"))
 
 
@@ -364,8 +371,9 @@ def defects(revisions: DataFrame) -> DataFrame:
     """(revision_id, line_no, defect, next_line, word, right): the lines with a defect from scanning.
 
     defect is hyphen (with the line of the second part, the word together), header, page_no or char
-    (one row a misread word, with what stood there). Null texts, texts without wrapped lines and
-    empty tables have none; repeated deliveries of a revision count once; other columns don't matter."""
+    (one row a misread word, with what stood there); compound, a word divided at a hyphen of its
+    own, is none but is needed to join it. Null texts, texts without a sign of scanning and empty
+    tables have none; repeated deliveries of a revision count once; other columns don't matter."""
     lines = materialize(scanned_lines(revisions), "scanned")
     move, emit = fit(lines)
     tokens = materialize(lines.mapInPandas(_tokens(move, emit), _TOKENS), "scan-tokens")
@@ -381,7 +389,7 @@ def defects(revisions: DataFrame) -> DataFrame:
     )
     capital = F.substring(F.expr("substring(word, split_at + 1, 1)"), 1, 1).rlike(r"\p{Lu}") & F.col("word").rlike(r"\p{Ll}")
     inside = F.when(F.col("other") == "", False).otherwise(F.col("n_hyphened") > F.col("n_joined") * 1) | ((F.col("other") != "") & (F.col("n_joined") == 0) & (F.col("n_hyphened") == 0) & capital)
-    hyphens = divided.where(~inside).select("revision_id", "line_no", F.lit("hyphen").alias("defect"), "next_line", "word", F.lit("").alias("right"))
+    hyphens = divided.select("revision_id", "line_no", F.when(inside, "compound").otherwise("hyphen").alias("defect"), "next_line", F.when(inside, F.col("other")).otherwise(F.col("word")).alias("word"), F.lit("").alias("right"))
 
     single = tokens.where(F.col("kind") == "words").select("revision_id", "line_no", F.explode("words").alias("word"))
     joined = divided.select("revision_id", "line_no", "next_line", "split_at", F.when(inside, F.col("other")).otherwise(F.col("word")).alias("word"))
@@ -389,15 +397,14 @@ def defects(revisions: DataFrame) -> DataFrame:
     wrong = broadcast_if_small(wrong)
     chars = single.join(wrong, "word").select("revision_id", "line_no", F.lit("char").alias("defect"), F.lit(0).alias("next_line"), "word", "right")
     split = joined.join(wrong, "word")
-    same = F.expr("length(word) - length(ltrim(substring(word, 1, 0)))")  # 0; keeps the type
-    first_difference = F.expr("coalesce(array_position(transform(sequence(1, length(word)), i -> substring(word, i, 1) <> substring(right, i, 1)), true), 1)") + same
+    first_difference = F.expr("array_position(transform(sequence(1, length(word)), i -> substring(word, i, 1) <> substring(right, i, 1)), true)")
     split = split.select("revision_id", F.when(first_difference <= F.col("split_at"), F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"), F.lit("char").alias("defect"), F.lit(0).alias("next_line"), "word", "right")
     return furniture.unionByName(hyphens).unionByName(chars).unionByName(split)
 
 
 def found(all_defects: DataFrame) -> DataFrame:
     """(revision_id, line_no, defect), one row for each line and kind."""
-    return all_defects.select("revision_id", "line_no", "defect").distinct()
+    return all_defects.where(F.col("defect") != "compound").select("revision_id", "line_no", "defect").distinct()
 
 
 def repaired(lines: list[str], first: int, faults: list) -> list[tuple[int, int, str]]:
@@ -406,14 +413,16 @@ def repaired(lines: list[str], first: int, faults: list) -> list[tuple[int, int,
     faults: (line_no, defect, next_line, word, right). Running headers, page numbers and page
     markers go, divided words are joined, misread words replaced; a paragraph that a page end cut
     goes on behind it. Headings, table rows and list items keep lines of their own."""
-    dropped, joined, words_ = set(), {}, {}
+    dropped, joined, compound, words_ = set(), {}, set(), {}
     for line, defect, after, word, right in faults:
         if defect in ("header", "page_no"):
             dropped.add(line)
-        elif defect == "hyphen":
+        elif defect in ("hyphen", "compound"):
             joined[line] = after
+            if defect == "compound":
+                compound.add(line)
         else:
-            words_.setdefault(line, []).append((word, right))
+            words_[word] = right
     out: list[list] = []
     gap = furniture = False
     last_no = first + len(lines) - 1
@@ -425,19 +434,28 @@ def repaired(lines: list[str], first: int, faults: list) -> list[tuple[int, int,
         if not text:
             gap = True
             continue
-        for word, right in words_.get(no, ()):
-            text = text.replace(word, right)
         alone = bool(_HEADING.match(text)) or text[0] == "|" or bool(_LIST.match(text))
         previous = out[-1] if out else None
         flows = previous and not alone and not previous[3] and (not gap or (furniture and previous[2][-1] not in ".!?:"))
         if previous and joined.get(previous[1]) == no and not alone:
-            previous[1:3] = no, previous[2][:-1] + text
+            previous[1:3] = no, (previous[2] if previous[1] in compound else previous[2][:-1]) + text
         elif flows or (previous and not gap and not alone and _LIST.match(previous[2])):
             previous[1:3] = no, previous[2] + " " + text
         else:
             out.append([no, no, text, alone])
         gap = furniture = False
-    return [(a, min(b, last_no), t) for a, b, t, _ in out]
+    return [(a, min(b, last_no), corrected(t, words_)) for a, b, t, _ in out]
+
+
+def corrected(text: str, right: dict[str, str]) -> str:
+    """text with whole words replaced, the marks around them kept; divided words are together by now."""
+    if not right:
+        return text
+    out = []
+    for token in text.split(" "):
+        word = token.strip(_STRIP)
+        out.append(token.replace(word, right[word], 1) if word in right else token)
+    return " ".join(out)
 
 
 def _by_revision(all_defects: DataFrame) -> DataFrame:
@@ -472,7 +490,7 @@ def repaired_chunks(chunks: DataFrame, all_defects: DataFrame) -> DataFrame:
             for chunk, text, start, faults in zip(b.chunk_id, b.text, b.start_line, b.faults):
                 lines = text.split("\n")
                 own = [tuple(f.values()) for f in faults if start <= f["line_no"] < start + len(lines)]
-                rows.append((chunk, len(own), "\n\n".join(t for _, _, t in repaired(lines, start, own))))
+                rows.append((chunk, sum(f[1] != "compound" for f in own), "\n\n".join(t for _, _, t in repaired(lines, start, own))))
             yield pd.DataFrame(rows, columns=["chunk_id", "n_defects", "text"])
 
     texts = chunks.where(F.col("text").isNotNull() & F.col("chunk_id").isNotNull()).select("chunk_id", "revision_id", "start_line", "text")
