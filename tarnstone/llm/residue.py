@@ -1,15 +1,14 @@
-"""Template residue, filler and error-page text: trusted segments, spread over near-duplicates by SimHash and shingles."""
+"""Template residue, filler and error-page text: few trusted segments, their labels spread over
+near-duplicates, found by SimHash tables and shingles, and over the blocks of text they stand in."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,46 +43,43 @@ _NO_VALUE = re.compile(
     re.M,
 )
 
-# Words of pseudo-Latin filler.
-_LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
-    "cras ferrunt noster etum sollit arpex lacum magnis morta nulla orbem palem pretia quisem suspar velit vestor vinto caparis dolunt eget fugit idunt".split()
-)
+# The words of the well-known filler, and those of which one must be there.
+_LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split())
+_LATIN_SIGN = frozenset(["lorem", "ipsum", "dolor", "amet"])
 
-# Filler in place of content and notes to the writer, in normal form, wherever they stand outside quotes.
-_FILLER = [
-    "here comes some body copy", "replace this paragraph with your", "add your first finding below", "description of item goes here", "dummy content for layout", "sample text goes here",
-    "your heading here", "your title here", "your text here", "your name here", "insert text here", "insert title here", "click to add text", "click to add title", "click here to add",
-    "hier steht ein blindtext", "dies ist ein platzhalter", "dieser absatz zeigt nur die schrift", "überschrift hier eingeben", "ersetzen sie diesen absatz", "mustertext mustertext",
-    "ceci est un faux texte", "remplacez ce paragraphe", "votre titre ici", "sustituya este párrafo", "esto es contenido de muestra", "su título aquí",
-    "占位文本占位文本", "此处为示例文字", "标题放在这里", "请用正文替换本段",
-]
+# What designers call filler, in normal form; one sign for each language.
+_FILLER = re.compile(r"body copy|dummy content|blindtext|faux texte|contenido de muestra|占位文本")
 
-# Whole messages of error pages, failed programs, missing permission, closed services and script notices, in normal form.
-_STATUS = r"(?:0 |http 0 |error 0 |fehler 0 |erreur 0 )?(?:bad gateway|not found|internal server error|gateway time out|service unavailable|forbidden|too many requests|unauthorized|bad request|request timeout|seite nicht gefunden|page introuvable|página no encontrada|页面未找到|服务器内部错误(?: 编号 \w+)?)"
-_MESSAGES = regex.compile(
-    "|".join(
-        [
-            _STATUS, "error establishing a database connection", "the server did not respond within 0 seconds", "the requested (?:paper|page|document|file|url) \\S+(?: \\S+){0,4} was not found on this server", "oops(?: that page can t be found.*)?", "that page can t be found", "it looks like nothing is stored at this location",
-            "(?:this|the) (?:document|page|paper) (?:has been moved or )?is no longer available", "you do not have permission to view .+", "access denied", "could not convert the file unexpected end of stream.*", "we re sorry something went wrong on our side", "try again in a few minutes", "your session has expired", "please sign in again to continue",
-            "service temporarily unavailable.*", "your address has been blocked for 0 minutes", "please quote incident 0 when you call the help desk", "warning undefined (?:index|variable|array key|offset) .+ on line 0", "traceback most recent call last", "keyerror \\w+", "java lang nullpointerexception", "at papers [\\w ]+ open .*", "status 0 error .*", "error code .* message .*",
-            "(?:bitte )?melden sie sich erneut an", "ihre sitzung ist abgelaufen", "interner serverfehler", "wegen wartungsarbeiten ist der dienst bis 0 uhr nicht erreichbar", "das angeforderte dokument .+ ist nicht mehr verfügbar", "zugriff verweigert", "ihnen fehlt die berechtigung",
-            "texte de remplissage", "texto de relleno", "accès refusé", "vous n avez pas l autorisation.*", "une erreur interne est survenue.*", "le document .+ n est plus disponible", "votre session a expiré.*", "service indisponible jusqu à 0 h",
-            "acceso denegado", "no tiene permiso.*", "se ha producido un error interno.*", "el documento .+ ya no está disponible", "su sesión ha caducado.*", "servicio en mantenimiento.*",
-            "拒绝访问", "会话已过期 请重新登录", "抱歉 您访问的文件 .+ 不存在或已被删除", "系统维护中.*",
-            "you need to enable javascript to .+", "please (?:enable|turn on|activate) (?:javascript|cookies|scripts) to .+", "javascript is (?:turned off|disabled) in your browser", "the reader cannot start without it", "this (?:library|site|application|page) requires (?:cookies|scripts|javascript)(?: and (?:cookies|scripts))?", "switch them on and reload", "your browser is not supported.*",
-            "scripts must be allowed for this viewer", "loading if nothing happens allow active content in the settings", "checking your browser before you can .+", "javascript ist in ihrem browser (?:ausgeschaltet|deaktiviert)", "bitte aktivieren sie javascript um .+", "diese anwendung benötigt cookies und skripte", "ihr browser wird geprüft bitte warten",
-            "veuillez activer javascript pour .+", "javascript est désactivé dans votre navigateur", "cette application exige l activation des scripts", "active javascript para ver .+", "javascript está desactivado en su navegador", "esta aplicación necesita scripts y cookies", "comprobando su navegador.*", "vérification de votre navigateur.*",
-            "请启用 javascript 后查看本文件", "您的浏览器已禁用脚本", "正在检查您的浏览器 请稍候",
-        ]
-    )
-)
+# Reason phrases of HTTP, also translated, that stand alone but for their number.
+_STATUS = re.compile(
+    r"(?:(?:http |error |fehler |erreur )?0 |(?:error|fehler|erreur) )?(?:bad request|unauthorized|forbidden|not found|request timeout|too many requests|internal server error|bad gateway|service unavailable|gateway time ?out"
+    r"|seite nicht gefunden|page introuvable|página no encontrada|页面未找到)"
+)
+# What messages of programs and notices about scripts are about, in normal form; prose on such things is longer.
+_SUBJECTS = re.compile(
+    r"\b(?:javascript|cookies|scripts|skripte|active content)\b|脚本|\b(?:your|votre|su|ihr) (?:browser|navigateur|navegador)\b|您的浏览器"
+    r"|\b(?:access denied|accès refusé|zugriff verweigert|acceso denegado)\b|拒绝访问|session has expired|session a expiré|sesión ha caducado|sitzung ist abgelaufen|会话已过期"
+    r"|no longer available|n est plus disponible|ya no está disponible|nicht mehr verfügbar|不存在或已被删除|not found on this server"
+    r"|temporarily unavailable|\b(?:indisponible|mantenimiento|wartungsarbeiten)\b|系统维护|^oops$|something went wrong|\b(?:erreur interne|error interno|serverfehler)\b|服务器内部错误"
+    r"|\w+exception$|database connection|unexpected end of"
+)
+# How messages begin that may go on at any length.
+_BEGINNINGS = re.compile(
+    r"(?:traceback most recent call last|warning undefined|status 0 error)\b"
+    r"|(?:please |you need to |bitte |veuillez |por favor )?(?:enable|activate|turn on|allow|aktivieren sie|activer|active) (?:javascript|cookies|scripts)\b"
+)
+#: Most words of a message that is trusted, and of filler.
+TRUSTED_WORDS = 12
+#: Share of the documents with a segment in which it must stand in a block with residue to be residue
+#: too, and the least number of such documents.
+SHARE, SUPPORT = 0.5, 2
 
 _FENCE = re.compile(r"^```.*?^```[^\n]*$|`[^`\n]*`", re.M | re.S)
 _QUOTED = re.compile(r"“[^“”\n]*”|„[^„“\n]*“|«[\s ][^»\n]*[\s ]»|\"(?<![\w=:{,]\")(?<![:,] \")[^\"\n]{2,80}\"(?![:,}])|‘[^‘’\n]{2,80}’")
-_CUT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
+_CUT = re.compile(r"(?<=[.!?])[^\S\f]+|(?<=[。！？])|\n+")
+_BLANK_LINES = re.compile(r"\f|\n[^\S\n]*\n\s*")
 _DIGITS = re.compile(r"[0-9]+")
-_DROP = re.compile(rf"[^\w\n{PLACE}]+|_+")
+_DROP = re.compile(rf"[^\w\n\f{PLACE}]+|_+")
 
 
 def _keyboard(words: list[str]) -> bool:
@@ -92,31 +88,26 @@ def _keyboard(words: list[str]) -> bool:
     return len(words) >= 3 and len(letters) >= 10 and not letters.strip("adefjklqrsw") and sum(map(letters.count, "jkqw")) >= 0.12 * len(letters)
 
 
-@cache
-def _begins_message(word: str) -> bool:
-    """Whether a message can begin with the word."""
-    return _MESSAGES.fullmatch(word, partial=True) is not None
-
-
-def kind_of(normal: str, filler: bool = True) -> str | None:
-    """What residue a segment in normal form is, by the trusted signs; None if none. filler: whether
-    its text holds one of the filler phrases."""
+def kind_of(normal: str) -> str | None:
+    """What residue a segment in normal form is, by the trusted signs; None if none."""
     if PLACE in normal:
         return "place"
-    words = normal.split(" ")
-    if _begins_message(words[0]) and _MESSAGES.fullmatch(normal):
+    if _BEGINNINGS.match(normal):
         return "message"
+    words = normal.split(" ")
+    if len(words) <= TRUSTED_WORDS:
+        if _SUBJECTS.search(normal) or _STATUS.fullmatch(normal):
+            return "message"
+        if _FILLER.search(normal):
+            return "filler"
     if len(words) >= 3:
+        if not _LATIN_SIGN.isdisjoint(words) and sum(w in _LATIN for w in words) >= 0.25 * len(words):
+            return "filler"
         first = words[0]
-        if first in _LATIN or words[-1] in _LATIN:
-            if sum(w in _LATIN for w in words) >= 0.7 * len(words):
-                return "filler"
         if first == words[1] and len(set(words)) == 1 and first.isalpha() and len(first) > 2:
             return "filler"
         if not first.strip("adefjklqrsw") and _keyboard(words):
             return "filler"
-    if filler and any(x in normal for x in _FILLER):
-        return "filler"
     return None
 
 
@@ -131,8 +122,9 @@ def _place(m: re.Match) -> str:
     return f" {PLACE} "
 
 
-def segments(text: str) -> list[str]:
-    """The sentences and lines of a text in normal form, without code and quotations.
+def blocks(text: str) -> list[list[str]]:
+    """The blocks of a text, that is what stands between blank lines, each as its sentences and
+    lines in normal form, without code and quotations.
 
     Unfilled places come out as one word of their own, numbers as 0, letters in lower case."""
     if "\r" in text:
@@ -146,8 +138,20 @@ def segments(text: str) -> list[str]:
         text = _NO_VALUE.sub(f" {PLACE} ", text)
     if "“" in text or '"' in text or "„" in text or "«" in text or "‘" in text:
         text = _QUOTED.sub(" ", text)
+    text = _BLANK_LINES.sub("\n\f", text)  # a form feed begins a block
     lines = _CUT.sub("\n", _DIGITS.sub("0", text.lower()))
-    return [normal for line in _DROP.sub(" ", lines).split("\n") if (normal := line.strip())]
+    out: list[list[str]] = [[]]
+    for line in _DROP.sub(" ", lines).split("\n"):
+        if "\f" in line and out[-1]:
+            out.append([])
+        if normal := line.replace("\f", " ").strip():
+            out[-1].append(normal)
+    return out if out[-1] else out[:-1]
+
+
+def segments(text: str) -> list[str]:
+    """The segments of all blocks of a text."""
+    return [normal for block in blocks(text) for normal in block]
 
 
 class SimHasher:
@@ -215,14 +219,15 @@ class SimHasher:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(values, pa.int32()))
 
 
-_SEGMENT = "doc_id bigint, segment_id bigint, simhash bigint, residue string, normal string, keys array<int>"
+_SEGMENT = "doc_id bigint, block_no int, segment_id bigint, simhash bigint, residue string, normal string, keys array<int>"
 
 
 def document_segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, segment_id, simhash, residue, normal, keys): the segments of each text, each once a text.
+    """(doc_id, block_no, segment_id, simhash, residue, normal, keys): the segments of each text,
+    each once a block.
 
-    residue is the kind of a trusted residue segment. Segments under SHINGLE words that are none
-    are left out: no other segment can be similar to them without being equal."""
+    residue is the kind of a trusted residue segment. Of segments under SHINGLE words that are none
+    only the ids are kept: no other segment can be similar to them without being equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -230,23 +235,34 @@ def document_segments(documents: DataFrame) -> DataFrame:
         hasher = SimHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                docs, ids, kinds, normals, lists = [], [], [], [], []
+                docs, places, ids, kinds, normals, lists = [], [], [], [], [], []
                 part = batch.slice(at, 200)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    parts = dict.fromkeys(segments(text))
-                    whole = "\n".join(parts)
-                    filler = any(x in whole for x in _FILLER)
-                    for normal in parts:
-                        residue = kind_of(normal, filler)
-                        if residue or normal.count(" ") >= SHINGLE - 1:
+                    seen: dict = {}
+                    for place, block in enumerate(blocks(text)):
+                        for normal in dict.fromkeys(block):
                             docs.append(doc)
-                            ids.append(xxhash.xxh64_intdigest(normal) - (1 << 63))
-                            kinds.append(residue)
-                            normals.append(normal)
-                            lists.append(normal.split(" "))
-                numbers = hasher.numbers(lists)
-                columns = [pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(hasher.hashes(lists, numbers)), pa.array(kinds, pa.string()), pa.array(normals, pa.string()), hasher.keys(lists, numbers)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "segment_id", "simhash", "residue", "normal", "keys"])
+                            places.append(place)
+                            if normal in seen:  # its words are with its first occurrence
+                                digest, kind = seen[normal]
+                                words = []
+                            else:
+                                digest, kind = seen[normal] = xxhash.xxh64_intdigest(normal) - (1 << 63), kind_of(normal)
+                                words = normal.split(" ")
+                                if not kind and len(words) < SHINGLE:
+                                    words = []
+                            ids.append(digest)
+                            kinds.append(kind)
+                            normals.append(normal if words else None)
+                            lists.append(words)
+                at_words = [i for i, words in enumerate(lists) if words]
+                full = [lists[i] for i in at_words]
+                numbers = hasher.numbers(full)
+                place_of = np.full(len(lists), -1)
+                place_of[at_words] = np.arange(len(full))
+                index = pa.array(place_of, mask=place_of < 0)
+                columns = [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.int64()), pa.array(hasher.hashes(full, numbers)).take(index), pa.array(kinds, pa.string()), pa.array(normals, pa.string()), hasher.keys(full, numbers).take(index)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "block_no", "segment_id", "simhash", "residue", "normal", "keys"])
 
     return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, _SEGMENT)
 
@@ -283,34 +299,68 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["segment_id", "simhash", "residue", "normal", "keys"]]
 
 
+def near_segments(rest: DataFrame, front: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(segment_id, simhash, residue, normal, keys) of the segments of rest that are near-duplicates
+    of a segment of front, with its residue, without those that labelled has.
+
+    Near-duplicates have shingles with a similarity of SIMILARITY or more. Their SimHashes differ
+    in at most RADIUS bits, or else they share a shingle key: no such link is lost."""
+    asked = _blocks(front).select("block", F.col("simhash").alias("simhash_from"), F.col("segment_id").alias("id_from"))
+    close = _blocks(rest).join(broadcast_if_small(materialize(asked, "residue-asked")), "block").where((F.col("block") < 0) | (F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash_from"))) <= RADIUS))
+    pairs = materialize(close.select("segment_id", "id_from").distinct().join(broadcast_if_small(labelled.select("segment_id")), "segment_id", "left_anti"), "residue-pairs")
+    met = rest.join(broadcast_if_small(pairs), "segment_id").dropDuplicates(["segment_id", "id_from"])
+    source = front.select(F.col("segment_id").alias("id_from"), "residue", F.col("normal").alias("normal_from"))
+    reached = met.join(broadcast_if_small(source), "id_from").mapInPandas(_similar, "segment_id bigint, simhash bigint, residue string, normal string, keys array<int>")
+    return reached.groupBy("segment_id").agg(F.min("residue").alias("residue"), *(F.first(c).alias(c) for c in ("simhash", "normal", "keys")))
+
+
+def block_segments(places: DataFrame, labelled: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """(segment_id, residue) of the segments that stand in blocks with residue and hardly elsewhere:
+    in at least support documents, and in at least that share of the documents that have them.
+
+    places: doc_id, block_no, segment_id. A message goes with the sentences around it, filler with
+    other filler; prose that a message happens to stand beside is found without it too. Unfilled
+    places don't count, since the sentences around them are no residue."""
+    sources = labelled.where(F.col("residue") != "place")
+    inside = places.join(broadcast_if_small(sources), "segment_id").groupBy("doc_id", "block_no").agg(F.min("residue").alias("residue"))
+    inside = materialize(inside, "residue-blocks")
+    beside = places.join(broadcast_if_small(inside), ["doc_id", "block_no"]).join(broadcast_if_small(labelled.select("segment_id")), "segment_id", "left_anti")
+    beside = beside.groupBy("segment_id").agg(F.countDistinct("doc_id").alias("n_beside"), F.min("residue").alias("residue")).where(F.col("n_beside") >= support)
+    beside = materialize(beside, "residue-beside")
+    everywhere = places.join(broadcast_if_small(beside.select("segment_id")), "segment_id", "left_semi").groupBy("segment_id").agg(F.countDistinct("doc_id").alias("n_documents"))
+    return beside.join(everywhere, "segment_id").where(F.col("n_beside") >= share * F.col("n_documents")).select("segment_id", "residue")
+
+
 def spread(segments_: DataFrame) -> DataFrame:
     """(segment_id, residue): the trusted segments and all in their connected components.
 
-    Links join segments whose shingles have a similarity of SIMILARITY or more. Their SimHashes
-    differ in at most RADIUS bits, or else they share a shingle key: no such link is lost. Labels go
-    out from the trusted segments, a link further in each round, until no segment is new; components
-    without a trusted segment need no work. Of an unfilled place the sentence around it is no
-    residue, so from there no label goes out. Keys are made here if segments_ has none."""
+    Links join near-duplicates (near_segments) and, where segments_ has doc_id and block_no, what
+    goes together in blocks (block_segments). Labels go out from the trusted segments, a link
+    further in each round, until no segment is new; components without a trusted segment need no
+    work. Of an unfilled place the sentence around it is no residue, so from there no label goes
+    out. Keys are made here if segments_ has none."""
     columns = ["segment_id", "simhash", "residue", "normal", "keys"]
-    distinct = (segments_ if "keys" in segments_.columns else materialize(with_keys(segments_), "residue-keys")).select(*columns)
-    front = materialize(distinct.where(F.col("residue").isNotNull()).dropDuplicates(["segment_id"]), "residue-seeds")
-    rest = distinct.where(F.col("residue").isNull()).drop("residue")
-    tables = _blocks(rest)
+    in_blocks = {"doc_id", "block_no"} <= set(segments_.columns)
+    keyed = segments_ if "keys" in segments_.columns else materialize(with_keys(segments_), "residue-keys")
+    worded = keyed.where(F.col("normal").isNotNull()).select(*columns)
+    front = materialize(worded.where(F.col("residue").isNotNull()).dropDuplicates(["segment_id"]), "residue-seeds")
+    rest = worded.where(F.col("residue").isNull()).drop("residue")
     labelled = front.select("segment_id", "residue")
     front = front.where(F.col("residue") != "place")
     while True:
         front = front.where(F.size(F.split("normal", " ")) >= SHINGLE)
-        asked = _blocks(front).select("block", F.col("simhash").alias("simhash_from"), F.col("segment_id").alias("id_from"))
-        close = tables.join(broadcast_if_small(asked), "block").where((F.col("block") < 0) | (F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash_from"))) <= RADIUS))
-        pairs = materialize(close.select("segment_id", "id_from").distinct().join(broadcast_if_small(labelled.select("segment_id")), "segment_id", "left_anti"), "residue-pairs")
-        met = rest.join(broadcast_if_small(pairs), "segment_id").dropDuplicates(["segment_id", "id_from"])
-        source = front.select(F.col("segment_id").alias("id_from"), "residue", F.col("normal").alias("normal_from"))
-        reached = met.join(broadcast_if_small(source), "id_from").mapInPandas(_similar, "segment_id bigint, simhash bigint, residue string, normal string, keys array<int>")
-        new = materialize(reached.groupBy("segment_id").agg(F.min("residue").alias("residue"), *(F.first(c).alias(c) for c in ("simhash", "normal", "keys"))), "residue-reached")
-        if new.isEmpty():
+        new = materialize(near_segments(rest, front, labelled), "residue-reached")
+        front, added = new.select(*columns), [new.select("segment_id", "residue")]
+        if in_blocks:
+            beside = materialize(block_segments(segments_.select("doc_id", "block_no", "segment_id"), labelled.unionByName(added[0])), "residue-joined")
+            worded_beside = worded.drop("residue").join(broadcast_if_small(beside), "segment_id").select(*columns).dropDuplicates(["segment_id"])
+            front = front.unionByName(worded_beside)
+            added.append(beside)
+        labels = added[0] if len(added) == 1 else added[0].unionByName(added[1])
+        if labels.isEmpty():
             return labelled
-        front = new.select(*columns)
-        labelled = labelled.unionByName(new.select("segment_id", "residue"))
+        front = materialize(front, "residue-front")
+        labelled = materialize(labelled.unionByName(labels), "residue-labels")
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ CASES = [
     "Dear {{policy_holder}},\nwe write.", "Filiale: <noch auszufüllen>", "Agreed by «DISCOUNT_RATE» today", "Of the #REF! policies, most", "Signed: ____________", "The rate of XX.XX % holds", "due on xx/xx/20xx as said", "Stichtag: [folgt]",
     "保单号: 【请填写】", "Branch: %(amount)d", "Reporting year: TBD", "Montant: NaN", "Firmante: undefined", "The ratio for [Your reserve total] rose", "Signed: &lt;reviewer&gt;", "By *** FILL IN *** only", "Line: @@BRANCH@@", "Agence: (à compléter)", "No effect on the stress ........................ was found",
     "The rest.\n\n__table number__", "Two words\nllf kklsrfr kwl",
-    "Lorem sed morta ferrunt eget cras.", "Text text text text.", "Item 3. Your heading here Item 4.", "kfwsssf eafe fkwf fqldelk lqdj slas akd", "Texte de remplissage.",
+    "Lorem sed morta ferrunt eget cras.", "Text text text text.", "kfwsssf eafe fkwf fqldelk lqdj slas akd",
     "503 Bad Gateway", "Home > Library\nOops! That page can't be found.", '{"status": 500, "error": "upstream timeout", "trace": "9129ee00"}', "Traceback (most recent call last):\n  File \"render.py\", line 2", "504 页面未找到", "Zugriff verweigert.",
     "You need to enable JavaScript to run this app.", "VEUILLEZ ACTIVER JAVASCRIPT POUR LIRE CE DOCUMENT.", "您的浏览器已禁用脚本。",
 ]
@@ -89,14 +89,34 @@ def test_spread_against_all_pairs(spark):
 
 def test_keys_of_documents(spark):
     """A message with one word more, too far off for the SimHashes, makes its document residue."""
-    message = "you do not have permission to view the papers of the reserve committee for the years before the merger of both funds"
-    longer = message.replace("you do", "here you do")
+    message = "your browser is not supported by the old reader of the library"
+    longer = message.replace("your", "now your")
     a, b = residue.SimHasher().hashes([message.split(" "), longer.split(" ")]).tolist()
-    assert (a ^ b).bit_count() > residue.RADIUS and residue.kind_of(longer) is None
+    assert (a ^ b).bit_count() > residue.RADIUS and residue.kind_of(longer) is None and residue.kind_of(message)
     frame = spark.createDataFrame([(1, message + "."), (2, longer + "."), (3, "The board met in May and said nothing of the reserve.")], "doc_id bigint, text string")
     assert {r.doc_id for r in residue.residue_documents(frame).collect()} == {1, 2}
 
 
+def test_labels_go_over_blocks(spark):
+    """Wording that no sign knows: what goes with residue in blocks is residue elsewhere too, prose
+    and what stands mostly without it are not. The trusted signs alone find fewer documents."""
+    prose = "The board looked at the claims of the third quarter and asked for more."
+    rows = [
+        (1, "Votre titre ici\nCeci est un faux texte pour la mise en page.\nTexte de remplissage."), (2, "Texte de remplissage.\nCeci est un faux texte pour la mise en page.\nVotre titre ici"),
+        (3, f"{prose}\n\nTexte de remplissage.\n\nThe end."), (4, f"{prose} Votre titre ici"), (5, "Your session has expired.\nKindly say your name again."), (6, "Your session has expired.\nKindly say your name again.\n\n" + prose),
+        (7, "Kindly say your name again."), (8, f"Home\nZugriff verweigert.\n{prose}"), (9, f"Home\nAccess denied.\n{prose}"), (10, prose), (11, "Home\n\n" + prose), (12, "Home"), (13, "Home"), (14, prose + " Home"), (15, prose),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seeds = {i for i, text in rows if kinds(text)}
+    assert seeds == {1, 2, 5, 6, 8, 9}
+    assert {r.doc_id for r in residue.residue_documents(frame).collect()} == seeds | {3, 4, 7}
+
+
+def test_blocks():
+    assert residue.blocks("# A b\r\nc. D\r\n \t\r\n\r\ne\ff") == [["a b", "c", "d"], ["e"], ["f"]]
+    assert residue.blocks(" \n\n ") == [] == residue.blocks("") and residue.segments("A.\n\nB") == ["a", "b"]
+
+
 def test_long_messages():
     """A message with an open end is one however long its line is."""
     paths = " ".join(f"/srv/papers/volume{i}/reserve/table{i}" for i in range(20))
