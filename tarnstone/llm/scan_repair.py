@@ -18,6 +18,8 @@ from tarnstone.runtime import broadcast_if_small, materialize
 STATES = ["body", "header", "page_no", "break", "structure"]
 BODY, HEADER, PAGE_NO, BREAK, STRUCTURE = range(5)
 
+#: Most characters of a word of any language; a longer run is a code and isn't looked up.
+LONGEST = 100
 #: Lines of a run of text that may be a page end with its furniture; longer runs are mostly body.
 SHORT_RUN = 4
 #: Rounds in which the model is fitted anew to the lines of all scanned texts.
@@ -42,6 +44,7 @@ _FOLD = str.maketrans("+å0$51|i68hqc", "taosslllbbbge")
 _DIGITS = str.maketrans("lI|iOoåSsB", "1111000558")
 _NUMBER = r"[0-9lI|iOoSsB]{1,4}"
 _PAGE_LINE = re.compile(rf"^[-–—\[(·•~|\s]*(?P<word>[^\W\d_]{{1,7}}\.?\s+)?(?P<no>{_NUMBER})(?P<of>\s*(?:/|[^\W\d_]{{2,3}})\s*{_NUMBER})?(?P<tail>[\W_]*)$")
+_NO_DIGITS = re.compile(r"[0-9]+")
 _EDGE_NUMBER = re.compile(rf"^\s*{_NUMBER}\s+(?=\S)|\s+{_NUMBER}\s*$")
 _MARKER = re.compile(r"^\s*<!--\s*page\b\D*(\d+)?.*-->\s*$", re.I)
 _HEADING = re.compile(r"^#{1,6}\s")
@@ -50,10 +53,10 @@ _LIST = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+\S")
 #: doesn't end a sentence and goes on in lower case or in a script without case; a page marker; a
 #: divided word.
 SIGNS = [
-    r"[^\s.:;!?|。！？：；]\n[\p{Ll}\p{Lo}]", r"(?mi)^\s*<!--\s*page\b", rf"\p{{L}}[{DIVIDERS}]\n",
+    r"\n(?<=[^\s.:;!?|。！？：；]\n)[\p{Ll}\p{Lo}]", r"<!--\s*+[Pp][Aa][Gg][Ee]\b", rf"\n(?<=\p{{L}}[{DIVIDERS}]\n)",
 ]
 #: A line with nothing but what may be a page number; two such lines are a sign too.
-_NUMBER_LINE = r"(?m)^[ \t]*[-–—\[(·•~|]*[ \t]*(?:\p{L}{1,7}\.?[ \t]+)?[0-9lI|iOoSsBvxcVXLC]{1,14}(?:[ \t]*(?:/|\p{L}{2,3})[ \t]*[0-9lI|iOoSsB]{1,4})?[ \t.\-–—\])·•~|]*$"
+_NUMBER_LINE = r"\n[ \t]*+[-–—\[(·•~|]*+[ \t]*+(?:\p{L}{1,7}\.?[ \t]++)?[0-9lI|iOoSsBvxcVXLC]{1,14}(?:[ \t]*(?:/|\p{L}{2,3})[ \t]*[0-9lI|iOoSsB]{1,4})?[ \t.\-–—\])·•~|]*+(?=\n|$)"
 _STRIP = ".,;:()[]{}\"'»«“”„‚‘’*_—–!?…#`<>¿¡%"
 
 
@@ -105,13 +108,12 @@ def _grams(text: str) -> set[str]:
     return {text[i : i + 2] for i in range(len(text) - 1)}
 
 
-def _similar(a: str, b: str, grams: set[str]) -> bool:
-    """Whether a is b with few changes; grams are b's pairs of letters, of which most must stand in a."""
-    if not a or not b or not 0.6 <= len(a) / len(b) <= 1.67:
+def _similar(a: str, own: set[str], b: str, grams: set[str]) -> bool:
+    """Whether a is b with few changes; own and grams are their pairs of letters, of which most must be common."""
+    if not 0.6 <= len(a) / len(b) <= 1.67:
         return False
     if a == b:
         return True
-    own = _grams(a)
     return len(own & grams) >= 0.5 * max(len(own), len(grams)) and SequenceMatcher(None, a, b, False).ratio() >= 0.82
 
 
@@ -155,8 +157,16 @@ def line_symbols(text: str, path: str | None) -> list[int]:
         if j - i > SHORT_RUN:
             long[i:j] = [True] * (j - i)
         i = max(j, i + 1)
-    folded = {i: fold(_EDGE_NUMBER.sub("", lines[i])) for i in range(n) if plain[i] and not number[i]}
+    known = set(f"{parts[1] if len(parts) > 1 else ''} {next((x for x in lines if _HEADING.match(x)), '')}".lower().replace("-", " ").split())
+    bare = {i: _NO_DIGITS.sub("", lines[i]).strip() for i in range(n) if long[i] and plain[i] and not number[i]}
+    again = {x for x, k in Counter(bare.values()).items() if k > 1}
+    folded = {}
+    for i in range(n):
+        if plain[i] and not number[i]:  # a line of body is folded only if it can be like something
+            if not long[i] or bare[i] in again or 2 * sum(w in known for w in lines[i].lower().split()) >= len(lines[i].split()) - 1:
+                folded[i] = fold(_EDGE_NUMBER.sub("", lines[i]))
     often = {x for x, k in Counter(folded.values()).items() if k > 1 and len(x) > 3}
+    like: dict[str, bool] = {}
     targets = [(x, _grams(x)) for x in (title, site, title + site, site + title) if len(x) > 3]
     for i in range(n):
         if plain[i]:
@@ -164,8 +174,11 @@ def line_symbols(text: str, path: str | None) -> list[int]:
             if number[i]:
                 no, kind = number[i]
                 fits = bool({no - 1, no + 1} & found) or count[no] > 1
-            elif len(x := folded[i]) > 3:
-                near = any(_similar(x, *t) for t in targets) or (x in often and not lines[i].rstrip().endswith((".", "!", "?", ":")))
+            elif len(x := folded.get(i, "")) > 3:
+                if x not in like:
+                    own = _grams(x)
+                    like[x] = any(_similar(x, own, *t) for t in targets)
+                near = like[x] or (x in often and not lines[i].rstrip().endswith((".", "!", "?", ":")))
             out[i] = 8 + kind * 8 + fits * 4 + near * 2 + long[i]
     return out
 
@@ -233,9 +246,10 @@ def scanned_lines(revisions: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"revision_id": b.revision_id, "markdown": b.markdown, "symbols": [line_symbols(t, p) for t, p in zip(b.markdown, b.source_path)]})
 
-    sign = F.regexp_count("markdown", F.lit(_NUMBER_LINE)) >= 2
+    sign = F.lit(False)
     for pattern in SIGNS:
         sign = sign | F.col("markdown").rlike(pattern)
+    sign = sign | (F.regexp_count("markdown", F.lit(_NUMBER_LINE)) >= 2)
     once = revisions.where(F.col("revision_id").isNotNull() & sign).select("revision_id", "source_path", "markdown").dropDuplicates(["revision_id"])
     return once.mapInPandas(features, "revision_id string, markdown string, symbols array<int>")
 
@@ -276,7 +290,7 @@ _WORDLIKE = re.compile(r"^[^\W_+$|ﬁﬂ]*(?:[+$|ﬁﬂ]?[^\W_]+)*[+$|ﬁﬂ]?$"
 
 
 def _countable(w: str) -> bool:
-    return bool(_LETTERED.search(w))
+    return len(w) <= LONGEST and bool(_LETTERED.search(w))
 
 
 def word_counts(revisions: DataFrame) -> DataFrame:
