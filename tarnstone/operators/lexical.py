@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnstone.functions import text as T
-from tarnstone.runtime import broadcast_if_small
+from tarnstone.runtime import broadcast_if_small, materialize
 
 K1, B = 1.2, 0.75
 #: Weights of the fields of a chunk, and of an asset.
@@ -47,19 +47,28 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def bm25(rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], terms: DataFrame, query: str) -> DataFrame:
+def scores(posted: DataFrame, key: str, frequency: DataFrame, statistics: DataFrame, weights: dict[str, float], terms: DataFrame, query: str) -> DataFrame:
     """(query, key, score): each row with a term of the query, by BM25 with a frequency and a weight
-    for each field; a term in more than half of the rows counts a millionth. Scores have six decimals."""
-    posted = postings(rows, key, fields, terms)
-    scored = posted.join(document_frequency(posted), ["field", "term"]).crossJoin(F.broadcast(corpus_statistics(rows, fields)))  # one row
+    for each field; a term in more than half of the rows counts a millionth. Scores have six decimals.
+
+    posted: see postings; frequency: field, term, df; statistics: n, average. The weight of a term
+    in a field is worked out once for each query, not for each posting."""
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.lit(0.0)
     for field, w in weights.items():
         weight = F.when(F.col("field") == field, F.lit(w)).otherwise(weight)
-    tf = F.col("tf") * weight
-    part = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    parts = scored.select(key, "term", part.alias("part")).groupBy(key, "term").agg(F.sum("part").alias("part"))
-    return parts.join(broadcast_if_small(terms.select(query, "term")), "term").groupBy(query, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    asked = terms.select(query, "term").join(frequency, "term").crossJoin(F.broadcast(statistics))  # one row
+    asked = asked.select(query, "field", "term", (F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * (K1 + 1)).alias("gain"), weight.alias("weight"), "average")
+    tf = F.col("tf") * F.col("weight")
+    part = F.col("gain") * tf / (tf + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    met = posted.join(broadcast_if_small(materialize(asked, "asked-terms")), ["field", "term"])
+    return met.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], terms: DataFrame, query: str) -> DataFrame:
+    """scores of rows that no index holds: the postings of the queries' terms are made here."""
+    posted = materialize(postings(rows, key, fields, terms), "postings")
+    return scores(posted, key, document_frequency(posted), corpus_statistics(rows, fields), weights, terms, query)
 
 
 def top(scores: DataFrame, query: str, key: str, limit: int, score: str = "score") -> DataFrame:

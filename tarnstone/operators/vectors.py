@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,39 @@ def digest_vectors(rows: DataFrame, key: str, text: Column, dimensions: int = DI
     return rows.select(key, text.alias("text")).mapInPandas(run, f"{key} {kind}, idx array<int>, val array<double>, norm double")
 
 
+def sparse_vectors(rows: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, idx, val): the vectors of ngram_vectors as one row each, idx ascending, to be stored.
+    A worker hashes each word once; texts without words have empty arrays."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = _word_encoder("sha", dimensions)
+        for b in batches:
+            found = [encode(t) for t in b["text"]]
+            at = [np.flatnonzero(v) for v in found]
+            yield pd.DataFrame({key: b[key], "idx": [i.astype(np.int32) for i in at], "val": [v[i] for v, i in zip(found, at)]})
+
+    return rows.select(key, text.alias("text")).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, idx array<int>, val array<double>")
+
+
+def sparse_blocks(rows: DataFrame, key: str, size: int = 256, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Stored vectors (key, idx, val) as blocks (keys, vectors) of at most size, filled in for the
+    product only; vectors without coordinates are left out."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                idx, val = part.column(1), part.column(2)
+                starts = idx.offsets.to_numpy()
+                x = np.zeros((part.num_rows, dimensions))
+                x[np.repeat(np.arange(part.num_rows), np.diff(starts)), idx.flatten().to_numpy()] = val.flatten().to_numpy()
+                keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([x.tobytes()], pa.binary())], names=["keys", "vectors"])
+
+    return rows.where(F.size("idx") > 0).select(key, "idx", "val").mapInArrow(run, f"keys array<{kind}>, vectors binary")
+
+
 def ngram_blocks(rows: DataFrame, size: int = 256, dimensions: int = DIMENSIONS) -> DataFrame:
     """rows (key, text) as blocks (keys, vectors) of at most size vectors of length 1, whose
     coordinates are those of ngram_vectors."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnstone.functions import ids
 from tarnstone.functions import text as T
-from tarnstone.operators import evaluation, evidence, fusion, lexical, store, vectors
+from tarnstone.operators import evaluation, evidence, fusion, index, lexical, store, vectors
 from tarnstone.plans import fragments as S
 from tarnstone.plans.registry import query
 from tarnstone.runtime import broadcast_if_small, materialize, spread, table
@@ -23,11 +23,39 @@ def cases_of(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.gold_cases(table(spark, d, "gold_cases"))
 
 
+def index_of(spark: SparkSession, d: str) -> index.Index:
+    """The stored index of the current chunks, built by the first search of a session."""
+    current = store.current_chunks(table(spark, d, "assets"), table(spark, d, "knowledge_chunks"))
+    return index.of_table(spark, d, current)
+
+
+def terms_of(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.query_terms(cases_of(spark, d), "case_id", "query")
+
+
+def with_ids(spark: SparkSession, d: str, hits: DataFrame, *columns: str) -> DataFrame:
+    """hits (chunk_no, ...) with columns of their chunks; the hits are the small side."""
+    chunks = index_of(spark, d).chunks.select("chunk_no", *columns)
+    return chunks.join(broadcast_if_small(hits), "chunk_no").select(*hits.columns, *columns)
+
+
+def numbered_hits(spark: SparkSession, d: str, limit: int = TOP) -> DataFrame:
+    """(case_id, chunk_no, score, rank): the best chunks of each gold case by BM25. A case without
+    any gets the first chunks that hold one of its words inside other words."""
+    stored = index_of(spark, d)
+    hits = materialize(lexical.top(index.lexical_scores(stored, terms_of(spark, d), "case_id"), "case_id", "chunk_no", limit), "hits")
+    cases = cases_of(spark, d).select("case_id", "query")
+    rest = cases.join(hits.select("case_id").distinct(), "case_id", "left_anti")
+    words = materialize(rest.select("case_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("word")), "words-without-hits")
+    if words.isEmpty():
+        return hits
+    found = index.by_substrings(stored.chunks, "chunk_no", lexical.chunk_fields(), words, "case_id", ["start_line", "end_line"], limit)
+    return hits.unionByName(found.select(*hits.columns))
+
+
 def lexical_hits(spark: SparkSession, d: str, limit: int = TOP) -> DataFrame:
-    """(case_id, chunk_id, score, rank): the best chunks of each gold case by BM25."""
-    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
-    scores = lexical.bm25(chunks_of(spark, d), "chunk_id", lexical.chunk_fields(), lexical.CHUNK_WEIGHTS, terms, "case_id")
-    return lexical.top(scores, "case_id", "chunk_id", limit)
+    """(case_id, chunk_id, score, rank), see numbered_hits."""
+    return with_ids(spark, d, numbered_hits(spark, d, limit), "chunk_id").select("case_id", "chunk_id", "score", "rank")
 
 
 @query(f"""WITH {S.CHUNKS},
@@ -46,13 +74,12 @@ def literal_search_case(spark: SparkSession, d: str) -> DataFrame:
 
 @query(S.BM25.split(",\npart AS")[0].replace("\n  WHERE term IN (SELECT term FROM question_term)", "") .replace("WITH", "") and "WITH " + S.BM25.split(",\npart AS")[0] + " SELECT field, term, df FROM frequency")
 def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
-    return lexical.document_frequency(lexical.postings(chunks_of(spark, d), "chunk_id", lexical.chunk_fields(), terms))
+    return index_of(spark, d).frequency.join(broadcast_if_small(terms_of(spark, d).select("term").distinct()), "term", "left_semi").select("field", "term", "df")
 
 
 @query("WITH " + S.BM25.split(",\neach_term AS")[0] + " SELECT n, round(average, 6) AS average FROM statistics")
 def lexical_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.corpus_statistics(chunks_of(spark, d), lexical.chunk_fields()).select("n", F.round("average", 6).alias("average"))
+    return index_of(spark, d).statistics.select("n", F.round("average", 6).alias("average"))
 
 
 @query("WITH " + S.BM25 + " SELECT case_id, chunk_id, score, rank FROM hit WHERE rank <= 10")
@@ -65,20 +92,18 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
   WHERE starts_with(trim(replace(lower(a.source_path), chr(92), '/'), '/'), 'library/dorford-board-0000/'))
 SELECT case_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scoped QUALIFY rank <= 10""")
 def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
-    """The scope narrows the hits, not the statistics."""
-    chunks = chunks_of(spark, d)
-    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
-    scores = lexical.bm25(chunks, "chunk_id", lexical.chunk_fields(), lexical.CHUNK_WEIGHTS, terms, "case_id")
+    """The scope narrows the chunks before they are scored, not the statistics."""
+    stored = index_of(spark, d)
     inside = store.current_assets(table(spark, d, "assets")).where(evidence.in_path_scope(F.col("source_path"), "library/dorford-board-0000")).select("asset_id")
-    kept = chunks.select("chunk_id", "asset_id").join(inside, "asset_id", "left_semi").select("chunk_id")
-    return lexical.top(scores.join(kept, "chunk_id", "left_semi"), "case_id", "chunk_id", 10)
+    within = stored.chunks.select("chunk_no", "asset_id").join(broadcast_if_small(inside), "asset_id", "left_semi").select("chunk_no")
+    hits = lexical.top(index.lexical_scores(stored, terms_of(spark, d), "case_id", within=within), "case_id", "chunk_no", 10)
+    return with_ids(spark, d, materialize(hits, "hits"), "chunk_id").select("case_id", "chunk_id", "score", "rank")
 
 
 @query("WITH " + S.BM25.replace("), 'heading'", "), 'heading'").replace("5.0 AS weight", "1.0 AS weight").replace("'heading', 3.0", "'heading', 1.0") + " SELECT case_id, chunk_id, score, rank FROM hit WHERE rank <= 5")
 def bm25_equal_weights(spark: SparkSession, d: str) -> DataFrame:
-    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
-    scores = lexical.bm25(chunks_of(spark, d), "chunk_id", lexical.chunk_fields(), dict.fromkeys(lexical.CHUNK_WEIGHTS, 1.0), terms, "case_id")
-    return lexical.top(scores, "case_id", "chunk_id", 5)
+    scores = index.lexical_scores(index_of(spark, d), terms_of(spark, d), "case_id", dict.fromkeys(lexical.CHUNK_WEIGHTS, 1.0))
+    return with_ids(spark, d, materialize(lexical.top(scores, "case_id", "chunk_no", 5), "hits"), "chunk_id").select("case_id", "chunk_id", "score", "rank")
 
 
 @query(f"""WITH {S.CURRENT},
@@ -143,11 +168,9 @@ semantic AS (SELECT case_id, chunk_id, score, CAST(row_number() OVER (PARTITION
 
 def semantic_hits(spark: SparkSession, d: str, limit: int = TOP) -> DataFrame:
     """(case_id, chunk_id, score, rank): the best chunks of each gold case by n-gram cosine."""
-    text = F.concat_ws("\n", F.array_join("heading_path", "\n"), F.coalesce("text", F.lit("")))
-    chunks = chunks_of(spark, d).select(F.col("chunk_id").alias("key"), text.alias("text"))
     asked = cases_of(spark, d).select(F.col("case_id").alias("key"), F.col("query").alias("text"))
-    hits = vectors.search_blocks(vectors.ngram_blocks(chunks), vectors.ngram_blocks(asked), limit, vectors.FLOOR)
-    return hits.withColumnsRenamed({"query": "case_id", "key": "chunk_id"})
+    hits = materialize(index.semantic_hits(index_of(spark, d), asked, limit).withColumnsRenamed({"query": "case_id", "key": "chunk_no"}), "semantic")
+    return with_ids(spark, d, hits, "chunk_id").select("case_id", "chunk_id", "score", "rank")
 
 
 @query("WITH " + _SEMANTIC_SQL + " SELECT case_id, chunk_id, score, rank FROM semantic WHERE rank <= 10")
@@ -226,8 +249,14 @@ def digest_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + S.BM25.split(",\nfrequency AS")[0] + " SELECT chunk_id, field, term, tf, CAST(length AS INTEGER) AS length FROM posting")
 def term_postings(spark: SparkSession, d: str) -> DataFrame:
-    terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
-    return lexical.postings(chunks_of(spark, d), "chunk_id", lexical.chunk_fields(), terms)
+    asked = index_of(spark, d).postings.join(broadcast_if_small(terms_of(spark, d).select("term").distinct()), "term", "left_semi")
+    return with_chunk_ids(spark, d, asked)
+
+
+def with_chunk_ids(spark: SparkSession, d: str, posted: DataFrame) -> DataFrame:
+    """Postings by chunk_id; both sides are bucketed by the number, so nothing is shuffled."""
+    ids_ = index_of(spark, d).chunks.select("chunk_no", "chunk_id")
+    return posted.join(ids_, "chunk_no").select("chunk_id", "field", "term", "tf", "length")
 
 
 _INDEX_SQL = "WITH " + S.BM25.split(",\nfrequency AS")[0].replace("\n  WHERE term IN (SELECT term FROM question_term)", "")
@@ -236,12 +265,12 @@ _INDEX_SQL = "WITH " + S.BM25.split(",\nfrequency AS")[0].replace("\n  WHERE ter
 @query(_INDEX_SQL + " SELECT chunk_id, field, term, tf, CAST(length AS INTEGER) AS length FROM posting")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """The postings of all terms; term_postings has those of the questions' terms."""
-    return lexical.postings(chunks_of(spark, d), "chunk_id", lexical.chunk_fields())
+    return with_chunk_ids(spark, d, index_of(spark, d).postings)
 
 
 @query(_INDEX_SQL + " SELECT field, term, count(*) AS df FROM posting GROUP BY ALL")
 def inverted_index_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.document_frequency(lexical.postings(chunks_of(spark, d), "chunk_id", lexical.chunk_fields()))
+    return index_of(spark, d).frequency.select("field", "term", "df")
 
 
 @query("WITH " + _SEMANTIC_SQL + " SELECT case_id, chunk_id, round(1.0 / (60 + rank), 9) AS score FROM semantic WHERE rank <= 20")

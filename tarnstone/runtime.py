@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a side that is broadcast; a row of a broadcast side is at most a few hundred bytes.
-BROADCAST_ROWS = 200_000
+#: Most rows and bytes of a side that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Bytes of a value in memory by its type; others are measured.
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +45,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df as it is.
-
-    The count stops as soon as the bound is passed, so that a large side costs no full pass;
-    beyond the bound the join shuffles, and adaptive execution splits its skewed partitions."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else df as it is.
+
+    What has to be shuffled or computed in Python to be counted is written first, so that it is
+    done once; of what is only read and filtered, counting stops at the bound. Beyond the bound the
+    join shuffles, and adaptive execution splits its skewed partitions."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Aggregate", "Join", "Deduplicate", "Window", "Sort", "MapIn", "Generate")):
+        df = materialize(df, "side")
+    width = F.lit(sum(_WIDTHS.get(kind, 16) for _, kind in df.dtypes))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind not in _WIDTHS:
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    n, size = df.limit(rows + 1).select(width.cast("bigint").alias("width")).agg(F.count("*"), F.coalesce(F.sum("width"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
