@@ -76,3 +76,47 @@ score AS (SELECT case_id, chunk_id, round(sum(value), 6) AS score FROM chunk_par
 hit AS (
   SELECT case_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
   FROM score QUALIFY rank <= 200)"""
+
+
+def loose(phrase: str) -> str:
+    """A pattern for phrase (folded already) with white space between any of its characters."""
+    word = "array_to_string(list_transform(string_split(w, ''), lambda c: CASE WHEN regexp_matches(c, '[!-/:-@\\[-`{-~]') THEN '\\' || c ELSE c END), '\\s*')"
+    return f"'(^|[^a-z0-9])' || array_to_string(list_transform(regexp_extract_all({phrase}, '\\S+'), lambda w: {word}), '\\s+') || '($|[^a-z0-9])'"
+
+
+def clean(x: str) -> str:
+    """Evidence as phrases are looked for in it."""
+    joined = f"regexp_replace({fold(x)}, '([\\p{{L}}\\p{{N}}_])-\\s*\\n\\s*([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"
+    return collapse(joined)
+
+
+def first_bytes(x: str, n: int) -> str:
+    """The first n bytes without a cut character."""
+    cut = ", ".join(f"try(decode(array_slice(encode({x}), 1, {k})))" for k in range(n, n - 4, -1))
+    return f"CASE WHEN strlen({x}) <= {n} THEN {x} ELSE coalesce({cut}) END"
+
+
+_REQUIRED = """
+expected AS (SELECT DISTINCT case_id, lower(unnest(expected_sources)) AS source_name FROM gold),
+needed AS (SELECT * FROM (
+  SELECT case_id, 'phrase' AS kind, unnest(range(len(required_evidence_phrases))) AS no, unnest(required_evidence_phrases) AS label, unnest(list_transform(required_evidence_phrases, lambda p: [p])) AS phrases FROM gold
+  UNION ALL SELECT case_id, 'claim', unnest(range(len(required_claims))), unnest(list_transform(required_claims, lambda c: array_to_string(c.answer_phrases, ' | '))), unnest(list_transform(required_claims, lambda c: c.evidence_phrases)) FROM gold)
+  WHERE len(list_filter(phrases, lambda p: trim(p) = '')) = 0)"""
+
+#: What the evidence of the expected sources holds: evidence (case_id, evidence_rank, required, missing_phrases, missing_claims, n_read, evidence_bytes).
+EVIDENCE = BM25 + "," + _REQUIRED + f""",
+target AS (SELECT h.case_id, h.rank, e.source_name, {first_bytes("coalesce(k.text, '')", 20000)} AS text
+  FROM hit h JOIN chunk k USING (chunk_id) JOIN expected e ON e.case_id = h.case_id AND e.source_name = lower(k.source_name)),
+cleaned AS (SELECT case_id, rank, {clean('text')} AS text FROM target),
+first_met AS (SELECT case_id, kind, no, min(rank) AS first FROM cleaned JOIN (SELECT case_id, kind, no, unnest(phrases) AS phrase FROM needed) USING (case_id) WHERE regexp_matches(text, {loose(fold('phrase'))}) GROUP BY ALL),
+need_state AS (SELECT case_id, count(f.first) = count(*) AS complete, max(f.first) AS last,
+    coalesce(list(label ORDER BY no) FILTER (f.first IS NULL AND kind = 'phrase'), []) AS missing_phrases, coalesce(list(label ORDER BY no) FILTER (f.first IS NULL AND kind = 'claim'), []) AS missing_claims
+  FROM needed LEFT JOIN first_met f USING (case_id, kind, no) GROUP BY case_id),
+found_state AS (SELECT case_id, count(*) AS n_found, max(first) AS last_source FROM (SELECT case_id, source_name, min(rank) AS first FROM target GROUP BY ALL) GROUP BY case_id),
+wanted_sources AS (SELECT case_id, count(*) AS n_sources FROM expected GROUP BY case_id),
+stop AS (SELECT g.case_id, n.complete IS NOT NULL AS required, coalesce(n.missing_phrases, []) AS missing_phrases, coalesce(n.missing_claims, []) AS missing_claims,
+    CASE WHEN f.n_found > 0 AND f.n_found = w.n_sources AND coalesce(n.complete, true) THEN greatest(coalesce(n.last, 0), f.last_source) END AS stop
+  FROM gold g LEFT JOIN need_state n USING (case_id) LEFT JOIN found_state f USING (case_id) LEFT JOIN wanted_sources w USING (case_id)),
+evidence AS (SELECT s.case_id, CASE WHEN required THEN stop END AS evidence_rank, required, any_value(missing_phrases) AS missing_phrases, any_value(missing_claims) AS missing_claims,
+    count(t.rank) AS n_read, coalesce(sum(strlen(t.text)), 0)::BIGINT AS evidence_bytes
+  FROM stop s LEFT JOIN target t ON t.case_id = s.case_id AND (stop IS NULL OR t.rank <= stop) GROUP BY s.case_id, stop, required)"""
