@@ -68,6 +68,15 @@ _BEGINNINGS = re.compile(
     r"(?:traceback most recent call last|warning undefined|status 0 error)\b"
     r"|(?:please |you need to |bitte |veuillez |por favor )?(?:enable|activate|turn on|allow|aktivieren sie|activer|active) (?:javascript|cookies|scripts)\b"
 )
+# The words of which one stands in every message and filler above, and the first words
+# of beginnings: segments without any need no search. Chinese, without blanks between words, does.
+_MARKS = frozenset(
+    "javascript cookies scripts skripte content browser navigateur navegador denied refusé verweigert denegado expired expiré caducado abgelaufen available disponible verfügbar "
+    "server unavailable indisponible mantenimiento wartungsarbeiten oops wrong erreur error serverfehler database unexpected request unauthorized forbidden found timeout requests gateway out gefunden introuvable encontrada "
+    "copy dummy blindtext faux muestra".split()
+)
+_FIRST = frozenset("traceback warning status please you bitte veuillez por enable activate turn allow aktivieren activer active".split())
+_HAN = re.compile(r"[\u4e00-\u9fff]")
 #: Most words of a message that is trusted, and of filler.
 TRUSTED_WORDS = 12
 #: Share of the documents with a segment in which it must stand in a block with residue to be residue
@@ -76,10 +85,10 @@ SHARE, SUPPORT = 0.5, 2
 
 _FENCE = re.compile(r"^```.*?^```[^\n]*$|`[^`\n]*`", re.M | re.S)
 _QUOTED = re.compile(r"“[^“”\n]*”|„[^„“\n]*“|«[\s ][^»\n]*[\s ]»|\"(?<![\w=:{,]\")(?<![:,] \")[^\"\n]{2,80}\"(?![:,}])|‘[^‘’\n]{2,80}’")
-_CUT = re.compile(r"(?<=[.!?])[^\S\f]+|(?<=[。！？])|\n+")
-_BLANK_LINES = re.compile(r"\f|\n[^\S\n]*\n\s*")
+_CUT = re.compile(r"[.!?][^\S\f]+|[。！？]")
+_BLANK_LINES = re.compile(r"\n[^\S\n]*\n\s*|\f")
 _DIGITS = re.compile(r"[0-9]+")
-_DROP = re.compile(rf"[^\w\n\f{PLACE}]+|_+")
+_DROP = re.compile(rf"[^\w\n\f{PLACE}]+")
 
 
 def _keyboard(words: list[str]) -> bool:
@@ -88,14 +97,15 @@ def _keyboard(words: list[str]) -> bool:
     return len(words) >= 3 and len(letters) >= 10 and not letters.strip("adefjklqrsw") and sum(map(letters.count, "jkqw")) >= 0.12 * len(letters)
 
 
-def kind_of(normal: str) -> str | None:
-    """What residue a segment in normal form is, by the trusted signs; None if none."""
+def kind_of(normal: str, words: list[str] | None = None) -> str | None:
+    """What residue a segment in normal form is, by the trusted signs; None if none. words: the
+    segment at its blanks, if it was split already."""
     if PLACE in normal:
         return "place"
-    if _BEGINNINGS.match(normal):
+    words = words or normal.split(" ")
+    if words[0] in _FIRST and _BEGINNINGS.match(normal):
         return "message"
-    words = normal.split(" ")
-    if len(words) <= TRUSTED_WORDS:
+    if len(words) <= TRUSTED_WORDS and not (_MARKS.isdisjoint(words) and (normal.isascii() or not _HAN.search(normal)) and not words[-1].endswith("exception")):
         if _SUBJECTS.search(normal) or _STATUS.fullmatch(normal):
             return "message"
         if _FILLER.search(normal):
@@ -139,7 +149,7 @@ def blocks(text: str) -> list[list[str]]:
     if "“" in text or '"' in text or "„" in text or "«" in text or "‘" in text:
         text = _QUOTED.sub(" ", text)
     text = _BLANK_LINES.sub("\n\f", text)  # a form feed begins a block
-    lines = _CUT.sub("\n", _DIGITS.sub("0", text.lower()))
+    lines = _CUT.sub("\n", _DIGITS.sub("0", text.lower())).replace("_", " ")
     out: list[list[str]] = [[]]
     for line in _DROP.sub(" ", lines).split("\n"):
         if "\f" in line and out[-1]:
@@ -247,8 +257,8 @@ def document_segments(documents: DataFrame) -> DataFrame:
                                 digest, kind = seen[normal]
                                 words = []
                             else:
-                                digest, kind = seen[normal] = xxhash.xxh64_intdigest(normal) - (1 << 63), kind_of(normal)
                                 words = normal.split(" ")
+                                digest, kind = seen[normal] = xxhash.xxh64_intdigest(normal) - (1 << 63), kind_of(normal, words)
                                 if not kind and len(words) < SHINGLE:
                                     words = []
                             ids.append(digest)
