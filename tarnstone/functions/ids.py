@@ -25,8 +25,8 @@ def chunk_id(asset: Column, revision: Column, start: Column, end: Column, text:
 
 
 def json_string(text: Column) -> Column:
-    """text as a JSON string, other letters than ASCII as they are."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    """text as a JSON string, other letters than ASCII as they are; null stays null."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
 
 
 def revision_id(asset: Column, source_hash: Column, path: Column, name: Column, parser: Column, version: Column, markdown: Column, content_list: Column, metadata: Column) -> Column:
@@ -50,3 +50,33 @@ def cursor(snapshot: Column, query_key: Column, offset: Column) -> Column:
     """An opaque place in a result list: URL-safe base64 of JSON, without padding."""
     body = F.to_json(F.struct(offset.cast("int").alias("offset"), query_key.alias("query_key"), snapshot.alias("snapshot_id")))
     return F.translate(F.rtrim(F.base64(F.encode(body, "UTF-8")), F.lit("=")), "+/\r\n", "-_")  # base64 breaks lines
+
+
+def query_key(kind: str, scope: Column | str | None = None, pattern: Column | str | None = None) -> Column:
+    """What a list of results answers: list:scope, find:scope:pattern, search:scope:query or
+    literal:scope:query; patterns in lower case."""
+    parts = [F.lit(kind), F.coalesce(_text(scope), F.lit(""))]
+    if pattern is not None:
+        parts.append(F.lower(_text(pattern)) if kind == "find" else _text(pattern))
+    return F.concat_ws(":", *parts)
+
+
+def _text(value: Column | str | None) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def parse_cursor(cursor_: Column) -> Column:
+    """(offset, query_key, snapshot_id) of a cursor; null if it is none."""
+    base = F.translate(cursor_, "-_", "+/")
+    padded = F.rpad(base, ((F.length(base) + 3) / 4).cast("int") * 4, F.lit("="))
+    body = F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    parsed = F.from_json(body, "offset int, query_key string, snapshot_id string")
+    return F.when(parsed["offset"].isNotNull() & parsed["query_key"].isNotNull() & parsed["snapshot_id"].isNotNull(), parsed)
+
+
+def parse_locator(locator_json: Column) -> Column:
+    """(provider, resource_id, revision, selector) of a locator; null if it isn't JSON, is of
+    another version or lacks a part. selector (type, id, start, end, value) may be null."""
+    parsed = F.from_json(locator_json, "version int, provider string, resource_id string, revision string, selector struct<type:string,id:string,start:int,end:int,value:string>")
+    whole = (parsed["version"] == LOCATOR_VERSION) & (parsed["provider"] != "") & (parsed["resource_id"] != "") & (parsed["revision"] != "")
+    return F.when(F.coalesce(whole, F.lit(False)), F.struct(*(parsed[c].alias(c) for c in ("provider", "resource_id", "revision", "selector"))))

@@ -121,3 +121,36 @@ def first_appearance(hits: DataFrame, query: str, name: str, rank: str) -> DataF
     """(query, name, source_rank, chunk_rank): the order in which sources first appear among the hits."""
     first = hits.groupBy(query, F.lower(name).alias(name)).agg(F.min(rank).alias("chunk_rank"))
     return first.withColumn("source_rank", F.row_number().over(Window.partitionBy(query).orderBy("chunk_rank", name)))
+
+
+def resume(cursors: DataFrame, listed: DataFrame, query: str) -> DataFrame:
+    """cursors (query, cursor, ...) with status and page_offset: OK and where the next page begins, or
+    CURSOR_INVALID and null where the cursor can't be read, is of another list or query, or lies
+    outside. listed: query, query_key, snapshot_id, n_hits."""
+    met = cursors.join(listed.select(query, "query_key", "snapshot_id", "n_hits"), query, "left").withColumn("at", ids.parse_cursor(F.col("cursor")))
+    good = (F.col("at.snapshot_id") == F.col("snapshot_id")) & (F.col("at.query_key") == F.col("query_key")) & F.col("at.offset").between(0, F.col("n_hits"))
+    good = F.coalesce(good, F.lit(False))
+    return met.select(*cursors.columns, F.when(good, "OK").otherwise("CURSOR_INVALID").alias("status"), F.when(good, F.col("at.offset")).alias("page_offset"))
+
+
+def resolve_shorthand(asked: DataFrame, key: str, assets: DataFrame) -> DataFrame:
+    """asked (key, shorthand), each a document's name or name:line, with asset_id, revision_id and
+    line: the asset of that name, else the first by name whose name holds it; null if there is none.
+
+    assets: asset_id, source_name, current_revision_id. Names are compared whatever the letters'
+    case; what no name equals meets the assets in at most 64 arrays."""
+    from pyspark.sql import Window
+
+    from tarnstone.runtime import broadcast_if_small, materialize
+
+    parts = asked.select(*asked.columns, F.regexp_extract("shorthand", r"(?s)^(.+?)(?::0*(\d+))?$", 1).alias("name"), F.expr("nullif(regexp_extract(shorthand, '(?s)^(.+?)(?::0*([0-9]+))?$', 2), '')").cast("int").alias("line"))
+    parts = materialize(parts.withColumn("name", T.casefold("name")), "shorthands")
+    named = assets.select("asset_id", F.col("current_revision_id").alias("revision_id"), T.casefold("source_name").alias("own"), F.lower("source_name").alias("order"))
+    one = Window.partitionBy("name").orderBy("order", "asset_id")
+    wanted = parts.where("name <> ''").select("name").distinct()
+    exact = named.join(broadcast_if_small(wanted), F.col("own") == F.col("name"))
+    exact = materialize(exact.withColumn("place", F.row_number().over(one)).where("place = 1").select("name", "asset_id", "revision_id"), "names")
+    rest = wanted.join(exact, "name", "left_anti").groupBy(F.pmod(F.xxhash64("name"), F.lit(64))).agg(F.collect_list("name").alias("names")).select("names")
+    held = named.crossJoin(broadcast_if_small(rest)).select("asset_id", "revision_id", "order", F.explode(F.filter("names", lambda n: F.contains(F.col("own"), n))).alias("name"))
+    held = held.withColumn("place", F.row_number().over(one)).where("place = 1").select("name", "asset_id", "revision_id")
+    return parts.join(broadcast_if_small(exact.unionByName(held)), "name", "left").select(*asked.columns, "asset_id", "revision_id", "line")

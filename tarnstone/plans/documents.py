@@ -1,7 +1,9 @@
-"""Queries over texts: chunks of Markdown, packing, reading of parts, judgements on texts."""
+"""Queries over texts: chunks of Markdown, packing, reading of parts, judgements on texts, folders of files."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from tarnstone.functions import text as T
 from tarnstone.operators import chunking, evidence, heuristics, store
 from tarnstone.plans import fragments as S
 from tarnstone.plans.registry import query
-from tarnstone.runtime import table
+from tarnstone.runtime import shared_dir, table
+from tarnstone.sources import directory, files
 
 _BLANK = "^[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0B\\x1c-\\x1f]*$"
 
@@ -33,12 +36,29 @@ def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.markdown_chunks(revisions_of(spark, d), ["revision_id"], "markdown").drop("heading_path")
 
 
-@query()
+_TITLE = "trim(rtrim(trim(regexp_extract(c.line, '^#{1,6}\\s+(.+?)\\s*$', 1)), '#'))"
+_PATHS_SQL = _LINES_SQL + f""",
+above AS (SELECT p.revision_id, p.chunk_no, p.start_line, p.end_line, list({{'level': length(regexp_extract(c.line, '^(#{{1,6}})\\s', 1)), 'path': [{_TITLE}]}} ORDER BY c.line_no) FILTER (c.line IS NOT NULL) AS heads
+  FROM piece p LEFT JOIN counted c ON c.revision_id = p.revision_id AND c.kind = 'h' AND c.chunk_no <= p.chunk_no GROUP BY ALL),
+pathed AS (SELECT revision_id, chunk_no, start_line, end_line, CASE WHEN heads IS NULL THEN [] ELSE list_reduce(heads, lambda a, h: {{'level': h.level, 'path': list_concat(a.path[1:h.level - 1], h.path)}}).path END AS heading_path FROM above)"""
+
+
+@query("WITH " + _PATHS_SQL + " SELECT revision_id, CAST(chunk_no AS BIGINT) AS chunk_no, heading_path FROM pathed")
 def heading_paths(spark: SparkSession, d: str) -> DataFrame:
     return chunking.markdown_chunks(revisions_of(spark, d), ["revision_id"], "markdown").select("revision_id", "chunk_no", "heading_path")
 
 
-@query()
+@query("WITH RECURSIVE " + _PATHS_SQL + """,
+body AS (SELECT p.revision_id, p.chunk_no, p.heading_path, p.start_line, p.end_line, string_agg(c.line, chr(10) ORDER BY c.line_no) AS text FROM pathed p JOIN counted c ON c.revision_id = p.revision_id AND c.line_no BETWEEN p.start_line AND p.end_line GROUP BY ALL),
+part AS (SELECT revision_id, b.chunk_no, c.line_no AS no, unnest(range(greatest(1, ceil(length(line) / 4000.0)::INTEGER))) AS k, line FROM body b JOIN counted c USING (revision_id) WHERE length(b.text) > 4000 AND c.line_no BETWEEN b.start_line AND b.end_line),
+cut AS (SELECT revision_id, chunk_no, no, CASE WHEN length(line) > 4000 THEN substr(line, k * 4000 + 1, 4000) ELSE line END AS piece, length(line) > 4000 AS alone, row_number() OVER (PARTITION BY revision_id, chunk_no ORDER BY no, k) AS i FROM part),
+step AS (SELECT revision_id, chunk_no, i, no AS start_line, no AS end_line, piece AS text, alone, 1 AS g FROM cut WHERE i = 1
+  UNION ALL SELECT c.revision_id, c.chunk_no, c.i, CASE WHEN j THEN s.start_line ELSE c.no END, c.no, CASE WHEN j THEN s.text || chr(10) || c.piece ELSE c.piece END, c.alone, CASE WHEN j THEN s.g ELSE s.g + 1 END
+  FROM (SELECT s.*, c.i AS ci, NOT c.alone AND NOT s.alone AND length(s.text) + 1 + length(c.piece) <= 4000 AS j FROM step s JOIN cut c ON c.revision_id = s.revision_id AND c.chunk_no = s.chunk_no AND c.i = s.i + 1) s
+  JOIN cut c ON c.revision_id = s.revision_id AND c.chunk_no = s.chunk_no AND c.i = s.ci),
+last_step AS (SELECT DISTINCT ON (revision_id, chunk_no, g) revision_id, chunk_no, g, start_line, end_line, text FROM step ORDER BY revision_id, chunk_no, g, i DESC)
+SELECT revision_id, CAST(chunk_no AS BIGINT) AS chunk_no, heading_path, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, text FROM body WHERE length(text) <= 4000 AND NOT regexp_matches(text, '""" + _BLANK + """')
+UNION ALL SELECT l.revision_id, CAST(l.chunk_no AS BIGINT), b.heading_path, CAST(l.start_line AS INTEGER), CAST(l.end_line AS INTEGER), l.text FROM last_step l JOIN body b USING (revision_id, chunk_no) WHERE NOT regexp_matches(l.text, '""" + _BLANK + "')")
 def bounded_chunks(spark: SparkSession, d: str) -> DataFrame:
     chunks = chunking.markdown_chunks(revisions_of(spark, d), ["revision_id"], "markdown")
     return chunking.bounded_chunks(chunks, ["revision_id"])
@@ -77,7 +97,7 @@ def read_section(spark: SparkSession, d: str) -> DataFrame:
     return revisions_of(spark, d).select("revision_id", evidence.section(F.col("markdown"), F.lit("Governance")).alias("content")).where(F.col("content").isNotNull())
 
 
-@query()
+@query(f"SELECT doc_id, {S.first_bytes('text', 1000)} AS content, strlen(text) > 1000 AS truncated FROM documents WHERE text IS NOT NULL")
 def read_truncated(spark: SparkSession, d: str) -> DataFrame:
     """The first 1000 bytes of every document, no character cut."""
     rows = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
@@ -102,7 +122,13 @@ def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", T.collapse(T.join_divided(F.col("text"))).alias("clean"))
 
 
-@query()
+def _any_of(signs: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(t, '{s}')" for s in signs) + ")"
+
+
+@query(f"""WITH titled AS (SELECT doc_id, {S.collapse(S.fold('title'))} AS t FROM documents)
+SELECT doc_id, coalesce(t = '' OR CASE WHEN length(regexp_replace(t, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) <= 8 AND {_any_of(heuristics.CONTEXT)} THEN NOT {_any_of(heuristics.DOMAIN)}
+  ELSE regexp_matches(t, '^(?:what|which)\\s+(?:are|about)\\s+(?:the\\s+)?(?:four|three|two)\\??$') END, true) AS needs_context FROM titled""")
 def clarification_flags(spark: SparkSession, d: str) -> DataFrame:
     """Documents by whether their title could be searched for by itself."""
     return table(spark, d, "documents").select("doc_id", heuristics.needs_context(F.col("title")).alias("needs_context"))
@@ -124,3 +150,44 @@ def document_stats(spark: SparkSession, d: str) -> DataFrame:
 def page_marker_chunks(spark: SparkSession, d: str) -> DataFrame:
     chunks = chunking.markdown_chunks(revisions_of(spark, d), ["revision_id"], "markdown")
     return chunks.where(T.is_page_marker(F.get(F.split("text", "\n"), F.lit(0)))).select("revision_id", "start_line", "end_line")
+
+
+def _put(spark: SparkSession, d: str) -> str:
+    """A folder with the current revisions as files."""
+    folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    current = store.current_revisions(table(spark, d, "assets"), table(spark, d, "asset_revisions").select("asset_id", "revision_id", "markdown", "created_at"))
+    directory.put_directory(current, folder)
+    return folder
+
+
+@query(f"WITH {S.CURRENT} SELECT asset_id, revision_id, sha256(markdown) AS content_hash FROM current_revision WHERE markdown IS NOT NULL")
+def directory_store(spark: SparkSession, d: str) -> DataFrame:
+    """The current revisions put into a folder, put again, and read from there: each is there once."""
+    folder = _put(spark, d)
+    directory.put_directory(directory.scan_directory(spark, folder), folder)
+    return directory.scan_directory(spark, folder).select("asset_id", "revision_id", F.sha2("markdown", 256).alias("content_hash"))
+
+
+@query(f"""WITH {S.CURRENT} SELECT sha256(markdown || chr(10)) AS source_hash, 'local' AS parser_name, 'utf8-v1' AS parser_version, strlen(markdown) + 1 AS n_bytes,
+len(list_filter({S.lines('markdown')}, lambda x: regexp_matches(x, '^#{{1,6}}\\s+\\S'))) AS n_headings, CAST(NULL AS VARCHAR) AS error FROM current_revision WHERE markdown IS NOT NULL""")
+def ingest_folder(spark: SparkSession, d: str) -> DataFrame:
+    """The same folder taken in as files that someone put there."""
+    read = files.extract(files.scan_folder(spark, _put(spark, d)))
+    return read.select("source_hash", "parser_name", "parser_version", F.octet_length("markdown").cast("bigint").alias("n_bytes"), F.size(files.content_list(F.col("markdown"))).cast("bigint").alias("n_headings"), "error")
+
+
+@query("SELECT source_id, title, authority, practice_area, status, effective_date, landing_url, download_url, format, notes FROM source_manifest")
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest written as JSON lines and read as a manifest."""
+    folder = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    table(spark, d, "source_manifest").write.json(folder)
+    return files.read_manifest(spark, folder)
+
+
+@query("SELECT case_id, question, len(expected_sources) AS n_sources, answerable, retrieval_max_expected_rank, len(required_claims) AS n_claims FROM gold_cases")
+def cases_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The gold cases written as JSON lines and read as cases."""
+    folder = f"{shared_dir(spark)}/cases-{uuid.uuid4().hex}"
+    table(spark, d, "gold_cases").write.json(folder)
+    count = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint")
+    return files.read_cases(spark, folder).select("case_id", "question", count("expected_sources").alias("n_sources"), "answerable", "retrieval_max_expected_rank", count("required_claims").alias("n_claims"))

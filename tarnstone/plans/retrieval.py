@@ -39,12 +39,14 @@ def with_ids(spark: SparkSession, d: str, hits: DataFrame, *columns: str) -> Dat
     return chunks.join(broadcast_if_small(hits), "chunk_no").select(*hits.columns, *columns)
 
 
-def numbered_hits(spark: SparkSession, d: str, limit: int = TOP) -> DataFrame:
-    """(case_id, chunk_no, score, rank): the best chunks of each gold case by BM25. A case without
+def numbered_hits(spark: SparkSession, d: str, limit: int = TOP, queries: DataFrame | None = None) -> DataFrame:
+    """(case_id, chunk_no, score, rank): the best chunks of each gold case, or each row of queries
+    (case_id, query), by BM25. A case without
     any gets the first chunks that hold one of its words inside other words."""
     stored = index_of(spark, d)
-    hits = materialize(lexical.top(index.lexical_scores(stored, terms_of(spark, d), "case_id"), "case_id", "chunk_no", limit), "hits")
-    cases = cases_of(spark, d).select("case_id", "query")
+    cases = cases_of(spark, d).select("case_id", "query") if queries is None else queries
+    terms = lexical.query_terms(cases, "case_id", "query")
+    hits = materialize(lexical.top(index.lexical_scores(stored, terms, "case_id"), "case_id", "chunk_no", limit), "hits")
     rest = cases.join(hits.select("case_id").distinct(), "case_id", "left_anti")
     words = materialize(rest.select("case_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("word")), "words-without-hits")
     if words.isEmpty():
@@ -121,25 +123,31 @@ part AS (SELECT revision_id, p.term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) >
   FROM posting p JOIN frequency f ON p.field = f.field AND p.term = f.term, statistics),
 row_part AS (SELECT revision_id, term, sum(value) AS value FROM part GROUP BY ALL),
 score AS (SELECT case_id, revision_id, round(sum(value), 6) AS score FROM row_part JOIN question_term USING (term) GROUP BY ALL)
-SELECT case_id, revision_id, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, revision_id) AS INTEGER) AS rank FROM score QUALIFY rank <= 5""")
+SELECT case_id, revision_id, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, revision_id) AS INTEGER) AS rank FROM score QUALIFY rank <= 200""")
 def asset_search(spark: SparkSession, d: str) -> DataFrame:
     rows = store.current_revisions(table(spark, d, "assets"), table(spark, d, "asset_revisions").select("asset_id", "revision_id", "source_name", "markdown", "created_at"))
     terms = lexical.query_terms(cases_of(spark, d), "case_id", "query")
     scores = lexical.bm25(rows, "revision_id", {"source_name": F.col("source_name"), "markdown": F.col("markdown")}, lexical.ASSET_WEIGHTS, terms, "case_id")
-    return lexical.top(scores, "case_id", "revision_id", 5)
+    return lexical.top(scores, "case_id", "revision_id", TOP)
 
 
-@query(f"""WITH {S.CHUNKS}, word AS (SELECT unnest(['settl', 'catastrophe', 'xyzzy']) AS w),
-scored AS (SELECT chunk_id, sum(CAST(contains(lower(coalesce(source_name, '')), w) OR contains(lower(array_to_string(coalesce(heading_path, []), ' ')), w) OR contains(lower(coalesce(text, '')), w) AS INTEGER))::INTEGER AS score FROM chunk, word GROUP BY chunk_id)
-SELECT chunk_id, score FROM scored WHERE score > 0""")
+_CUT = S.CASES.replace("gold AS (", "whole_case AS (") + f""",
+gold AS (SELECT case_id, substr(w, 1, length(w) - 2) AS query FROM (SELECT case_id, arg_max(w, (length(w), w)) AS w FROM (SELECT case_id, unnest({S.words('query')}) AS w FROM whole_case) WHERE length(w) > 5 GROUP BY case_id))"""
+
+
+@query("WITH " + S.BM25.replace(S.CASES, _CUT) + f""",
+word AS (SELECT DISTINCT case_id, unnest({S.words('query')}) AS w FROM gold WHERE case_id NOT IN (SELECT case_id FROM hit)),
+held AS (SELECT case_id, chunk_id, start_line, end_line, count(*)::DOUBLE AS score FROM word JOIN chunk ON contains(lower(concat_ws(chr(10), coalesce(source_name, ''), array_to_string(coalesce(heading_path, []), ' '), coalesce(text, ''))), w) GROUP BY ALL),
+placed AS (SELECT case_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY start_line, end_line, chunk_id) AS INTEGER) AS rank FROM held)
+SELECT case_id, chunk_id, score, rank FROM hit WHERE rank <= 20 UNION ALL SELECT * FROM placed WHERE rank <= 20""")
 def substring_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks by the number of words of a query that they hold anywhere, also inside words."""
-    fields = [F.lower(F.coalesce(c, F.lit(""))) for c in lexical.chunk_fields().values()]
-    score = sum((F.when(fields[0].contains(w) | fields[1].contains(w) | fields[2].contains(w), 1).otherwise(0) for w in ("settl", "catastrophe", "xyzzy")), F.lit(0))
-    return chunks_of(spark, d).select("chunk_id", score.cast("int").alias("score")).where(F.col("score") > 0)
+    """The longest word of each case without its last two letters: mostly no word of the index, so
+    that the first chunks that hold it inside a word are the hits."""
+    word = cases_of(spark, d).select("case_id", F.explode(T.words(F.col("query"))).alias("w")).where(F.length("w") > 5)
+    cut = word.groupBy("case_id").agg(F.max_by("w", F.struct(F.length("w"), "w")).alias("w")).select("case_id", F.expr("substring(w, 1, length(w) - 2)").alias("query"))
+    return with_ids(spark, d, numbered_hits(spark, d, 20, materialize(cut, "cut-words")), "chunk_id").select("case_id", "chunk_id", "score", "rank")
 
 
-_NAMES = """name AS (SELECT DISTINCT source_name FROM assets WHERE source_name IS NOT NULL)"""
 _FEATURES = """
 edged AS (SELECT word, '^' || word || '$' AS e FROM (SELECT DISTINCT word FROM counted)),
 feature AS (SELECT word, 'w:' || word AS f, 2.0 AS weight FROM edged
@@ -290,3 +298,109 @@ def page_cursors(spark: SparkSession, d: str) -> DataFrame:
     pages = listed.select("case_id", "snapshot_id", F.explode(F.sequence(F.lit(20), (F.col("n_hits") - 1).cast("int"), F.lit(20))).alias("page_offset"))
     key = F.concat(F.lit("search::"), F.col("case_id"))
     return pages.select("case_id", "page_offset", ids.cursor(F.col("snapshot_id"), key, F.col("page_offset")).alias("cursor"))
+
+
+@query("WITH " + S.BM25 + """, listed AS (SELECT case_id, count(*) AS n FROM hit GROUP BY case_id)
+SELECT case_id, o AS asked, kind, CASE WHEN kind = 'whole' THEN 'OK' ELSE 'CURSOR_INVALID' END AS status, CASE WHEN kind = 'whole' THEN o END AS page_offset
+FROM (SELECT case_id, unnest(range(20, n, 20))::INTEGER AS o FROM listed), (SELECT unnest(['whole', 'cut', 'other query', 'outside']) AS kind)""")
+def cursor_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The cursors of all pages read again, whole, without their end, of another query, and beyond the list."""
+    hits = with_ids(spark, d, numbered_hits(spark, d), "asset_id", "revision_id")
+    listed = evidence.snapshot_ids(hits, "case_id", "rank", "asset_id", "revision_id").withColumn("query_key", ids.query_key("search", None, F.col("case_id")))
+    listed = materialize(listed, "listed")
+    pages = listed.where(F.col("n_hits") > 20).select("*", F.explode(F.sequence(F.lit(20), (F.col("n_hits") - 1).cast("int"), F.lit(20))).alias("asked"))
+    own = ids.cursor(F.col("snapshot_id"), F.col("query_key"), F.col("asked"))
+    kinds = {"whole": own, "cut": F.expr("substring(c, 1, length(c) - 7)"), "other query": ids.cursor(F.col("snapshot_id"), F.lit("search::"), F.col("asked")), "outside": ids.cursor(F.col("snapshot_id"), F.col("query_key"), F.col("n_hits") + 1)}
+    each = pages.withColumn("c", own).select("case_id", "asked", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("cursor")) for k, c in kinds.items()))))
+    return evidence.resume(each, listed, "case_id").drop("cursor")
+
+
+@query(f"""WITH {S.CHUNKS}, variant AS (SELECT unnest(['whole', 'version', 'no revision', 'no json']) AS kind)
+SELECT chunk_id, kind, kind = 'whole' AS valid, CASE WHEN kind = 'whole' THEN asset_id END AS resource_id, CASE WHEN kind = 'whole' THEN chunk_id END AS selected, CASE WHEN kind = 'whole' THEN end_line END AS last_line FROM chunk, variant""")
+def locator_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The locators of all current chunks read again, whole and in ways that aren't locators."""
+    stored = index_of(spark, d).chunks
+    own = ids.locator("assets", F.col("asset_id"), F.col("revision_id"), F.col("chunk_id"), F.col("start_line"), F.col("end_line"))
+    kinds = {"whole": own, "version": F.replace(own, F.lit('"version":1'), F.lit('"version":2')), "no revision": F.regexp_replace(own, '"revision":"[^"]*"', '"revision":""'), "no json": F.expr("substring(l, 2)")}
+    each = stored.withColumn("l", own).select("chunk_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("locator")) for k, c in kinds.items()))))
+    read = each.select("chunk_id", "kind", ids.parse_locator(F.col("locator")).alias("p"))
+    return read.select("chunk_id", "kind", F.col("p").isNotNull().alias("valid"), F.col("p.resource_id").alias("resource_id"), F.col("p.selector.id").alias("selected"), F.col("p.selector.end").alias("last_line"))
+
+
+@query(f"""WITH {S.ASSETS}, {S.CASES}, source AS (SELECT DISTINCT unnest(expected_sources) AS s FROM gold),
+asked AS (SELECT s || ':0012' AS shorthand, {S.fold('s')} AS name, 12 AS line FROM source UNION SELECT substr(s, 2, 9), {S.fold('substr(s, 2, 9)')}, NULL FROM source),
+met AS (SELECT a.shorthand, a.line, c.asset_id, c.current_revision_id AS revision_id, row_number() OVER (PARTITION BY a.shorthand ORDER BY ({S.fold('c.source_name')} = a.name) DESC, lower(c.source_name), c.asset_id) AS place
+  FROM asked a JOIN current_asset c ON contains({S.fold('c.source_name')}, a.name))
+SELECT a.shorthand, m.asset_id, m.revision_id, CAST(a.line AS INTEGER) AS line FROM asked a LEFT JOIN met m ON m.shorthand = a.shorthand AND m.place = 1""")
+def locator_shorthands(spark: SparkSession, d: str) -> DataFrame:
+    """Expected sources by name and line, and by a part of their name, as assets."""
+    source = cases_of(spark, d).select(F.explode("expected_sources").alias("s")).distinct()
+    asked = source.select(F.explode(F.array(F.concat("s", F.lit(":0012")), F.substring("s", 2, 9))).alias("shorthand")).distinct()
+    return evidence.resolve_shorthand(asked, "shorthand", store.current_assets(table(spark, d, "assets"))).select("shorthand", "asset_id", "revision_id", "line")
+
+
+@query(f"""WITH {S.CHUNKS}, moved AS (SELECT asset_id, max(revision_id) AS revision_id FROM asset_revisions WHERE asset_id IS NOT NULL GROUP BY asset_id)
+SELECT chunk_id FROM chunk k WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.asset_id = k.asset_id AND m.revision_id = k.revision_id)""")
+def index_outdated(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks to drop from the index once every asset points to its last revision by id."""
+    moved = table(spark, d, "asset_revisions").where(F.col("asset_id").isNotNull()).groupBy("asset_id").agg(F.max("revision_id").alias("revision_id"))
+    return index.outdated(index_of(spark, d), moved).select("chunk_id")
+
+
+@query(f"""WITH {S.CHUNKS}, counted AS (SELECT asset_id, len({S.terms("concat_ws(' ', coalesce(source_name, ''), array_to_string(coalesce(heading_path, []), ' '), coalesce(text, ''))")}) AS n,
+  len({S.words("concat_ws(chr(10), array_to_string(heading_path, chr(10)), coalesce(text, ''))")}) AS w FROM chunk)
+SELECT asset_id, count(*) AS n_chunks, CAST(count(*) FILTER (n > 0) AS BIGINT) AS n_posted, CAST(count(*) FILTER (w > 0) AS BIGINT) AS n_vectors FROM counted GROUP BY asset_id""")
+def index_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """For each asset its chunks, those with postings and those with a vector; chunks, postings and
+    vectors meet by number where they lie."""
+    stored = index_of(spark, d)
+    posted = stored.postings.select("chunk_no").distinct().withColumn("p", F.lit(True))
+    vectored = stored.vectors.where(F.size("idx") > 0).select("chunk_no", F.lit(True).alias("v"))
+    met = stored.chunks.select("chunk_no", "asset_id").join(posted, "chunk_no", "left").join(vectored, "chunk_no", "left")
+    return met.groupBy("asset_id").agg(F.count("*").alias("n_chunks"), F.count("p").alias("n_posted"), F.count("v").alias("n_vectors"))
+
+
+_ANSWER = "WITH " + S.BM25 + """,
+shown_part AS (SELECT h.case_id, h.rank, left(coalesce(k.text, ''), 300) AS shown,
+    'ev-' || left(sha256('{"provider":"assets","resource_id":"' || k.asset_id || '","revision":"' || k.revision_id || '","selector":{"end":' || k.end_line || ',"id":"' || k.chunk_id || '","start":' || k.start_line || ',"type":"chunk"},"version":1}' || chr(10) || sha256(coalesce(k.text, ''))), 16) AS evidence_id
+  FROM hit h JOIN chunk k USING (chunk_id) WHERE h.rank <= 3)"""
+
+
+def cited_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(case_id, rank, shown, evidence_id): the beginnings of the first three hits with their evidence ids."""
+    met = with_ids(spark, d, numbered_hits(spark, d, 3), "asset_id", "revision_id", "chunk_id", "start_line", "end_line", "text")
+    locator = ids.locator("assets", *(F.col(c) for c in ("asset_id", "revision_id", "chunk_id", "start_line", "end_line")))
+    text = F.coalesce("text", F.lit(""))
+    return met.select("case_id", "rank", F.left(text, F.lit(300)).alias("shown"), ids.evidence_id(locator, ids.content_hash(text)).alias("evidence_id"))
+
+
+@query(_ANSWER + " SELECT case_id, rank, evidence_id FROM shown_part")
+def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
+    return cited_texts(spark, d).drop("shown")
+
+
+@query(_ANSWER + f""", answer AS (SELECT case_id, string_agg(shown || ' [' || evidence_id || ']', chr(10) ORDER BY rank) AS answer FROM shown_part GROUP BY case_id),
+cut AS (SELECT case_id, answer, list_filter(string_split(regexp_replace(replace(regexp_replace(answer, '([.!?。！？])[ \\t\\n\\f\\r\\x0B]+', '\\1' || chr(30), 'g'), chr(30) || '[ev-', ' [ev-'), '\\n+', chr(30), 'g'), chr(30)), lambda s: s <> '') AS sentences FROM answer),
+wanted AS (SELECT case_id, unnest(range(len(required_phrases)))::INTEGER AS no, unnest(required_phrases) AS phrase FROM gold)
+SELECT w.case_id, no, coalesce(contains({S.fold('answer')}, {S.fold('phrase')}), false) AS in_answer,
+  coalesce(regexp_matches(list_filter(sentences, lambda s: contains({S.fold('s')}, {S.fold('phrase')}))[1], '\\[ev-[^\\]]+\\]'), false) AS cited FROM wanted w LEFT JOIN cut USING (case_id)""")
+def answer_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Answers put together from the first three hits: which required phrases they hold, and whether
+    the sentence that does cites its evidence."""
+    from tarnstone.operators.answers import cited_phrases
+
+    part = F.concat("shown", F.lit(" ["), "evidence_id", F.lit("]"))
+    answer = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "\n")
+    answers = cited_texts(spark, d).groupBy("case_id").agg(answer.alias("answer"))  # three parts a case
+    return cited_phrases(answers, cases_of(spark, d).select("case_id", F.posexplode("required_phrases").alias("no", "phrase")), "case_id")
+
+
+@query(f"""WITH {S.CHUNKS} SELECT chunk_id, CAST(place AS INTEGER) AS place FROM (SELECT chunk_id, row_number() OVER (ORDER BY lower(source_name), asset_id, start_line, end_line, chunk_id) AS place FROM chunk) WHERE place BETWEEN 101 AND 300""")
+def list_chunks_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second hundred of two of all current chunks, in reading order."""
+    from pyspark.sql import Window
+
+    keys = ["name", "asset_id", "start_line", "end_line", "chunk_id"]
+    rows = index_of(spark, d).chunks.select(F.lower("source_name").alias("name"), *keys[1:])
+    first = rows.orderBy(*keys).limit(300)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*keys))).where(F.col("place") > 100).select("chunk_id", "place")

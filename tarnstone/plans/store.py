@@ -87,7 +87,9 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("revision_id", ids.content_hash(F.col("markdown")).alias("markdown_hash"), ids.asset_id(F.col("source_path")).alias("path_id"), F.octet_length("markdown").cast("bigint").alias("n_bytes"))
 
 
-@query()
+@query(f"""WITH {S.REVISIONS}, quoted AS (SELECT asset_id, revision_id, list_transform([asset_id, source_hash, source_path, source_name, parser_name, parser_version, sha256(markdown), sha256(content_list_json), sha256(metadata_json)],
+  lambda x: coalesce(CAST(to_json(x) AS VARCHAR), 'null')) AS parts FROM revision)
+SELECT asset_id, revision_id, sha256('[' || array_to_string(parts, ',') || ',[]]') AS digest FROM quoted""")
 def revision_digests(spark: SparkSession, d: str) -> DataFrame:
     rows = store.revisions_once(table(spark, d, "asset_revisions"))
     c = {x: F.col(x) for x in rows.columns}
@@ -154,12 +156,12 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_type, user_id, event_id, CAST(place AS INTEGER) AS place FROM (
-SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 3""")
+SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 20""")
 def last_events(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("event_type", "user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, d, "events").select("event_type", "user_id", "event_id", F.row_number().over(order).alias("place")).where(F.col("place") <= 3)
+    return table(spark, d, "events").select("event_type", "user_id", "event_id", F.row_number().over(order).alias("place")).where(F.col("place") <= 20)
 
 
 @query(f"""WITH {S.CURRENT}

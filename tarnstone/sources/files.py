@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,9 +23,13 @@ READERS = {".html": "html-text-v1", ".htm": "html-text-v1", ".docx": "docx-xml-v
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, suffix, modificationTime, length, content) of all files under folder, those in
-    or under names that begin with a dot left out. Spark plans no read of an empty file, so those
-    don't come out."""
+    or under names that begin with a dot left out. Empty files have an empty content: no task reads
+    them, so they come from the list of files that Spark makes for the read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti")
+    at = F.lit(None).cast(dict(files.dtypes)["modificationTime"])
+    files = files.unionByName(empty.select("path", at.alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
     root = folder.rstrip("/")
     inner = F.regexp_replace("path", "^file:", "")
     inside = F.substring(inner, F.lit(len(root) + 1), F.length(inner))
