@@ -12,15 +12,19 @@ from tarnstone.runtime import table
 _BLANK = r"[\t\x0B\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-@query(
-    rf"""
+_STATE = rf"""
 WITH clean AS (
   SELECT snapshot_no, asset_id, delivered_at, current_revision_id AS r,
          regexp_replace(lower(trim(source_hash)), '^sha256:', '') AS h,
          regexp_replace(regexp_replace(markdown, '{_BLANK}+(\n)', '\1', 'g'), '({_BLANK}|\n)+$', '') AS m
   FROM asset_snapshots WHERE asset_id IS NOT NULL AND snapshot_no IS NOT NULL),
 state AS (SELECT snapshot_no, asset_id, r, h, m FROM clean
-          QUALIFY row_number() OVER (PARTITION BY snapshot_no, asset_id ORDER BY delivered_at DESC NULLS LAST) = 1),
+          QUALIFY row_number() OVER (PARTITION BY snapshot_no, asset_id ORDER BY delivered_at DESC NULLS LAST) = 1)"""
+
+
+@query(
+    _STATE
+    + """,
 numbers AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS following FROM (SELECT DISTINCT snapshot_no FROM state)),
 pairs AS (SELECT coalesce(a.asset_id, b.asset_id) AS asset_id, coalesce(a.following, b.snapshot_no) AS snapshot_no,
                  CASE WHEN b.asset_id IS NULL THEN 'removed' WHEN a.asset_id IS NULL THEN 'added'
@@ -34,7 +38,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "asset_snapshots"))
 
 
-@query()
+@query(
+    _STATE
+    + """,
+numbers AS (SELECT snapshot_no, row_number() OVER (ORDER BY snapshot_no) - 1 AS at FROM (SELECT DISTINCT snapshot_no FROM state)),
+placed AS (SELECT asset_id, at, md5(concat_ws(chr(0), coalesce('=' || r, '~'), coalesce('=' || h, '~'), coalesce('=' || m, '~'))) AS digest FROM state JOIN numbers USING (snapshot_no)),
+begun AS (SELECT *, CASE WHEN lag(at) OVER w = at - 1 AND lag(digest) OVER w = digest THEN 0 ELSE 1 END AS start FROM placed WINDOW w AS (PARTITION BY asset_id ORDER BY at)),
+island AS (SELECT *, sum(start) OVER (PARTITION BY asset_id ORDER BY at) AS no FROM begun)
+SELECT asset_id, min(at)::BIGINT AS first_at, max(at)::BIGINT AS last_at, any_value(digest) AS digest FROM island GROUP BY asset_id, no"""
+)
 def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "asset_snapshots")
     digest = snapshots.row_hash(F.col("current_revision_id"), snapshots.normal_hash(F.col("source_hash")), snapshots.normal_text(F.col("markdown")))

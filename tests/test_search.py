@@ -139,3 +139,84 @@ def test_inverted_index_has_all_terms(spark):
     for _, field, term, _, _ in whole:
         counts[field, term] = counts.get((field, term), 0) + 1
     assert {(f, t): n for f, t, n in run("inverted_index_frequency")} == counts
+
+
+def test_index(spark):
+    """A stored index gives what plain rows give; ties by chunk_id; what is lacking and outdated."""
+    from tarnstone.operators import index
+
+    random.seed(9)
+    vocabulary = "risk loss capital ratio model tail page claim reserve board".split()
+    rows = [(f"c{i:03}", f"a{i % 7}", "r1", "n.md", [random.choice(vocabulary)], i, i + 1, " ".join(random.choices(vocabulary, k=random.randint(0, 9)))) for i in range(80)]
+    rows += [rows[3], ("c900", "a9", "r1", None, None, 1, 1, None), (None, "a9", "r1", "x", [], 1, 1, "loss"), ("c901", "a9", "r0", "!", [], 1, 1, "?")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, asset_id string, revision_id string, source_name string, heading_path array<string>, start_line int, end_line int, text string")
+    asked = spark.createDataFrame([("q1", "risk tail"), ("q2", "reserve"), ("q3", "zebra")], "q string, t string")
+    stored = index.build(chunks)
+    names = {r.chunk_no: r.chunk_id for r in stored.chunks.select("chunk_no", "chunk_id").collect()}
+    assert len(names) == 82 and [names[k] for k in sorted(names)] == sorted(names.values())
+    terms = lexical.query_terms(asked, "q", "t")
+    once = chunks.where("chunk_id is not null").dropDuplicates(["chunk_id"])
+    plain = {(r.q, r.chunk_id): r.score for r in lexical.bm25(once, "chunk_id", lexical.chunk_fields(), lexical.CHUNK_WEIGHTS, terms, "q").collect()}
+    assert {(r.q, names[r.chunk_no]): r.score for r in index.lexical_scores(stored, terms, "q").collect()} == plain and plain
+    inside = stored.chunks.where("asset_id = 'a1'").select("chunk_no")
+    assert {(r.q, names[r.chunk_no]) for r in index.lexical_scores(stored, terms, "q", within=inside).collect()} == {k for k in plain if k[1] in {r[0] for r in rows if r[1] == "a1"}}
+    pairs = asked.select(F.col("q").alias("key"), F.col("t").alias("text"))
+    near = {(r.query, names[r.key]): r.score for r in index.semantic_hits(stored, pairs, 100).collect()}
+    text = F.concat_ws("\n", F.array_join("heading_path", "\n"), F.coalesce("text", F.lit("")))
+    want = vectors.sparse_cosine(vectors.ngram_vectors(asked, "q", F.col("t")), "q", vectors.ngram_vectors(once, "chunk_id", text), "chunk_id")
+    want = {(r.q, r.chunk_id): r.score for r in want.collect()}
+    assert near.keys() == want.keys() and all(abs(near[k] - want[k]) < 2e-6 for k in want) and want
+    assert index.lacking(stored, "postings").count() == index.lacking(stored, "vectors").count() == 0
+    pointers = spark.createDataFrame([(f"a{i}", "r1") for i in range(6)] + [("a9", "r1")], "asset_id string, revision_id string")
+    assert {r.chunk_id for r in index.outdated(stored, pointers).collect()} == {r[0] for r in rows if r[1] == "a6"} | {"c901"}
+    words = spark.createDataFrame([("s", "apita"), ("s", "oard"), ("t", "%")], "q string, word string")
+    got = [(r.rank, r.score, names[r.chunk_no]) for r in index.by_substrings(stored.chunks, "chunk_no", lexical.chunk_fields(), words, "q", ["start_line", "end_line"], 5).orderBy("rank").collect()]
+    held = [(float(("apita" in t) + ("oard" in t)), c) for c, t in ((r[0], " ".join(r[4]) + " " + r[7]) for r in rows[:80]) if "apita" in t or "oard" in t]
+    assert got == [(k, *x) for k, x in enumerate(held[:5], 1)]
+
+
+def test_index_without_rows(spark):
+    from tarnstone.operators import index
+
+    empty = spark.createDataFrame([], "chunk_id string, source_name string, heading_path array<string>, text string")
+    stored = index.build(empty)
+    asked = spark.createDataFrame([("q", "risk")], "key string, text string")
+    assert index.lexical_scores(stored, lexical.query_terms(asked, "key", "text"), "key").count() == 0 and index.semantic_hits(stored, asked, 5).count() == 0
+
+
+def test_cursors_and_locators(spark):
+    from tarnstone.functions import ids
+
+    listed = spark.createDataFrame([("q", "search::q", "snap", 45)], "q string, query_key string, snapshot_id string, n_hits int")
+    good = ids.cursor(F.lit("snap"), F.lit("search::q"), F.lit(20))
+    cursors = {"good": good, "other list": ids.cursor(F.lit("old"), F.lit("search::q"), F.lit(20)), "other query": ids.cursor(F.lit("snap"), F.lit("list:"), F.lit(20)), "end": ids.cursor(F.lit("snap"), F.lit("search::q"), F.lit(45)), "beyond": ids.cursor(F.lit("snap"), F.lit("search::q"), F.lit(46)), "before": ids.cursor(F.lit("snap"), F.lit("search::q"), F.lit(-1)), "noise": F.lit("%%%"), "empty": F.lit(""), "json": F.lit("W10"), "null": F.lit(None).cast("string")}
+    frame = spark.range(1).select(F.lit("q").alias("q"), F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("cursor")) for k, c in cursors.items()))))
+    got = {r.kind: (r.status, r.page_offset) for r in evidence.resume(frame, listed, "q").collect()}
+    assert got == dict.fromkeys(cursors, ("CURSOR_INVALID", None)) | {"good": ("OK", 20), "end": ("OK", 45)}
+    locators = ['{"provider":"p","resource_id":"a","revision":"r","selector":null,"version":1}', '{"provider":"p","resource_id":"a","revision":"r","selector":{"type":"line","start":2,"end":3},"version":1}', '{"provider":"p","resource_id":"","revision":"r","version":1}', '{"provider":"p","resource_id":"a","revision":"r","version":2}', '{"provider":"p","revision":"r","version":1}', "a.md:3", "", None]
+    parsed = spark.createDataFrame([(i, x) for i, x in enumerate(locators)], "i int, l string").select("i", ids.parse_locator(F.col("l")).alias("p")).orderBy("i").collect()
+    assert [r.p is not None for r in parsed] == [True, True] + [False] * 6 and parsed[1].p.selector.start == 2 and parsed[0].p.selector is None
+    keys = spark.range(1).select(ids.query_key("list"), ids.query_key("find", "lib", "Ab*"), ids.query_key("search", None, "Ab")).first()
+    assert tuple(keys) == ("list:", "find:lib:ab*", "search::Ab")
+
+
+def test_shorthands(spark):
+    assets = spark.createDataFrame([("a2", "Guide.md", "r2"), ("a1", "guide.md", "r1"), ("a3", "Old guide.md", "r3"), ("a4", None, "r4"), ("a5", "z:7", "r5")], "asset_id string, source_name string, current_revision_id string")
+    asked = spark.createDataFrame([(s,) for s in ("GUIDE.md", "guide.md:0012", "old", "uide", "none.md:3", "", ":5", "z:7")], "shorthand string")
+    got = {r.shorthand: (r.asset_id, r.revision_id, r.line) for r in evidence.resolve_shorthand(asked, "shorthand", assets).collect()}
+    assert got == {"GUIDE.md": ("a1", "r1", None), "guide.md:0012": ("a1", "r1", 12), "old": ("a3", "r3", None), "uide": ("a1", "r1", None), "none.md:3": (None, None, 3), "": (None, None, None), ":5": (None, None, None), "z:7": ("a5", "r5", 7)}
+
+
+def test_broadcast_bounds(spark, monkeypatch):
+    """A side goes beyond the bound by rows or by bytes, whatever it is made of."""
+    from tarnstone import runtime
+
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+
+    small = spark.range(100).withColumn("t", F.lit("x"))
+    long = spark.range(100).withColumn("t", F.repeat(F.lit("x"), 1000))
+    assert hinted(runtime.broadcast_if_small(small)) and hinted(runtime.broadcast_if_small(small.groupBy("t").count()))
+    assert not hinted(runtime.broadcast_if_small(small, 99))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 50_000)
+    assert hinted(runtime.broadcast_if_small(small)) and not hinted(runtime.broadcast_if_small(long)) and not hinted(runtime.broadcast_if_small(long.groupBy("id").agg(F.collect_list("t").alias("a"))))

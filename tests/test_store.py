@@ -4,8 +4,10 @@ import datetime as dt
 import io
 import zipfile
 
-from tarnstone.operators import evaluation, heuristics, store
-from tarnstone.sources import files
+from pyspark.sql import functions as F
+
+from tarnstone.operators import answers, evidence, evaluation, heuristics, store
+from tarnstone.sources import directory, files
 from tarnstone.streaming import ingest
 
 REVISION = "asset_id string, revision_id string, created_at timestamp_ntz, markdown string"
@@ -88,15 +90,73 @@ def test_judgements(spark):
 
 
 def test_evaluation(spark):
+    claim = [{"answer_phrases": ["seven", "7"], "evidence_phrases": ["never here", "TWO"]}, {"answer_phrases": ["x"], "evidence_phrases": ["nowhere"]}]
     cases = evaluation.gold_cases(spark.createDataFrame([
         ("1", "q", ["A.md", "b.md"], None, ["one", "two"], None, None, None, "short", None, 1, None),
         ("2", "q", None, None, None, False, None, None, None, None, None, None),
         ("3", "q", ["z.md"], None, ["never"], None, None, None, "short", None, None, None),
+        ("4", "q", None, None, None, None, None, None, None, None, None, None),
+        ("5", "q", ["a.md", "z.md"], None, ["", "elsewhere"], True, None, None, None, None, None, claim),
+        ("6", "q", ["a.md"], None, None, None, None, None, None, None, 1, None),
+        ("7", "q", ["Z.md"], None, None, False, None, None, None, None, None, None),
+        ("8", "q", None, None, None, False, None, None, None, None, None, None),
     ], files.CASE_SCHEMA))
-    sources = spark.createDataFrame([("1", "a.md", 1, 1), ("1", "b.md", 2, 4), ("2", "a.md", 1, 1)], "case_id string, source_name string, source_rank int, chunk_rank int")
+    hits = [("1", 1, "a.md", "has one"), ("1", 2, "c.md", "two"), ("1", 3, "B.md", "stone"), ("1", 4, "b.md", "t-\nwo here: two, and more"), ("1", 5, "a.md", "more"), ("2", 1, "a.md", "x")]
+    hits += [("3", 1, "a.md", "never"), ("4", 1, "a.md", "x"), ("5", 1, "a.md", "one or two"), ("5", 2, "b.md", "elsewhere nowhere"), ("6", 1, "a.md", "é" * 15_000), ("6", 2, "a.md", "x"), ("7", 1, "y.md", "x")]
+    hits = spark.createDataFrame(hits, "case_id string, rank int, source_name string, text string")
+    sources = evidence.first_appearance(hits, "case_id", "source_name", "rank")
     ranks = evaluation.expected_ranks(cases, sources)
-    assert {r.case_id: (r.expected_rank, r.expected_chunk_rank) for r in ranks.collect()} == {"1": (2, 4), "3": (None, None)}
-    hits = spark.createDataFrame([("1", 1, "has one"), ("1", 3, "t-\nwo here: two"), ("2", 1, "x")], "case_id string, rank int, text string")
-    got = {r.case_id: (r.passed, list(r.failures)) for r in evaluation.verdicts(cases, ranks, hits).collect()}
-    assert got["1"] == (False, ["expected source ranked too low"]) and got["2"] == (False, ["unexpected hits"]) and got["3"] == (False, ["expected source not found"])
-    assert {r.case_id: r.evidence_rank for r in evaluation.evidence_ranks(cases, hits).collect()} == {"1": 3, "3": None}
+    assert {r.case_id: (r.expected_rank, r.expected_chunk_rank) for r in ranks.collect()} == {"1": (3, 3), "3": (None, None), "5": (None, None), "6": (1, 1), "7": (None, None)}
+    found = evaluation.evidence_of_targets(cases, hits)
+    got = {r.case_id: (r.evidence_rank, r.missing_phrases, r.missing_claims, r.n_read, r.evidence_bytes) for r in found.collect()}
+    assert got["1"] == (4, [], [], 3, len("has one" + "stone" + "t-\nwo here: two, and more")) and got["3"] == (None, ["never"], [], 0, 0)
+    assert got["5"] == (None, ["elsewhere"], ["x"], 1, 10) and got["6"] == (None, [], [], 1, 20_000) and got["2"] == got["8"] == (None, [], [], 0, 0)
+    want = {
+        "1": ["source ranked too low"], "2": ["unanswerable with hits"], "3": ["source not found: z.md", "answerable without a source", "phrase not in the sources: never"], "4": ["answerable without a source"],
+        "5": ["source not found: z.md", "phrase not in the sources: elsewhere", "claim not in the sources: x"], "6": [], "7": ["source not found: Z.md", "unanswerable with hits"], "8": [],
+    }
+    verdicts = {r.case_id: r for r in evaluation.verdicts(cases, sources, hits, found).collect()}
+    assert {k: r.failures for k, r in verdicts.items()} == want and all(r.passed == (not r.failures) for r in verdicts.values())
+    assert verdicts["1"].expected_rank == 3 and verdicts["5"].expected_rank is None
+
+
+def test_phrases_in_evidence(spark):
+    rows = [("The loss- \nratio of  two", "LOSSRATIO", True), ("a l o s s ratio", "loss ratio", True), ("glossratio", "loss", False), ("loss 2", "loss 2.", False), ("(a+b)*", "(a + b)*", False), ("( a + b ) *", "(a + b)*", True), ("été passé", "ÉTÉ", True), (None, "x", False)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, p string, want boolean")
+    got = frame.select("i", "want", evaluation.holds_phrase(evaluation.clean_evidence(F.col("t")), F.col("p")).alias("holds")).collect()
+    assert [(r.i, r.holds) for r in got] == [(r.i, r.want) for r in got]
+
+
+def test_searches(spark):
+    groups = [["loss ratio", "lr"], ["", "tail"]]
+    searches = spark.createDataFrame([("1", 1, "loss", ["A.md", "b.md"], groups), ("1", 2, "the loss ratio tail", ["A.md", "b.md"], groups), ("2", 1, "x", [], None), ("3", 1, "y", ["z.md"], [])], "case_id string, search_no int, query string, expected_sources array<string>, query_anchor_groups array<array<string>>")
+    hits = spark.createDataFrame([("1", 1, "c.md", 1), ("1", 1, "b.md", 4), ("1", 2, "b.md", 3), ("1", 2, "a.md", 2), ("3", 1, "c.md", 1)], "case_id string, search_no int, source_name string, source_rank int")
+    got = {r.case_id: tuple(r)[1:] for r in evaluation.search_report(searches, evaluation.search_ranks(searches, hits)).collect()}
+    assert got == {"1": (2, 4, 2, 0.0, 1.0), "2": (1, None, None, None, None), "3": (1, None, None, None, None)}
+
+
+def test_answers(spark):
+    text = "The ratio is 7. [ev-1a] It rose\nNo one said so. End 8.5 of [ev-2b]"
+    frame = spark.createDataFrame([("a", text), ("b", None)], "k string, answer string")
+    assert frame.where("k = 'a'").select(answers.sentences(F.col("answer")).alias("s"), answers.citations(F.col("answer")).alias("c")).first() == (["The ratio is 7. [ev-1a] It rose", "No one said so.", "End 8.5 of [ev-2b]"], ["ev-1a", "ev-2b"])
+    phrases = spark.createDataFrame([("a", 0, "RATIO"), ("a", 1, "no one"), ("a", 2, "absent"), ("b", 0, "x"), ("c", 0, "y")], "k string, no int, phrase string")
+    got = {(r.k, r.no): (r.in_answer, r.cited) for r in answers.cited_phrases(frame, phrases, "k").collect()}
+    assert got == {("a", 0): (True, True), ("a", 1): (True, False), ("a", 2): (False, False), ("b", 0): (False, False), ("c", 0): (False, False)}
+
+
+def test_directory(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    rows = [("1e3", "007", "# One\n\ntwo"), ("1e3", "008", ""), ("b/c", "r", "x\n"), ("n", "r", None), (None, "r", "x"), ("1e3", "007", "# One\n\ntwo")]
+    frame = spark.createDataFrame(rows, "asset_id string, revision_id string, markdown string")
+    directory.put_directory(frame, folder)
+    directory.put_directory(spark.createDataFrame([("1e3", "007", "changed"), ("d", "r", "new")], frame.schema), folder)
+    got = {(r.asset_id, r.revision_id): r.markdown for r in directory.scan_directory(spark, folder).collect()}
+    assert got == {("1e3", "007"): "# One\n\ntwo", ("1e3", "008"): "", ("b/c", "r"): "x\n", ("d", "r"): "new"}
+
+
+def test_empty_files_are_files(spark, tmp_path):
+    (tmp_path / "a b.txt").write_text("")
+    (tmp_path / "c.md").write_text("# C")
+    (tmp_path / ".d.md").write_text("")
+    got = {r.source_name: (r.markdown, r.error) for r in files.extract(files.scan_folder(spark, str(tmp_path))).collect()}
+    assert got == {"a b.txt": ("\n", None), "c.md": ("# C\n", None)}
