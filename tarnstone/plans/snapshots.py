@@ -41,11 +41,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _STATE
     + """,
-numbers AS (SELECT snapshot_no, row_number() OVER (ORDER BY snapshot_no) - 1 AS at FROM (SELECT DISTINCT snapshot_no FROM state)),
-placed AS (SELECT asset_id, at, md5(concat_ws(chr(0), coalesce('=' || r, '~'), coalesce('=' || h, '~'), coalesce('=' || m, '~'))) AS digest FROM state JOIN numbers USING (snapshot_no)),
-begun AS (SELECT *, CASE WHEN lag(at) OVER w = at - 1 AND lag(digest) OVER w = digest THEN 0 ELSE 1 END AS start FROM placed WINDOW w AS (PARTITION BY asset_id ORDER BY at)),
-island AS (SELECT *, sum(start) OVER (PARTITION BY asset_id ORDER BY at) AS no FROM begun)
-SELECT asset_id, min(at)::BIGINT AS first_at, max(at)::BIGINT AS last_at, any_value(digest) AS digest FROM island GROUP BY asset_id, no"""
+numbers AS (SELECT snapshot_no, row_number() OVER (ORDER BY snapshot_no) - 1 AS pos FROM (SELECT DISTINCT snapshot_no FROM state)),
+placed AS (SELECT asset_id, pos, md5(concat_ws(chr(0), coalesce('=' || r, '~'), coalesce('=' || h, '~'), coalesce('=' || m, '~'))) AS digest FROM state JOIN numbers USING (snapshot_no)),
+begun AS (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(digest) OVER w = digest THEN 0 ELSE 1 END AS start FROM placed WINDOW w AS (PARTITION BY asset_id ORDER BY pos)),
+island AS (SELECT *, sum(start) OVER (PARTITION BY asset_id ORDER BY pos) AS no FROM begun)
+SELECT asset_id, min(pos)::BIGINT AS first_at, max(pos)::BIGINT AS last_at, any_value(digest) AS digest FROM island GROUP BY asset_id, no"""
 )
 def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "asset_snapshots")
