@@ -121,3 +121,35 @@ def redact(text: Column) -> Column:
     for pattern, shown in SECRETS:
         text = F.regexp_replace(text, pattern, shown)
     return text
+
+
+# What looks like a credential, and names that mark a path as sensitive.
+CREDENTIALS = [r"\bsk-ant-[A-Za-z0-9_-]{12,}\b", r"\blin_api_[A-Za-z0-9_-]{6,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"(?i)\b(?:api[_ -]?key|authorization|password|secret|token)\s*[:=]\s*\S+"]
+SENSITIVE = [".aws", ".azure", ".codex-credentials", ".git", ".gnupg", ".ssh", "credentials", "id_rsa", "id_ed25519", "secrets"]
+SENSITIVE_ENDINGS = [".key", ".pem", ".p12", ".pfx"]
+
+
+def holds_credential(text: Column) -> Column:
+    out = F.lit(False)
+    for pattern in CREDENTIALS:
+        out = out | text.rlike(pattern)
+    return out
+
+
+def relative_path(path: Column) -> Column:
+    """The parts of a relative path, either slash between them, without empty ones and dots; null for
+    one that is blank, absolute, on a drive, or leads up."""
+    whole = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(whole, "/"), lambda p: (p != "") & (p != "."))
+    bad = (F.trim(path) == "") | whole.startswith("/") | whole.rlike(r"^[A-Za-z]:") | F.array_contains(parts, "..") | F.contains(path, F.lit("\u0000"))
+    return F.when(~bad, parts)
+
+
+def is_sensitive(parts: Column) -> Column:
+    """Whether a part of a path names credentials or what holds them."""
+
+    def sensitive(part: Column) -> Column:
+        low = casefold(part)
+        return low.isin(SENSITIVE) | low.startswith(".env") | F.regexp_extract(low, r"^.+(\.[^.]*)$", 1).isin(SENSITIVE_ENDINGS)
+
+    return F.exists(parts, sensitive)

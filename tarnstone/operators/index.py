@@ -7,6 +7,7 @@ query and chunk is made where the postings lie. Only the best rows of each query
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +39,12 @@ def _bucketed(df: DataFrame, label: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def build(chunks: DataFrame, fields: dict[str, Column] | None = None, text: Column | None = None) -> Index:
+def build(chunks: DataFrame, fields: dict[str, Column] | None = None, text: Column | None = None, encode: Callable[[DataFrame, str, Column], DataFrame] = vectors.sparse_vectors) -> Index:
     """The index of chunks (chunk_id and any columns), each chunk_id once.
 
-    fields are those of the lexical index, text what the vectors are made of. Rows with chunk_id
-    null are left out, null texts have no terms. Texts are shuffled once, here."""
+    fields are those of the lexical index, text what the vectors are made of, encode what makes them
+    (rows, key, text to key, idx, val, of length 1). Rows with chunk_id null are left out, null
+    texts have no terms. Texts are shuffled once, here."""
     fields = fields or lexical.chunk_fields()
     text = text if text is not None else F.concat_ws("\n", F.array_join("heading_path", "\n"), F.coalesce("text", F.lit("")))
     known = chunks.where(F.col("chunk_id").isNotNull())
@@ -54,7 +56,7 @@ def build(chunks: DataFrame, fields: dict[str, Column] | None = None, text: Colu
     postings = _bucketed(lexical.postings(stored, "chunk_no", fields), "postings", buckets)
     frequency = materialize(lexical.document_frequency(postings), "index-frequency")
     statistics = materialize(stored.agg(F.count("*").alias("n"), F.avg("length").alias("average")), "index-statistics")
-    vectored = _bucketed(vectors.sparse_vectors(stored, "chunk_no", text), "vectors", buckets)
+    vectored = _bucketed(encode(stored, "chunk_no", text), "vectors", buckets)
     return Index(stored, postings, frequency, statistics, vectored)
 
 
@@ -81,10 +83,11 @@ def lexical_scores(index: Index, terms: DataFrame, query: str, weights: dict[str
     return lexical.scores(posted, "chunk_no", index.frequency, index.statistics, weights, terms, query)
 
 
-def semantic_hits(index: Index, queries: DataFrame, limit: int, floor: float = vectors.FLOOR) -> DataFrame:
-    """(query, key, score, rank): the chunks nearest to each of queries (key, text) by n-gram cosine;
-    key is the number of the chunk. A score must reach floor and be above 0."""
-    return vectors.search_blocks(vectors.sparse_blocks(index.vectors, "chunk_no"), vectors.ngram_blocks(queries), limit, floor)
+def semantic_hits(index: Index, queries: DataFrame, limit: int, floor: float | None = vectors.FLOOR, encode: Callable[[DataFrame], DataFrame] = vectors.ngram_blocks) -> DataFrame:
+    """(query, key, score, rank): the chunks nearest to each of queries (key, text) by cosine; key is
+    the number of the chunk. encode makes blocks of the queries as the index was made; a score must
+    reach floor, or be above 0 where floor is None, as for encoders whose noise isn't known."""
+    return vectors.search_blocks(vectors.sparse_blocks(index.vectors, "chunk_no"), encode(queries), limit, floor)
 
 
 def lacking(index: Index, table: str) -> DataFrame:

@@ -64,3 +64,9 @@ def without_chunks(assets: DataFrame, revisions: DataFrame, chunks: DataFrame) -
     """(asset_id, revision_id) of current revisions for which chunks are still to be made."""
     current = revisions.select("asset_id", "revision_id").join(pointers(assets), ["asset_id", "revision_id"], "left_semi").distinct()
     return current.join(chunks.select("asset_id", "revision_id"), ["asset_id", "revision_id"], "left_anti")
+
+
+def delete(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """tables without the rows of the assets in gone (asset_id): what belongs to an asset goes with it.
+    Rows with asset_id null belong to none and stay."""
+    return {name: rows.join(gone.select("asset_id"), "asset_id", "left_anti") for name, rows in tables.items()}

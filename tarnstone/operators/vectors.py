@@ -85,30 +85,13 @@ def _word_encoder(digest: str, dimensions: int) -> Callable[[str | None], np.nda
     return encode
 
 
-def digest_vectors(rows: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, idx, val, norm): the same features under a keyless 64-bit BLAKE2b digest, one array a
-    row. Spark has no such function, so the texts go through Arrow; a worker hashes each word once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _word_encoder("blake2b", dimensions)
-        for b in batches:
-            out = []
-            for k, t in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                v = encode(t)
-                at = np.flatnonzero(v)
-                out.append((k, at.astype(np.int32), v[at], 1.0 if len(at) else 0.0))
-            yield pd.DataFrame(out, columns=[key, "idx", "val", "norm"])
-
-    kind = dict(rows.dtypes)[key]
-    return rows.select(key, text.alias("text")).mapInPandas(run, f"{key} {kind}, idx array<int>, val array<double>, norm double")
-
-
-def sparse_vectors(rows: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
+def sparse_vectors(rows: DataFrame, key: str, text: Column, digest: str = "sha", dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, idx, val): the vectors of ngram_vectors as one row each, idx ascending, to be stored.
-    A worker hashes each word once; texts without words have empty arrays."""
+    A worker hashes each word once; texts without words have empty arrays. digest: sha, or blake2b
+    for the features under a 64-bit BLAKE2b digest, which Spark has no function for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _word_encoder("sha", dimensions)
+        encode = _word_encoder(digest, dimensions)
         for b in batches:
             found = [encode(t) for t in b["text"]]
             at = [np.flatnonzero(v) for v in found]
@@ -136,13 +119,13 @@ def sparse_blocks(rows: DataFrame, key: str, size: int = 256, dimensions: int =
     return rows.where(F.size("idx") > 0).select(key, "idx", "val").mapInArrow(run, f"keys array<{kind}>, vectors binary")
 
 
-def ngram_blocks(rows: DataFrame, size: int = 256, dimensions: int = DIMENSIONS) -> DataFrame:
+def ngram_blocks(rows: DataFrame, digest: str = "sha", size: int = 256, dimensions: int = DIMENSIONS) -> DataFrame:
     """rows (key, text) as blocks (keys, vectors) of at most size vectors of length 1, whose
-    coordinates are those of ngram_vectors."""
+    coordinates are those of sparse_vectors."""
     kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _word_encoder("sha", dimensions)
+        encode = _word_encoder(digest, dimensions)
         for b in batches:
             for at in range(0, len(b), size):
                 part = b.iloc[at : at + size]
@@ -168,8 +151,9 @@ def dense_blocks(rows: DataFrame, size: int = 1024) -> DataFrame:
     return rows.where(F.col("vector").isNotNull()).select("key", "vector").mapInPandas(run, f"keys array<{kind}>, vectors binary")
 
 
-def search_blocks(rows: DataFrame, queries: DataFrame, limit: int, floor: float = -1.0, same: bool = True) -> DataFrame:
-    """(query, key, score, rank): for each query the limit nearest rows by cosine from floor on.
+def search_blocks(rows: DataFrame, queries: DataFrame, limit: int, floor: float | None = -1.0, same: bool = True) -> DataFrame:
+    """(query, key, score, rank): for each query the limit nearest rows by cosine from floor on; with
+    floor None all above 0.
 
     The blocks of a stated query set meet the blocks of the rows, one matrix product a pair, and of
     each product only limit rows a query go on. Up to 32 blocks of queries are broadcast; of more,
@@ -183,8 +167,9 @@ def search_blocks(rows: DataFrame, queries: DataFrame, limit: int, floor: float
             for keys, vectors, names, asked in zip(b["keys"], b.vectors, b.names, b.asked):
                 x, q = np.frombuffer(vectors).reshape(len(keys), -1), np.frombuffer(asked).reshape(len(names), -1)
                 score, keys = np.round(q @ x.T, 6), np.asarray(keys)
-                for name, line in zip(names, score):
-                    at = np.flatnonzero(line >= floor) if same else np.flatnonzero((line >= floor) & (keys != name))
+                kept = score > 0 if floor is None else score >= floor
+                for name, line, near in zip(names, score, kept):
+                    at = np.flatnonzero(near) if same else np.flatnonzero(near & (keys != name))
                     at = at[np.lexsort((keys[at], -line[at]))][:limit]
                     yield pd.DataFrame({"query": name, "key": keys[at], "score": line[at]})
 
@@ -193,14 +178,16 @@ def search_blocks(rows: DataFrame, queries: DataFrame, limit: int, floor: float
     return top(met.mapInPandas(run, f"query {of_query}, key {kind}, score double"), "query", "key", limit)
 
 
-def dense_cosine(a: Column, b: Column) -> Column:
-    """The cosine of two arrays of equal length; 0 if one has no length, null if the sizes differ."""
+def dense_cosine(a: Column, b: Column, strict: bool = False) -> Column:
+    """The cosine of two arrays of equal length; 0 if one has no length; where the sizes differ null,
+    or an error if strict."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(F.size(a) == F.size(b), F.when(norm > 0, dot(a, b) / norm).otherwise(0.0))
+    other = F.raise_error(F.lit("vectors of different sizes")).cast("double") if strict else F.lit(None).cast("double")
+    return F.when(F.size(a) == F.size(b), F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)).otherwise(other)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, limit: int) -> DataFrame:

@@ -191,3 +191,15 @@ def cases_round_trip(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "gold_cases").write.json(folder)
     count = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint")
     return files.read_cases(spark, folder).select("case_id", "question", count("expected_sources").alias("n_sources"), "answerable", "retrieval_max_expected_rank", count("required_claims").alias("n_claims"))
+
+
+@query("""SELECT doc_id, regexp_matches(text, '\\bsk-ant-[A-Za-z0-9_-]{12,}\\b') OR regexp_matches(text, '\\blin_api_[A-Za-z0-9_-]{6,}\\b') OR regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b')
+OR regexp_matches(text, '(?i)\\b(?:api[_ -]?key|authorization|password|secret|token)\\s*[:=]\\s*\\S+') AS credential FROM documents WHERE text IS NOT NULL""")
+def credential_flags(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", T.holds_credential(F.col("text")).alias("credential"))
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS content FROM documents WHERE text IS NOT NULL")
+def binary_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as evidence of bytes, in base64."""
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "").alias("content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnstone.functions import ids
@@ -249,10 +249,42 @@ def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 10)
 
 
+def _chunk_text() -> Column:
+    return F.concat_ws("\n", F.array_join("heading_path", "\n"), F.coalesce("text", F.lit("")))
+
+
 @query()
 def digest_vectors(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat_ws("\n", F.array_join("heading_path", "\n"), F.coalesce("text", F.lit("")))
-    return vectors.digest_vectors(chunks_of(spark, d), "chunk_id", text)
+    rows = vectors.sparse_vectors(index_of(spark, d).chunks, "chunk_id", _chunk_text(), "blake2b")
+    return rows.withColumn("norm", F.when(F.size("idx") > 0, 1.0).otherwise(0.0))
+
+
+@query()
+def digest_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest chunks under another encoder, all above 0."""
+    stored, asked = index_of(spark, d).chunks, cases_of(spark, d).select(F.col("case_id").alias("key"), F.col("query").alias("text"))
+    rows = vectors.sparse_vectors(stored, "chunk_no", _chunk_text(), "blake2b")
+    hits = vectors.search_blocks(vectors.sparse_blocks(rows, "chunk_no"), vectors.ngram_blocks(asked, "blake2b"), 10, None)
+    return with_ids(spark, d, materialize(hits.withColumnsRenamed({"query": "case_id", "key": "chunk_no"}), "digest-hits"), "chunk_id").select("case_id", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH {S.CASES}, counted AS (SELECT k, word, count(*) AS n FROM (SELECT case_id AS k, unnest({S.words('query')}) AS word FROM gold UNION ALL SELECT 'q:' || case_id, unnest({S.words('question')}) FROM gold) GROUP BY ALL),
+{_FEATURES} SELECT substr(q.k, 3) AS asked, c.k AS case_id, round(sum(q.val * c.val), 6) AS score FROM vec q JOIN vec c ON q.idx = c.idx WHERE starts_with(q.k, 'q:') AND NOT starts_with(c.k, 'q:') GROUP BY ALL HAVING round(sum(q.val * c.val), 6) >= 0.5""")
+def alike_cases(spark: SparkSession, d: str) -> DataFrame:
+    """For each case's question the cases whose queries are alike, by a join on the coordinates."""
+    cases = cases_of(spark, d)
+    asked = vectors.ngram_vectors(cases.select(F.col("case_id").alias("asked"), "question"), "asked", F.col("question"))
+    return vectors.sparse_cosine(asked, "asked", vectors.ngram_vectors(cases, "case_id", F.col("query")), "case_id", 0.5)
+
+
+@query("""SELECT a.vec_id, b.vec_id AS next_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def dense_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector with the next one."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    following = rows.select(F.col("vec_id").alias("next_id"), F.col("embedding").alias("next"))
+    met = rows.join(following, F.col("next_id") == F.col("vec_id") + 1)
+    return met.select("vec_id", "next_id", F.round(vectors.dense_cosine(F.col("embedding"), F.col("next"), strict=True), 6).alias("score"))
 
 
 @query("WITH " + S.BM25.split(",\nfrequency AS")[0] + " SELECT chunk_id, field, term, tf, CAST(length AS INTEGER) AS length FROM posting")

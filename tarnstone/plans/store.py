@@ -200,3 +200,40 @@ def stat_assets(spark: SparkSession, d: str) -> DataFrame:
 def stat_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = store.current_chunks(table(spark, d, "assets"), table(spark, d, "knowledge_chunks"))
     return rows.select("chunk_id", "asset_id", "revision_id", "start_line", "end_line", F.octet_length("text").cast("bigint").alias("size_bytes"), ids.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"""WITH {S.CHUNKS}, {S.REVISIONS} SELECT (SELECT count(*) FROM current_asset) AS n_assets, (SELECT count(*) FROM revision) AS n_revisions,
+(SELECT count(DISTINCT chunk_id) FROM knowledge_chunks) AS n_chunks, (SELECT count(*) FROM chunk) AS n_current_chunks""")
+def store_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What a health check counts."""
+    assets, chunks = table(spark, d, "assets"), table(spark, d, "knowledge_chunks").select("chunk_id", "asset_id", "revision_id")
+    counts = {
+        "n_assets": store.current_assets(assets.select("asset_id", "updated_at", "current_revision_id")).agg(F.count("*").alias("n")),
+        "n_revisions": store.revisions_once(table(spark, d, "asset_revisions").select("asset_id", "revision_id", "created_at")).agg(F.count("*").alias("n")),
+        "n_chunks": chunks.agg(F.countDistinct("chunk_id").alias("n")),
+        "n_current_chunks": store.current_chunks(assets, chunks).agg(F.count("*").alias("n")),
+    }
+    rows = [one.select(F.lit(name).alias("name"), "n") for name, one in counts.items()]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return both.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counts))
+
+
+@query(f"""WITH {S.ASSETS}, gone AS (SELECT asset_id FROM current_asset WHERE starts_with(trim(replace({S.fold('source_path')}, chr(92), '/'), '/') || '/', 'library/dorford-board-0000/'))
+SELECT 'assets' AS name, count(*) AS n FROM assets WHERE asset_id IS NULL OR asset_id NOT IN (SELECT asset_id FROM gone)
+UNION ALL SELECT 'revisions', count(*) FROM asset_revisions WHERE asset_id IS NULL OR asset_id NOT IN (SELECT asset_id FROM gone)
+UNION ALL SELECT 'chunks', count(*) FROM knowledge_chunks WHERE asset_id IS NULL OR asset_id NOT IN (SELECT asset_id FROM gone)""")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that are left once the assets of a site are deleted."""
+    gone = store.current_assets(table(spark, d, "assets")).where(evidence.in_path_scope(F.col("source_path"), "library/dorford-board-0000")).select("asset_id")
+    left = store.delete(gone, assets=table(spark, d, "assets").select("asset_id"), revisions=table(spark, d, "asset_revisions").select("asset_id"), chunks=table(spark, d, "knowledge_chunks").select("asset_id"))
+    counted = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in left.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query("""SELECT asset_id, source_path, string_split(replace(ltrim(source_path, '/\\'), chr(92), '/'), '/') AS parts, len(list_filter(string_split(lower(replace(source_path, chr(92), '/')), '/'),
+  lambda p: p IN ('.aws', '.azure', '.codex-credentials', '.git', '.gnupg', '.ssh', 'credentials', 'id_rsa', 'id_ed25519', 'secrets') OR starts_with(p, '.env') OR regexp_matches(p, '^.+\\.(key|pem|p12|pfx)$'))) > 0 AS sensitive FROM assets WHERE source_path IS NOT NULL""")
+def relative_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of all source paths below the root, and whether one names credentials."""
+    rows = table(spark, d, "assets").where(F.col("source_path").isNotNull())
+    parts = T.relative_path(F.expr("ltrim('/\\\\', source_path)"))
+    return rows.select("asset_id", "source_path", parts.alias("parts"), T.is_sensitive(parts).alias("sensitive"))

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tarnstone.operators import store
-
 
 def arriving_revisions(spark: SparkSession, schema, path: str) -> DataFrame:
     """A stream of the revisions in the Parquet files that appear at path."""
@@ -31,8 +29,3 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     counted = timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
     return counted.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
-
-
-def current_after(batches: DataFrame) -> DataFrame:
-    """What is current after the revisions so far, the one created last of each asset."""
-    return store.latest(batches, ["asset_id"], [F.col("created_at"), F.col("revision_id")])

@@ -65,8 +65,19 @@ def test_vectors(spark):
     assert set(norms) == {"a", "b", "c"} and all(abs(x - 1) < 1e-9 for x in norms.values())
     cos = {(r.q, r.id): r.score for r in vectors.sparse_cosine(long.withColumnRenamed("id", "q"), "q", long, "id").collect()}
     assert cos["a", "a"] == 1.0 and cos["a", "b"] > 0.5 and ("a", "c") not in cos
-    digest = {r.id: r for r in vectors.digest_vectors(rows, "id", F.col("t")).collect()}
-    assert digest["d"].norm == 0.0 and digest["e"].norm == 0.0 and abs(sum(v * v for v in digest["a"].val) - 1) < 1e-9
+    stored = {r.id: dict(zip(r.idx, r.val)) for r in vectors.sparse_vectors(rows, "id", F.col("t")).collect()}
+    assert stored["d"] == stored["e"] == {} and set(stored) == {"a", "b", "c", "d", "e"}
+    for r in long.collect():
+        assert abs(stored[r.id][r.idx] - r.val) < 1e-9
+    digest = {r.id: r for r in vectors.sparse_vectors(rows, "id", F.col("t"), "blake2b").collect()}
+    assert digest["d"].idx == [] and abs(sum(v * v for v in digest["a"].val) - 1) < 1e-9 and digest["a"].idx != sorted(stored["a"])
+
+
+def test_dense_cosine(spark):
+    rows = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    assert [r.c and round(r.c, 6) for r in rows.select(vectors.dense_cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [0.707107, 0.0, None]
+    with pytest.raises(Exception, match="different sizes"):
+        rows.select(vectors.dense_cosine(F.col("a"), F.col("b"), strict=True).alias("c")).collect()
 
 
 def test_nearest_against_brute_force(spark):

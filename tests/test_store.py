@@ -76,7 +76,14 @@ def test_stream_takes_each_revision_once(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(ingest.arriving_revisions(spark, frame.schema, source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r.revision_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["r1", "r2"]
-    assert ingest.current_after(spark.read.parquet(str(tmp_path / "out"))).first().revision_id == "r2"
+    assert store.latest(spark.read.parquet(str(tmp_path / "out")), ["asset_id"], [F.col("created_at"), F.col("revision_id")]).first().revision_id == "r2"
+
+
+def test_delete_takes_what_belongs_to_an_asset(spark):
+    gone = spark.createDataFrame([("a",), ("a",), (None,)], "asset_id string")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "asset_id string, n int")
+    left = store.delete(gone, assets=rows, chunks=rows.limit(0))
+    assert sorted(r.n for r in left["assets"].collect()) == [2, 3] and left["chunks"].count() == 0
 
 
 def test_judgements(spark):
