@@ -111,3 +111,47 @@ def test_large_classes_keep_their_links(spark, monkeypatch):
     got = {(r.id_a, r.id_b): r.similarity for r in nd.pairs(links, members).collect()}
     equal = {("a1", "a3"): 1.0, ("a2", "a3"): 1.0, ("a1", "a4"): 1.0, ("b1", "b2"): 1.0, ("b1", "b3"): 1.0}
     assert got == equal | {("a3", "c1"): 0.9, ("a1", "b2"): 0.8, ("a3", "d1"): 0.7, ("d1", "e1"): 0.5}
+
+
+def test_same_pairs_beyond_the_broadcast_bound(spark, monkeypatch):
+    from tarnstone import runtime
+
+    frame = spark.createDataFrame(corpus(), "item_kind string, item_id string, asset_id string, text string")
+    small = {tuple(r) for r in nd.pairs(*nd.near_duplicates(frame)).collect()}
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in nd.pairs(*nd.near_duplicates(frame)).collect()} == small and len(small) > 10
+
+
+def test_no_link_depends_on_the_size_of_a_class(spark):
+    """201 equal texts, the least of them in the asset of a similar text: the text is paired with another of them."""
+    random.seed(22)
+    words = random.choices(WORDS, k=90)
+    near = list(words)
+    near[40] = "other"
+    rows = [("chunk", "a000", "x", " ".join(words))] + [("chunk", f"b{i:03}", "y", " ".join(words)) for i in range(nd.EXPANDED)] + [("chunk", "c", "x", " ".join(near))]
+    frame = spark.createDataFrame(rows, "item_kind string, item_id string, asset_id string, text string")
+    links, members = nd.near_duplicates(frame)
+    got = {(r.id_a, r.id_b) for r in nd.pairs(links, members).collect()}
+    assert links.count() == 1 and ("b000", "c") in got and {("a000", f"b{i:03}") for i in range(nd.EXPANDED)} <= got
+
+
+def test_edges_beyond_the_radius_are_not_followed():
+    """Two groups of near copies in one shard: a search in one doesn't enter the other's branch."""
+    random.seed(23)
+    visits = []
+
+    class Counted(int):
+        def __xor__(self, other):
+            visits.append(1)
+            return int(self) ^ int(other)
+
+    base = [random.getrandbits(nd.BITS) for _ in range(2)]
+    tree = nd.BKTree()
+    for i in range(400):
+        value = base[i % 2]
+        for b in random.sample(range(nd.BITS), 6):
+            value ^= 1 << b
+        tree.add(Counted(value), (i, 100))
+    visits.clear()
+    found = [i for i, _ in tree.within(base[0], 20)]
+    assert sorted(found) == list(range(0, 400, 2)) and len(visits) < 260

@@ -123,3 +123,14 @@ def test_long_messages():
     assert kinds(f"Warning: Undefined index {paths} on line 12") == {"message"}
     assert kinds("Please enable JavaScript to read the papers of the library " + "and the notes of the reserve committee " * 5) == {"message"}
     assert not kinds("The board asked why please enable JavaScript to read the papers was shown " + "and the notes of the reserve committee " * 5)
+
+
+def test_same_labels_beyond_the_broadcast_bound(spark, monkeypatch):
+    from tarnstone import runtime
+
+    rows = [(i, text) for i, text in enumerate(CASES + NO_CASES)] + [(1000 + i, "Texte de remplissage.\nCeci est un faux texte pour la mise en page.") for i in range(3)] + [(2000, "A line.\n\nTexte de remplissage.")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    small = {(r.doc_id, tuple(r.kinds), r.n_segments) for r in residue.residue_documents(frame).collect()}
+    assert {i for i, _, _ in small} == set(range(len(CASES))) | {1000, 1001, 1002, 2000}
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    assert {(r.doc_id, tuple(r.kinds), r.n_segments) for r in residue.residue_documents(frame).collect()} == small
