@@ -20,15 +20,15 @@ def _content_terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0)))
 
 
-def supports(question: Column, passage: Column) -> Column:
+def supports(question: Column, passage: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Whether a passage shares enough terms with a question: two of up to three, else three; a
     question of one term is supported by nothing."""
-    asked = F.array_except(_content_terms(question), F.array(*map(F.lit, STOP_WORDS)))
+    asked = F.array_except(_content_terms(question), F.array(*map(F.lit, stop_words)))
     shared = F.size(F.array_intersect(asked, _content_terms(passage)))
     return (F.size(asked) >= 2) & (shared >= F.when(F.size(asked) <= 3, 2).otherwise(3))
 
 
-def needs_context(question: Column) -> Column:
+def needs_context(question: Column, context: list[str] = CONTEXT, domain: list[str] = DOMAIN) -> Column:
     """Whether a question can't be searched for by itself: empty, or short and pointing back."""
     clean = T.collapse(T.casefold(question))
     han = F.length(F.regexp_replace(clean, r"[^\x{4e00}-\x{9fff}]", ""))
@@ -36,6 +36,6 @@ def needs_context(question: Column) -> Column:
     def has(signs: list[str]) -> Column:
         return F.exists(F.array(*map(F.lit, signs)), lambda s: F.contains(clean, s))
 
-    pointing = (han <= 8) & has(CONTEXT)
+    pointing = (han <= 8) & has(context)
     bare = clean.rlike(r"^(?:what|which)\s+(?:are|about)\s+(?:the\s+)?(?:four|three|two)\??$")
-    return F.coalesce((clean == "") | F.when(pointing, ~has(DOMAIN)).otherwise(bare), F.lit(True))
+    return F.coalesce((clean == "") | F.when(pointing, ~has(domain)).otherwise(bare), F.lit(True))

@@ -39,6 +39,12 @@ def _bucketed(df: DataFrame, label: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = f"{shared_dir(df.sparkSession)}/tarnstone_{label}_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build(chunks: DataFrame, fields: dict[str, Column] | None = None, text: Column | None = None, encode: Callable[[DataFrame, str, Column], DataFrame] = vectors.sparse_vectors) -> Index:
     """The index of chunks (chunk_id and any columns), each chunk_id once.
 
@@ -54,8 +60,8 @@ def build(chunks: DataFrame, fields: dict[str, Column] | None = None, text: Colu
     once = known.join(broadcast_if_small(numbers), "chunk_id").withColumn("length", length).repartition(buckets, "chunk_no").dropDuplicates(["chunk_no"])
     stored = _bucketed(once, "chunks", buckets)
     postings = _bucketed(lexical.postings(stored, "chunk_no", fields), "postings", buckets)
-    frequency = materialize(lexical.document_frequency(postings), "index-frequency")
-    statistics = materialize(stored.agg(F.count("*").alias("n"), F.avg("length").alias("average")), "index-statistics")
+    frequency = _written(lexical.document_frequency(postings), "frequency")
+    statistics = _written(stored.agg(F.count("*").alias("n"), F.avg("length").alias("average")), "statistics")
     vectored = _bucketed(encode(stored, "chunk_no", text), "vectors", buckets)
     return Index(stored, postings, frequency, statistics, vectored)
 

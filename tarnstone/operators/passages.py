@@ -17,18 +17,25 @@ STOP_WORDS = [
     "type", "types", "use", "used", "uses", "using", "was", "were", "what", "when", "where", "which", "who", "whom", "why",
     "will", "with", "would", "work", "actuary", "actuaries", "asop", "eiopa",
 ]
+# Stems that name a series of documents.
+NAMES = ["asop", "eiopa"]
 # Words that a query means as another.
 SYNONYMS = {"cover": "scope", "covered": "scope", "covers": "scope"}
 
 
-def query_stems(query: Column) -> Column:
+def query_stems(query: Column, stop_words: list[str] = STOP_WORDS, synonyms: dict[str, str] = SYNONYMS, names: list[str] = NAMES) -> Column:
     """The different stems of a query's words, without stop words and numbers, in order."""
-    kept = F.filter(T.words(query), lambda w: ~w.isin(STOP_WORDS) & ~w.rlike(r"^\p{Nd}+$"))
-    meant = F.transform(kept, lambda w: T.stem(F.when(w.isin(list(SYNONYMS)), F.lit("scope")).otherwise(w)))
-    return F.array_distinct(F.filter(meant, lambda w: ~w.isin("asop", "eiopa")))
+    kept = F.filter(T.words(query), lambda w: ~w.isin(stop_words) & ~w.rlike(r"^\p{Nd}+$"))
 
+    def meant(w: Column) -> Column:
+        for word, other in synonyms.items():
+            w = F.when(w == word, F.lit(other)).otherwise(w)
+        return T.stem(w)
 
-def best_passages(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    return F.array_distinct(F.filter(F.transform(kept, meant), lambda w: ~w.isin(names)))
+
+
+def best_passages(rows: DataFrame, key: str, text: str, query: str, stop_words: list[str] = STOP_WORDS, synonyms: dict[str, str] = SYNONYMS) -> DataFrame:
     """(key, first_line, last_line, score): for each row the passage of at most LINES lines of text
     that holds the most telling terms of query, with one line more at each side.
 
@@ -38,7 +45,7 @@ def best_passages(rows: DataFrame, key: str, text: str, query: str) -> DataFrame
     terms or hits the first line is taken, or the line with the most terms. A passage that neither
     begins nor ends in a line with a term is never the shortest, so only such lines are paired: the
     pairs of a text are bounded by LINES for each of its lines."""
-    stems = query_stems(F.col(query))
+    stems = query_stems(F.col(query), stop_words, synonyms)
     folded = T.collapse(T.casefold(F.col(query)))
     lines = T.lines(F.col(text))
     base = rows.where(F.size(lines) > 0).select(key, lines.alias("lines"), stems.alias("terms"), folded.alias("whole"))

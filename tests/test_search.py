@@ -231,3 +231,21 @@ def test_broadcast_bounds(spark, monkeypatch):
     assert not hinted(runtime.broadcast_if_small(small, 99))
     monkeypatch.setattr(runtime, "BROADCAST_BYTES", 50_000)
     assert hinted(runtime.broadcast_if_small(small)) and not hinted(runtime.broadcast_if_small(long)) and not hinted(runtime.broadcast_if_small(long.groupBy("id").agg(F.collect_list("t").alias("a"))))
+
+
+def test_join_few(spark, monkeypatch):
+    """With few rows, or too many to broadcast: the same rows, and the filter drops nearly all others."""
+    from tarnstone import runtime
+
+    rows = spark.range(4000).select(F.col("id").alias("a"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("b"), F.repeat(F.lit("x"), 10).alias("t"))
+    few = spark.range(0, 4000, 40).select(F.col("id").alias("a"), F.col("id").cast("string").alias("b"), F.lit(1).alias("n"))
+    want = {i for i in range(0, 4000, 40) if i % 7}
+    for bound in (200_000, 0):
+        monkeypatch.setattr(runtime, "BROADCAST_ROWS", bound)
+        assert {(r.a, r.n) for r in runtime.join_few(rows, few, ["a", "b"]).collect()} == {(i, 1) for i in want}
+        assert {r.a for r in runtime.join_few(rows, few.select("a", "b"), ["a", "b"], "left_semi").collect()} == want
+        assert runtime.join_few(rows, few.limit(0), ["a", "b"]).count() == 0
+    kept = {r.a for r in runtime._may_hold(rows, few, ["a", "b"]).collect()}
+    assert want <= kept and len(kept) < len(want) + 200
+    monkeypatch.setattr(runtime, "BLOOM_BITS", 1024)
+    assert want <= {r.a for r in runtime._may_hold(rows, few, ["a", "b"]).collect()}
