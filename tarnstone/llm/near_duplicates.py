@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnstone.runtime import broadcast_if_small, materialize
+from tarnstone.runtime import broadcast_if_small, join_few, materialize
 
 #: Words of a shingle, least words of a text, least similarity of a pair.
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 50, 0.5
@@ -222,10 +222,10 @@ def current_items(assets: DataFrame, revisions: DataFrame, chunks: DataFrame) ->
     """(item_kind, item_id, asset_id, text): current revisions and their chunks. The row of an asset
     with the latest updated_at has its current revision; of equal times the largest id holds."""
     pointers = assets.where(F.col("asset_id").isNotNull()).groupBy("asset_id").agg(F.max(F.struct("updated_at", F.col("current_revision_id").alias("revision_id"))).alias("x")).select("asset_id", "x.revision_id").where(F.col("revision_id").isNotNull())
-    pointers = broadcast_if_small(pointers)
-    enough = 2 * MIN_WORDS - 1
-    revision = revisions.where(F.length("markdown") >= enough).join(pointers, ["asset_id", "revision_id"], "left_semi").select(F.lit("revision").alias("item_kind"), F.col("revision_id").alias("item_id"), "asset_id", F.col("markdown").alias("text"))
-    chunk = chunks.where(F.length("text") >= enough).join(pointers, ["asset_id", "revision_id"], "left_semi").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "asset_id", "text")
+    pointers = materialize(pointers, "pointers")
+    enough, key = 2 * MIN_WORDS - 1, ["asset_id", "revision_id"]
+    revision = join_few(revisions.where(F.length("markdown") >= enough), pointers, key, "left_semi").select(F.lit("revision").alias("item_kind"), F.col("revision_id").alias("item_id"), "asset_id", F.col("markdown").alias("text"))
+    chunk = join_few(chunks.where(F.length("text") >= enough), pointers, key, "left_semi").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "asset_id", "text")
     return revision.unionByName(chunk)
 
 
@@ -241,7 +241,7 @@ def near_duplicates(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = materialize(candidates(classes.drop("item_id")), "candidates")
     ends = pairs.select("item_kind", F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
     representatives = prints.join(broadcast_if_small(ends), ["item_kind", "class_id"], "left_semi").groupBy("item_kind", "class_id").agg(F.min("item_id").alias("item_id"))
-    texts = items.join(broadcast_if_small(representatives), ["item_kind", "item_id"]).select("item_kind", "class_id", "text").dropDuplicates(["item_kind", "class_id"])
+    texts = join_few(items, representatives, ["item_kind", "item_id"]).select("item_kind", "class_id", "text").dropDuplicates(["item_kind", "class_id"])
     texts = materialize(texts, "candidate-texts")
     a = texts.withColumnsRenamed({"class_id": "class_a", "text": "text_a"})
     b = texts.withColumnsRenamed({"class_id": "class_b", "text": "text_b"})

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnstone.runtime import broadcast_if_small, materialize
+from tarnstone.runtime import broadcast_if_small, join_few, materialize
 
 #: Words of a shingle and least similarity of the texts of two near-duplicate segments.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -318,7 +318,7 @@ def near_segments(rest: DataFrame, front: DataFrame, labelled: DataFrame) -> Dat
     asked = _blocks(front).select("block", F.col("simhash").alias("simhash_from"), F.col("segment_id").alias("id_from"))
     close = _blocks(rest).join(broadcast_if_small(materialize(asked, "residue-asked")), "block").where((F.col("block") < 0) | (F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash_from"))) <= RADIUS))
     pairs = materialize(close.select("segment_id", "id_from").distinct().join(broadcast_if_small(labelled.select("segment_id")), "segment_id", "left_anti"), "residue-pairs")
-    met = rest.join(broadcast_if_small(pairs), "segment_id").dropDuplicates(["segment_id", "id_from"])
+    met = join_few(rest, pairs, ["segment_id"]).dropDuplicates(["segment_id", "id_from"])
     source = front.select(F.col("segment_id").alias("id_from"), "residue", F.col("normal").alias("normal_from"))
     reached = met.join(broadcast_if_small(source), "id_from").mapInPandas(_similar, "segment_id bigint, simhash bigint, residue string, normal string, keys array<int>")
     return reached.groupBy("segment_id").agg(F.min("residue").alias("residue"), *(F.first(c).alias(c) for c in ("simhash", "normal", "keys")))
@@ -363,7 +363,7 @@ def spread(segments_: DataFrame) -> DataFrame:
         front, added = new.select(*columns), [new.select("segment_id", "residue")]
         if in_blocks:
             beside = materialize(block_segments(segments_.select("doc_id", "block_no", "segment_id"), labelled.unionByName(added[0])), "residue-joined")
-            worded_beside = worded.drop("residue").join(broadcast_if_small(beside), "segment_id").select(*columns).dropDuplicates(["segment_id"])
+            worded_beside = join_few(worded.drop("residue"), beside, ["segment_id"]).select(*columns).dropDuplicates(["segment_id"])
             front = front.unionByName(worded_beside)
             added.append(beside)
         labels = added[0] if len(added) == 1 else added[0].unionByName(added[1])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnstone.runtime import broadcast_if_small, materialize
+from tarnstone.runtime import broadcast_if_small, join_few, materialize
 
 #: Labels of lines. Headings, tables, lists and page marker comments are structure.
 STATES = ["body", "header", "page_no", "break", "structure"]
@@ -490,7 +490,7 @@ def paragraphs(revisions: DataFrame, all_defects: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["revision_id", "paragraph_no", "first_line", "last_line", "text"])
 
     texts = revisions.where(F.col("markdown").isNotNull()).select("revision_id", "markdown")
-    met = texts.join(broadcast_if_small(_by_revision(all_defects)), "revision_id").dropDuplicates(["revision_id"])
+    met = join_few(texts, _by_revision(all_defects), ["revision_id"]).dropDuplicates(["revision_id"])
     return met.mapInPandas(run, "revision_id string, paragraph_no int, first_line int, last_line int, text string")
 
 
@@ -508,5 +508,5 @@ def repaired_chunks(chunks: DataFrame, all_defects: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["chunk_id", "n_defects", "text"])
 
     texts = chunks.where(F.col("text").isNotNull() & F.col("chunk_id").isNotNull()).select("chunk_id", "revision_id", "start_line", "text")
-    met = texts.join(broadcast_if_small(_by_revision(all_defects)), "revision_id").dropDuplicates(["chunk_id"])
+    met = join_few(texts, _by_revision(all_defects), ["revision_id"]).dropDuplicates(["chunk_id"])
     return met.mapInPandas(run, "chunk_id string, n_defects int, text string")
