@@ -246,3 +246,13 @@ def search_summary(spark: SparkSession, d: str) -> DataFrame:
         F.round(F.avg("first_coverage"), 6).alias("mean_first_coverage"),
         F.round(F.avg("best_coverage"), 6).alias("mean_best_coverage"),
     )
+
+
+@query(_SEARCH_SQL + """ SELECT query_style, count(*) AS n_cases,
+round(avg(coalesce(CAST(first_rank <= 1 AS DOUBLE), 0)) FILTER (len(expected_sources) > 0), 6) AS first_hit_at_1, round(avg(coalesce(CAST(first_rank <= 3 AS DOUBLE), 0)) FILTER (len(expected_sources) > 0), 6) AS first_hit_at_3,
+round(avg(first_coverage), 6) AS mean_first_coverage, round(avg(best_coverage), 6) AS mean_best_coverage
+FROM report JOIN whole_case USING (case_id) WHERE query_style <> '' GROUP BY query_style""")
+def search_by_style(spark: SparkSession, d: str) -> DataFrame:
+    met = searches_report(spark, d).join(cases_of(spark, d).where(F.col("query_style") != "").select("case_id", "query_style", F.size("expected_sources").alias("n_expected")), "case_id")
+    share = lambda k: F.round(F.avg(F.when(F.col("n_expected") > 0, F.coalesce((F.col("first_rank") <= k).cast("double"), F.lit(0.0)))), 6)
+    return met.groupBy("query_style").agg(F.count("*").alias("n_cases"), share(1).alias("first_hit_at_1"), share(3).alias("first_hit_at_3"), F.round(F.avg("first_coverage"), 6).alias("mean_first_coverage"), F.round(F.avg("best_coverage"), 6).alias("mean_best_coverage"))
