@@ -60,12 +60,16 @@ def drop_between(spark: SparkSession) -> int:
 
 def _sized(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, bool]:
     """(df, whether it is within the bounds of a broadcast). What has to be shuffled or computed in
-    Python to be counted is written first, so that it is done once; of what is only read and
-    filtered, counting stops at the bound."""
+    Python to be counted is written first, so that it is done once. What is only read and filtered
+    is small if its files are a 64th of the bound, however well they are compressed; else it is
+    counted, up to the bound."""
     rows = BROADCAST_ROWS if rows is None else rows
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     if any(x in plan for x in ("Aggregate", "Join", "Deduplicate", "Window", "Sort", "MapIn", "Generate")):
         df = materialize(df, "side")
+    read = df._jdf.queryExecution().optimizedPlan().collectLeaves().mkString().startswith("Relation")
+    if read and rows >= BROADCAST_ROWS > 0 and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES >> 6:
+        return df, True
     width = F.lit(sum(_WIDTHS.get(kind, 16) for _, kind in df.dtypes))
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
